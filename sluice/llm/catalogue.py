@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import chat, fingerprints, licenses, neardup, sharding, toxicity
+from sluice.llm import chat, fingerprints, licenses, neardup, passages, sharding, toxicity
 from sluice.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,3 +87,9 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_neardup")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), words=4)
+
+
+@query("op7_passages")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = passages.strip_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), digest=True)
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
