@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import chat, fingerprints, licenses, neardup, passages, sharding, toxicity
+from sluice.llm import chat, decontaminate, fingerprints, licenses, neardup, passages, sharding, toxicity
 from sluice.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,3 +93,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = passages.strip_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), digest=True)
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@query("op9_decontamination")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
