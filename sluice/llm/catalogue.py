@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import chat, decontaminate, fingerprints, licenses, neardup, passages, sharding, toxicity
+from sluice.llm import chat, decontaminate, fingerprints, licenses, neardup, passages, pieces, sharding, toxicity, warc
 from sluice.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,3 +98,29 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_decontamination")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op2_pieces")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pieces.decode(pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return found.select(
+        "doc_id",
+        F.size("pieces").cast("long").alias("n_pieces"),
+        "n_chunks",
+        F.sha2(F.array_join("pieces", " "), 256).alias("pieces_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("exact"),
+    )
+
+
+@query("op6_warc")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.read_archives(warc.archive_pages(spark, table(spark, sf_dir, "pages")), payloads=False)
+    page = lambda c: F.substring_index(c, ":", -1).cast("long")
+    return found.where("problem is null").select(
+        page("record_id").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        F.col("type").alias("record_type"),
+        page("refers_to").alias("refers_to"),
+    )
