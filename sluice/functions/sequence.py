@@ -2,19 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import atexit
+import shutil
+import tempfile
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL = (1 << 33) - 1
 
 
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """Keep the folder of spark.checkpoint.dir; only where there is none (one machine, tests) a local one is set."""
+    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
+        own = tempfile.mkdtemp(prefix="sluice-")
+        atexit.register(shutil.rmtree, own, True)
+        spark.sparkContext.setCheckpointDir(own)
+
+
 def add_seq(df: DataFrame, *order_by: str, partitions: int | None = None) -> DataFrame:
     """df with seq = 0, 1, ... in the given order (which should be total), without a single-partition window.
 
-    Rows are dealt out by ranges of the order and sorted there; the driver gets one count for each range.
+    Rows are dealt out by ranges of the order and sorted there; the driver gets one count for each range.  The ranges come
+    from a sample that differs from run to run, so the dealt rows are checkpointed before they are counted.
     """
+    ensure_checkpoint_dir(df.sparkSession)
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *order_by).sortWithinPartitions(*order_by).withColumn("__at", F.monotonically_increasing_id())
+    ranged = df.repartitionByRange(n, *order_by).sortWithinPartitions(*order_by).withColumn("__at", F.monotonically_increasing_id()).checkpoint()
     part = F.shiftright("__at", 33)
     counts = ranged.groupBy(part.alias("p")).count().collect()
     offsets, total = [], 0

@@ -1,12 +1,20 @@
-"""The registered queries and, where SQL can express them, their DuckDB equivalents."""
+"""The registered queries and, where SQL can express them, their DuckDB equivalents.
+
+On `events`, event_id is dense and serves as seq.  Computed columns are cast, so that types agree between engines.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sluice.functions.sequence import add_seq, portable_hash
+from sluice.operators import batching, buffer, dispatch, fold, policy, supervise
+from sluice.options import PartitionOptions, ProducerOptions, SubscriptionOptions, SupervisorOptions
+from sluice.sources.counter import CounterSource, counter, enumerable
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -24,24 +32,470 @@ def query(name: str, oracle: str | None = None):
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet")
+    return spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("seq", F.col("event_id"))
+
+
+def big(c) -> F.Column:
+    return (F.col(c) if isinstance(c, str) else c).cast("bigint")
+
+
+def values(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    return spark.createDataFrame(rows, schema)
+
+
+P4 = "('0x' || substr(md5(CAST(user_id AS VARCHAR)), 1, 8))::BIGINT % 4"
+
+
+# --- sources (2.A)
+
+
+@query("source_counter", "SELECT range AS seq FROM range(1000)")
+def source_counter(spark, sf_dir):
+    return counter(spark, 1000)
+
+
+@query("source_counter_demand", "SELECT range AS seq FROM range(100, 1100)")
+def source_counter_demand(spark, sf_dir):
+    spark.dataSource.register(CounterSource)
+    return spark.read.format("counter").option("start", 100).option("count", 1000).load()
+
+
+@query("source_enumerable", "SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS seq FROM events")
+def source_enumerable(spark, sf_dir):
+    return enumerable(events(spark, sf_dir).select("event_id", "ts"), "ts", "event_id").select("event_id", "seq")
+
+
+# --- transformations (2.C)
+
+
+@query("pc_map", "SELECT event_id AS seq, event_id * 2 AS event FROM events")
+def pc_map(spark, sf_dir):
+    return events(spark, sf_dir).select("seq", (F.col("event_id") * 2).alias("event"))
+
+
+@query("pc_flat_map", "SELECT event_id AS seq, unnest(range(event_id, event_id + 3)) AS event FROM events")
+def pc_flat_map(spark, sf_dir):
+    return events(spark, sf_dir).select("seq", F.explode(F.sequence("seq", F.col("seq") + 2)).alias("event"))
+
+
+@query("pc_duplicate", "SELECT event_id AS seq, event_id AS event FROM events UNION ALL SELECT event_id, event_id FROM events")
+def pc_duplicate(spark, sf_dir):
+    return events(spark, sf_dir).select("seq", F.explode(F.array("seq", "seq")).alias("event"))
+
+
+@query("pc_filter", "SELECT event_id AS seq, value FROM events WHERE value > 50")
+def pc_filter(spark, sf_dir):
+    return events(spark, sf_dir).where("value > 50").select("seq", "value")
+
+
+@query(
+    "pc_stateful_map",
+    "SELECT user_id, event_id AS seq, round(sum(value) OVER (PARTITION BY user_id ORDER BY event_id), 4) AS total FROM events",
+)
+def pc_stateful_map(spark, sf_dir):
+    w = Window.partitionBy("user_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    return events(spark, sf_dir).select("user_id", "seq", F.round(F.sum("value").over(w), 4).alias("total"))
+
+
+@query("pc_postpone", "SELECT event_id AS seq, event_id // 100 + 1 AS emitted_at FROM events")
+def pc_postpone(spark, sf_dir):
+    return events(spark, sf_dir).select("seq", big(F.floor(F.col("seq") / 100) + 1).alias("emitted_at"))
+
+
+# --- demand and batching (2.D)
+
+
+def _batches(name: str, most: int, least: int, batch: str, ask: str):
+    @query(name, f"SELECT event_id AS seq, ({batch})::BIGINT AS batch_no, ({ask})::BIGINT AS ask FROM events")
+    def run(spark, sf_dir):
+        return batching.assign_batches(events(spark, sf_dir).select("seq"), SubscriptionOptions(max_demand=most, min_demand=least))
+
+
+_batches("batch_default", 1000, 500, "event_id // 500", "500")
+_batches("batch_max100_min80", 100, 80, "event_id // 20", "20")
+_batches(
+    "batch_max100_min20", 100, 20,
+    "event_id // 180 * 3 + CASE WHEN event_id % 180 < 80 THEN 0 WHEN event_id % 180 < 100 THEN 1 ELSE 2 END",
+    "CASE WHEN event_id % 180 < 80 THEN 80 WHEN event_id % 180 < 100 THEN 0 ELSE 100 END",
+)
+_batches("batch_max1_min0", 1, 0, "event_id", "1")
+
+
+@query(
+    "batch_asks",
+    """SELECT batch_no, min(seq) AS first_seq, count(*) AS n, CASE batch_no % 3 WHEN 0 THEN 80 WHEN 1 THEN 0 ELSE 100 END::BIGINT AS ask FROM (
+         SELECT event_id AS seq, event_id // 180 * 3 + CASE WHEN event_id % 180 < 80 THEN 0 WHEN event_id % 180 < 100 THEN 1 ELSE 2 END AS batch_no
+         FROM events) GROUP BY batch_no""",
+)
+def batch_asks(spark, sf_dir):
+    rows = batching.assign_batches(events(spark, sf_dir).select("seq"), SubscriptionOptions(max_demand=100, min_demand=20))
+    return rows.groupBy("batch_no").agg(F.min("seq").alias("first_seq"), F.count("*").alias("n"), F.max("ask").alias("ask"))
+
+
+@query(
+    "batch_multi_producer",
+    """SELECT event_id AS seq, user_id % 3 AS producer,
+         (row_number() OVER (PARTITION BY user_id % 3 ORDER BY event_id) - 1) // 20 AS batch_no FROM events""",
+)
+def batch_multi_producer(spark, sf_dir):
+    rows = events(spark, sf_dir).select("seq", (F.col("user_id") % 3).alias("producer"))
+    return batching.assign_batches(rows, SubscriptionOptions(max_demand=100, min_demand=80), producer="producer").drop("ask")
+
+
+@query(
+    "batch_messages",
+    """SELECT event_id AS seq, event_id // 300 AS msg,
+         (row_number() OVER (PARTITION BY event_id // 300 ORDER BY event_id) - 1) // 250 AS batch_no FROM events""",
+)
+def batch_messages(spark, sf_dir):
+    rows = events(spark, sf_dir).select("seq", big(F.floor(F.col("seq") / 300)).alias("msg"))
+    return batching.assign_batches(rows, SubscriptionOptions(max_demand=1000, min_demand=750), message="msg").drop("ask")
+
+
+@query("rate_limit", "SELECT event_id AS seq, event_id // 10 AS tick FROM events")
+def rate_limit(spark, sf_dir):
+    return batching.rate_limit(events(spark, sf_dir).select("seq"), 10)
+
+
+@query(
+    "rate_limit_arrivals",
+    """SELECT event_id AS seq, (max(event_id // 25 * 10 - event_id) OVER (ORDER BY event_id) + event_id) // 10 AS tick FROM events""",
+)
+def rate_limit_arrivals(spark, sf_dir):
+    rows = events(spark, sf_dir).select("seq", big(F.floor(F.col("seq") / 25)).alias("arrived"))
+    return batching.rate_limit(rows, 10, arrival="arrived").select("seq", "tick")
+
+
+# --- dispatchers (2.E)
+
+DEMANDS = [("a", 0, 30), ("b", 1, 50), ("c", 2, 50), ("d", 3, 0), ("e", 4, 10)]
+DEMANDS_SQL = "(VALUES ('a', 0, 30), ('b', 1, 50), ('c', 2, 50), ('d', 3, 0), ('e', 4, 10)) t(consumer, pos, demand)"
+
+
+@query(
+    "demand_dispatch",
+    f"""SELECT e.event_id AS seq, c.consumer FROM events e LEFT JOIN (
+          SELECT consumer, sum(demand) OVER w - demand AS low, sum(demand) OVER w AS high FROM {DEMANDS_SQL} WHERE demand > 0
+          WINDOW w AS (ORDER BY demand DESC, pos)) c ON e.event_id >= c.low AND e.event_id < c.high""",
+)
+def demand_dispatch(spark, sf_dir):
+    consumers = values(spark, DEMANDS, "consumer string, pos int, demand long")
+    return dispatch.demand_dispatch(events(spark, sf_dir).select("seq"), consumers).select("seq", "consumer")
+
+
+@query("demand_round_robin", "SELECT event_id AS seq, event_id // 100 % 4 AS consumer FROM events")
+def demand_round_robin(spark, sf_dir):
+    return dispatch.round_robin(events(spark, sf_dir).select("seq"), 4, 100)
+
+
+@query(
+    "broadcast_all",
+    "SELECT event_id AS seq, consumer FROM events, (VALUES ('a'), ('b'), ('c')) t(consumer) WHERE event_id < 400",
+)
+def broadcast_all(spark, sf_dir):
+    subs = values(spark, [("a", 1000), ("b", 400), ("c", 700)], "consumer string, demand long")
+    return dispatch.broadcast_dispatch(events(spark, sf_dir).select("seq"), subs).select("seq", "consumer")
+
+
+SELECTORS = {"buys": "event_type = 'purchase'", "seen": "event_type IN ('view', 'click')", "high": "value > 90", "all": "true"}
+
+
+@query("broadcast_selector", " UNION ALL ".join(f"SELECT event_id AS seq, '{k}' AS consumer FROM events WHERE {v}" for k, v in SELECTORS.items()))
+def broadcast_selector(spark, sf_dir):
+    return dispatch.select_dispatch(events(spark, sf_dir), SELECTORS).select("seq", "consumer")
+
+
+@query("broadcast_reask", " UNION ALL ".join(f"SELECT '{k}' AS consumer, count(*) FILTER (NOT ({v})) AS n FROM events" for k, v in SELECTORS.items()))
+def broadcast_reask(spark, sf_dir):
+    return dispatch.reasked(events(spark, sf_dir), SELECTORS)
+
+
+@query(
+    "broadcast_late",
+    "SELECT event_id AS seq, consumer FROM events, (VALUES ('a', 0), ('b', 150), ('c', 600)) t(consumer, joined) WHERE event_id < 900 AND event_id >= joined",
+)
+def broadcast_late(spark, sf_dir):
+    subs = values(spark, [("a", 900, 0), ("b", 900, 150), ("c", 900, 600)], "consumer string, demand long, joined long")
+    return dispatch.broadcast_dispatch(events(spark, sf_dir).select("seq"), subs).select("seq", "consumer")
+
+
+@query("gen_event_fanout", "SELECT event_id AS seq, handler, handler || ':' || event_type AS note FROM events, (VALUES ('h1'), ('h2'), ('h3'), ('h4')) t(handler)")
+def gen_event_fanout(spark, sf_dir):
+    handlers = F.explode(F.array(*map(F.lit, ("h1", "h2", "h3", "h4")))).alias("handler")
+    rows = events(spark, sf_dir).select("seq", "event_type", handlers)
+    return rows.select("seq", "handler", F.concat("handler", F.lit(":"), "event_type").alias("note"))
+
+
+@query("partition_hash", f"SELECT event_id AS seq, CAST({P4} AS VARCHAR) AS p FROM events")
+def partition_hash(spark, sf_dir):
+    return dispatch.partition_by(events(spark, sf_dir), PartitionOptions(4), F.col("user_id")).select("seq", "p")
+
+
+@query("partition_named", "SELECT event_id AS seq, CASE WHEN user_id % 2 = 0 THEN 'even' ELSE 'odd' END AS p FROM events")
+def partition_named(spark, sf_dir):
+    options = PartitionOptions(("odd", "even"), "CASE WHEN user_id % 2 = 0 THEN 'even' ELSE 'odd' END")
+    return dispatch.partition_by(events(spark, sf_dir), options).select("seq", "p")
+
+
+@query("partition_none", "SELECT event_id AS seq, CASE WHEN user_id % 2 = 0 THEN 'even' ELSE 'odd' END AS p FROM events WHERE event_id % 3 <> 0")
+def partition_none(spark, sf_dir):
+    options = PartitionOptions(("odd", "even"), "CASE WHEN event_id % 3 = 0 THEN NULL WHEN user_id % 2 = 0 THEN 'even' ELSE 'odd' END")
+    return dispatch.partition_by(events(spark, sf_dir), options).select("seq", "p")
+
+
+@query("partition_rewrite", f"SELECT event_id AS seq, floor(value)::BIGINT AS event, CAST({P4} AS VARCHAR) AS p FROM events")
+def partition_rewrite(spark, sf_dir):
+    rows = dispatch.partition_by(events(spark, sf_dir), PartitionOptions(4), F.col("user_id"))
+    return rows.select("seq", big(F.floor("value")).alias("event"), "p")
+
+
+GATE = f"""SELECT seq, CASE WHEN prior >= 600 THEN 'leftover' WHEN p IS NULL THEN 'discarded' WHEN rn <= demand THEN 'accepted' ELSE 'queued' END AS status, p
+  FROM (SELECT *, row_number() OVER (PARTITION BY p, prior < 600 ORDER BY seq) AS rn FROM (
+    SELECT seq, p, coalesce(sum((p IS NOT NULL)::INT) OVER (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prior FROM (
+      SELECT event_id AS seq, CASE WHEN event_id % 5 <> 0 THEN CAST({P4} AS VARCHAR) END AS p FROM events)))
+  LEFT JOIN (VALUES ('0', 100), ('1', 200), ('2', 300), ('3', 0)) t(q, demand) ON p = q"""
+
+
+def _gate(spark, sf_dir) -> DataFrame:
+    p = F.when(F.col("event_id") % 5 != 0, portable_hash(F.col("user_id"), 4).cast("string"))
+    demands = values(spark, [("0", 100), ("1", 200), ("2", 300), ("3", 0)], "p string, demand long")
+    return dispatch.partition_gate(events(spark, sf_dir).select("seq", p.alias("p")), demands)
+
+
+@query("partition_gate", GATE)
+def partition_gate(spark, sf_dir):
+    return _gate(spark, sf_dir).select("seq", "status", "p")
+
+
+@query("partition_backlog", f"SELECT p, count(*) FILTER (status = 'queued') AS queued FROM ({GATE}) WHERE status IN ('accepted', 'queued') GROUP BY p")
+def partition_backlog(spark, sf_dir):
+    return dispatch.backlog(_gate(spark, sf_dir).where("status IN ('accepted', 'queued')"))
 
 
 @query(
     "partition_batches",
-    """SELECT p, batch_no, count(*) AS n, min(seq) AS first_seq, max(seq) AS last_seq FROM (
+    f"""SELECT p, batch_no, count(*) AS n, min(seq) AS first_seq, max(seq) AS last_seq FROM (
          SELECT p, seq, (row_number() OVER (PARTITION BY p ORDER BY seq) - 1) // 20 AS batch_no FROM (
-           SELECT event_id AS seq, ('0x' || substr(md5(CAST(user_id AS VARCHAR)), 1, 8))::BIGINT % 4 AS p FROM events))
+           SELECT event_id AS seq, CAST({P4} AS VARCHAR) AS p FROM events))
        GROUP BY p, batch_no""",
 )
-def partition_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    p = F.conv(F.substring(F.md5(F.col("user_id").cast("string")), 1, 8), 16, 10).cast("bigint") % 4
-    rows = events(spark, sf_dir).select(F.col("event_id").alias("seq"), p.alias("p"))
-    rank = F.row_number().over(Window.partitionBy("p").orderBy("seq")) - 1
-    return (
-        rows.select("p", "seq", F.floor(rank / 20).alias("batch_no"))
-        .groupBy("p", "batch_no")
-        .agg(F.count("*").alias("n"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
-    )
+def partition_batches(spark, sf_dir):
+    rows = dispatch.partition_by(events(spark, sf_dir), PartitionOptions(4), F.col("user_id")).select("p", "seq")
+    rows = batching.assign_batches(rows, SubscriptionOptions(max_demand=100, min_demand=80), producer="p")
+    return rows.groupBy("p", "batch_no").agg(F.count("*").alias("n"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
+
+
+# --- buffers and infos (2.F)
+
+
+@query("buffer_first", "SELECT event_id AS seq FROM events ORDER BY event_id LIMIT 300")
+def buffer_first(spark, sf_dir):
+    return buffer.keep(events(spark, sf_dir).select("seq"), 300, "first")
+
+
+@query("buffer_last", "SELECT event_id AS seq FROM events ORDER BY event_id DESC LIMIT 300")
+def buffer_last(spark, sf_dir):
+    return buffer.keep(events(spark, sf_dir).select("seq"), 300, "last")
+
+
+@query("buffer_unbounded", "SELECT event_id AS seq FROM events")
+def buffer_unbounded(spark, sf_dir):
+    return buffer.keep(events(spark, sf_dir).select("seq"), None)
+
+
+@query("buffer_discards", "SELECT count(*) AS stored, least(count(*), 300) AS buffered, greatest(count(*) - 300, 0) AS discarded FROM events")
+def buffer_discards(spark, sf_dir):
+    return buffer.discarded(events(spark, sf_dir), 300)
+
+
+@query("buffered_count", "SELECT least(count(*), 10000) AS buffered FROM events WHERE value > 50")
+def buffered_count(spark, sf_dir):
+    return buffer.discarded(events(spark, sf_dir).where("value > 50"), 10_000).select("buffered")
+
+
+INFOS = [("early", 0), ("i1", 7), ("i2", 7), ("i3", 333), ("i4", 900)]
+
+
+@query(
+    "info_barrier",
+    """SELECT info, stored_at, anchor_seq, min(take) AS after_take FROM (
+         SELECT info, stored_at::BIGINT AS stored_at, max(event_id) AS anchor_seq
+         FROM (VALUES ('early', 0), ('i1', 7), ('i2', 7), ('i3', 333), ('i4', 900)) t(info, stored_at)
+         LEFT JOIN (SELECT event_id FROM events WHERE event_id % 4 = 1) ON event_id < stored_at GROUP BY ALL)
+       LEFT JOIN (VALUES (1, 100), (2, 500), (3, 1000)) k(take, upto) ON upto > anchor_seq GROUP BY ALL""",
+)
+def info_barrier(spark, sf_dir):
+    rows = events(spark, sf_dir).where("event_id % 4 = 1").select("seq")
+    takes = values(spark, [(1, 100), (2, 500), (3, 1000)], "take int, upto long")
+    return buffer.info_anchors(rows, values(spark, INFOS, "info string, stored_at long"), takes)
+
+
+# --- sinks (2.B)
+
+
+@query("stream_take", "SELECT event_id AS seq, event_type FROM events ORDER BY event_id LIMIT 300")
+def stream_take(spark, sf_dir):
+    return events(spark, sf_dir).orderBy("seq").limit(300).select("seq", "event_type")
+
+
+@query("stream_merge", "SELECT 'events' AS producer, event_id AS seq FROM events UNION ALL SELECT 'orders', o_orderkey FROM orders")
+def stream_merge(spark, sf_dir):
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.lit("orders").alias("producer"), F.col("o_orderkey").alias("seq"))
+    return events(spark, sf_dir).select(F.lit("events").alias("producer"), "seq").unionByName(orders)
+
+
+# --- control plane (2.G)
+
+
+@query(
+    "accumulate_replay",
+    """SELECT event_id AS seq, pos FROM events JOIN (
+         SELECT pos, sum(n) OVER (ORDER BY pos) - n AS low, sum(n) OVER (ORDER BY pos) AS high FROM (VALUES (0, 10), (1, 250), (2, 40)) t(pos, n))
+       ON event_id >= low AND event_id < high""",
+)
+def accumulate_replay(spark, sf_dir):
+    asks = values(spark, [(0, 10), (1, 250), (2, 40)], "pos int, n long")
+    ranges = asks.select("pos", (F.sum("n").over(Window.orderBy("pos")) - F.col("n")).alias("low"), F.sum("n").over(Window.orderBy("pos")).alias("high"))
+    rows = events(spark, sf_dir).select("seq")
+    return rows.join(F.broadcast(ranges), (F.col("seq") >= F.col("low")) & (F.col("seq") < F.col("high"))).select("seq", "pos")
+
+
+REASONS = "(VALUES ('normal'), ('shutdown'), ('shutdown:x'), ('killed'), ('noproc'), ('already_subscribed')) r(reason)"
+_REASONS = ["normal", "shutdown", "shutdown:x", "killed", "noproc", "already_subscribed"]
+
+
+@query(
+    "cancel_policy",
+    f"""SELECT mode, reason, CASE WHEN reason = 'already_subscribed' THEN 'keep' WHEN mode = 'permanent' THEN 'stop'
+          WHEN mode = 'transient' AND reason NOT IN ('normal', 'shutdown', 'shutdown:x') THEN 'stop' ELSE 'keep' END AS action
+        FROM (VALUES ('permanent'), ('transient'), ('temporary')) m(mode), {REASONS}""",
+)
+def cancel_policy(spark, sf_dir):
+    rows = values(spark, [(m, r) for m in ("permanent", "transient", "temporary") for r in _REASONS], "mode string, reason string")
+    return rows.withColumn("action", policy.cancel_action(F.col("mode"), F.col("reason")))
+
+
+# --- supervised work (2.H)
+
+
+@query(
+    "restart_policy",
+    """SELECT restart, reason, CASE WHEN restart = 'permanent' THEN 'rejected'
+         WHEN restart = 'transient' AND reason NOT IN ('normal', 'shutdown', 'shutdown:x') THEN 'restarted' ELSE 'removed' END AS action
+       FROM (VALUES ('permanent'), ('transient'), ('temporary')) m(restart), (VALUES ('normal'), ('shutdown'), ('shutdown:x'), ('killed')) r(reason)""",
+)
+def restart_policy(spark, sf_dir):
+    rows = values(spark, [(m, r) for m in ("permanent", "transient", "temporary") for r in _REASONS[:4]], "restart string, reason string")
+    return rows.withColumn("action", policy.restart_action(F.col("restart"), F.col("reason")))
+
+
+RESTARTS = "SELECT event_id AS seq, floor(epoch(ts))::BIGINT // 600 AS sec FROM events WHERE event_type = 'error'"
+
+
+@query(
+    "restart_intensity",
+    f"""SELECT seq, sec, (SELECT count(*) FROM ({RESTARTS}) b WHERE b.sec BETWEEN a.sec - 5 AND a.sec AND b.seq <= a.seq) AS recent,
+          (SELECT count(*) FROM ({RESTARTS}) b WHERE b.sec BETWEEN a.sec - 5 AND a.sec AND b.seq <= a.seq) > 3 AS breach FROM ({RESTARTS}) a""",
+)
+def restart_intensity(spark, sf_dir):
+    sec = big(F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 600))
+    rows = events(spark, sf_dir).where("event_type = 'error'").select("seq", sec.alias("sec"))
+    return policy.restart_intensity(rows)
+
+
+@query("supervisor_asks", "SELECT event_id AS seq, CASE WHEN (event_id + 1) % 8 = 0 THEN 8 ELSE 0 END::BIGINT AS ask FROM events")
+def supervisor_asks(spark, sf_dir):
+    return policy.supervisor_asks(events(spark, sf_dir).select("seq"), 8)
+
+
+def _child(event: dict):
+    """ok, ignore, an error or an exception, by the type of the event."""
+    kind = event["event_type"]
+    if kind == "error":
+        raise RuntimeError(kind)
+    return {"signup": "ignore", "click": ("error", "refused")}.get(kind, "ok")
+
+
+@query(
+    "child_outcomes",
+    """SELECT event_type, status, reason, attempt::BIGINT AS attempt, count(*) AS n FROM events,
+         LATERAL (SELECT CASE event_type WHEN 'error' THEN 'down' WHEN 'click' THEN 'down' WHEN 'signup' THEN 'ignored' ELSE 'running' END AS status,
+           CASE event_type WHEN 'error' THEN 'error:RuntimeError' WHEN 'click' THEN 'error:refused' ELSE 'normal' END AS reason),
+         (VALUES (1), (2), (3), (4)) t(attempt) WHERE attempt = 1 OR event_type IN ('error', 'click') GROUP BY ALL""",
+)
+def child_outcomes(spark, sf_dir):
+    done = supervise.supervise(events(spark, sf_dir).select("seq", "event_type"), _child, SupervisorOptions(restart="transient"))
+    return done.groupBy("event_type", "status", "reason", big("attempt").alias("attempt")).agg(F.count("*").alias("n"))
+
+
+@query(
+    "child_counts",
+    """SELECT 1::BIGINT AS specs, count(*) FILTER (event_type IN ('view', 'purchase')) AS active, 0::BIGINT AS supervisors,
+         count(*) FILTER (event_type IN ('view', 'purchase')) AS workers FROM events""",
+)
+def child_counts(spark, sf_dir):
+    return supervise.child_counts(supervise.supervise(events(spark, sf_dir).select("seq", "event_type"), _child))
+
+
+# --- ordered folds: a log for each of 20 producers, from their users' events
+
+
+def _log(spark, sf_dir, op: F.Column, sub: F.Column, n: F.Column, names: list[tuple[str, str]]) -> DataFrame:
+    """A control log: subscriptions first, then one row for each event."""
+    rows = events(spark, sf_dir).select((F.col("user_id") % 20).cast("string").alias("producer"), F.col("seq").alias("log_seq"), op.alias("op"), sub.alias("sub"), n.alias("n"), F.array(F.col("seq").cast("string")).alias("events"))
+    rows = rows.withColumn("events", F.when(F.col("op") == "dispatch", F.col("events"))).withColumn("opts", F.lit(None).cast("map<string,string>"))
+    first = F.explode(F.array(*(F.struct(F.lit(i - len(names)).cast("bigint").alias("log_seq"), F.lit(s).alias("sub"), F.create_map(F.lit("partition"), F.lit(p)).alias("opts")) for i, (s, p) in enumerate(names)))).alias("x")
+    subs = rows.select("producer").distinct().select("producer", first).select("producer", "x.log_seq", F.lit("subscribe").alias("op"), "x.sub", F.lit(None).cast("bigint").alias("n"), F.lit(None).cast("array<string>").alias("events"), "x.opts")
+    return rows.select("producer", "log_seq", "op", "sub", big("n").alias("n"), "events", "opts").unionByName(subs.select("producer", "log_seq", "op", "sub", "n", "events", "opts"))
+
+
+def _fold(spark, sf_dir, options: ProducerOptions, subs, **more) -> DataFrame:
+    ask = F.col("event_type").isin("click", "view")
+    op = F.when(ask, "ask").otherwise("dispatch")
+    sub = F.when(ask, F.when(F.col("event_id") % 2 == 0, subs[0][0]).otherwise(subs[1][0]))
+    return fold.fold(_log(spark, sf_dir, op, sub, F.when(ask, F.col("event_id") % 3), subs), options, **more)
+
+
+@query("fold_demand")
+def fold_demand(spark, sf_dir):
+    return _fold(spark, sf_dir, ProducerOptions(buffer_size=5), [("a", "0"), ("b", "1")])
+
+
+@query("fold_broadcast")
+def fold_broadcast(spark, sf_dir):
+    return _fold(spark, sf_dir, ProducerOptions(dispatcher="broadcast", buffer_size=5, buffer_keep="first"), [("a", "0"), ("b", "1")])
+
+
+def _parity(event: str):
+    return event, str(int(event) % 2)
+
+
+@query("fold_partition")
+def fold_partition(spark, sf_dir):
+    return _fold(spark, sf_dir, ProducerOptions(dispatcher="partition"), [("a", "0"), ("b", "1")], names=["0", "1"], where=_parity)
+
+
+FOLD_TOTALS = """WITH a AS (SELECT (user_id % 20)::VARCHAR AS producer, sum(event_id % 3) FILTER (event_type IN ('click', 'view')) AS asked,
+    count(*) FILTER (event_type NOT IN ('click', 'view')) AS sent FROM events GROUP BY 1)
+  SELECT producer, least(asked, sent)::BIGINT AS delivered, asked::BIGINT AS demanded FROM a"""
+
+
+@query("fold_unbounded_totals", FOLD_TOTALS)
+def fold_unbounded_totals(spark, sf_dir):
+    out = _fold(spark, sf_dir, ProducerOptions(buffer_size=None), [("a", "0"), ("b", "1")])
+    asked = events(spark, sf_dir).where("event_type IN ('click', 'view')").groupBy((F.col("user_id") % 20).cast("string").alias("producer")).agg(F.sum(F.col("event_id") % 3).alias("demanded"))
+    sent = out.where("op = 'deliver'").groupBy("producer").agg(F.sum("n").alias("delivered"))
+    return asked.join(sent, "producer", "left").select("producer", F.coalesce("delivered", F.lit(0)).alias("delivered"), "demanded")
+
+
+@query("fold_consumer")
+def fold_consumer(spark, sf_dir):
+    rows = events(spark, sf_dir).select((F.col("user_id") % 20).cast("string").alias("producer"), F.col("seq").alias("log_seq"), F.col("event_id").cast("string").alias("e"))
+    log = rows.select("producer", "log_seq", F.lit("receive").alias("op"), F.lit("s").alias("sub"), F.lit(None).cast("bigint").alias("n"), F.array_repeat("e", 7).alias("events"), F.lit(None).cast("map<string,string>").alias("opts"))
+    subs = rows.select("producer").distinct().select("producer", F.lit(-1).cast("bigint").alias("log_seq"), F.lit("subscribe").alias("op"), F.lit("s").alias("sub"), F.lit(None).cast("bigint").alias("n"), F.lit(None).cast("array<string>").alias("events"), F.create_map(F.lit("max"), F.lit("10"), F.lit("min"), F.lit("5")).alias("opts"))
+    return fold.fold(log.unionByName(subs), role="consumer")
+
+
+@query("global_seq", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS seq FROM orders")
+def global_seq(spark, sf_dir):
+    return add_seq(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_orderdate"), "o_orderdate", "o_orderkey").select("o_orderkey", "seq")
