@@ -75,6 +75,8 @@ def parse(data: bytes) -> tuple[dict, int]:
         if not colon:
             raise ValueError("header line without a colon")
         head[name.decode("utf-8", "replace").lower()] = value.strip().decode("utf-8", "replace")
+    if not (head.get("warc-type") and head.get("warc-record-id")):
+        raise ValueError("no type or record id")
     try:
         length = int(head["content-length"])
     except (KeyError, ValueError):
