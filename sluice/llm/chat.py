@@ -61,27 +61,26 @@ def best_paths(tree: DataFrame, top: int = 1) -> DataFrame:
     up = lambda df: df.select(
         "conv_id", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("score").alias("score2"), F.col("depth").alias("depth2")
     )
-    hops = [links.select("conv_id", "node", F.col("parent").alias("up"))]
-    while True:
-        reach = materialise(
-            reach.join(up(reach), ["conv_id", "up"], "left").select(
-                "conv_id",
-                "node",
-                F.col("up2").alias("up"),
-                (F.col("score") + F.coalesce("score2", F.lit(0.0))).alias("score"),
-                (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"),
-            ),
-            "reach",
-        )
-        if reach.where(F.col("up").isNotNull()).isEmpty():
+    hops = []
+    while True:  # only messages that have not reached a root take part in a round
+        active = reach.where(F.col("up").isNotNull())
+        if active.isEmpty():
             break
-        hops.append(reach.where(F.col("up").isNotNull()).select("conv_id", "node", "up"))
+        hops.append(active.select("conv_id", "node", "up"))
+        moved = active.join(up(reach), ["conv_id", "up"], "left").select(
+            "conv_id",
+            "node",
+            F.col("up2").alias("up"),
+            (F.col("score") + F.coalesce("score2", F.lit(0.0))).alias("score"),
+            (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"),
+        )
+        reach = materialise(reach.where(F.col("up").isNull()).unionByName(moved), "reach")
     inner = links.where(F.col("parent").isNotNull()).select("conv_id", F.col("parent").alias("node")).distinct()
     leaves = reach.join(inner, ["conv_id", "node"], "left_anti")
     rank = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("score"), "node")) - 1
     path = leaves.withColumn("branch", rank).where(F.col("branch") < top).select("conv_id", "branch", "node")
     for hop in reversed(hops):  # from the leaves: half the path away, a quarter, and so on
-        found = path.join(hop.where(F.col("up").isNotNull()), ["conv_id", "node"]).select("conv_id", "branch", F.col("up").alias("node"))
+        found = path.join(hop, ["conv_id", "node"]).select("conv_id", "branch", F.col("up").alias("node"))
         path = materialise(path.unionByName(found).distinct(), "path")
     return path.join(reach.select("conv_id", "node", "depth"), ["conv_id", "node"]).join(
         tree.select("conv_id", "node", "role", "text"), ["conv_id", "node"]
