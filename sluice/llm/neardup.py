@@ -7,8 +7,8 @@ under that distance share an index key, and of pairs at a similarity of 0.8 all
 
 Buckets (classes with a key in common) are joined without emitting all their pairs: in each round every class is paired
 with one leader of each of its buckets, and confirmed links are contracted to components; the next round pairs only
-classes whose leader is in another component.  When few pairs across components are left, the rest is joined in full,
-with each pair of classes that still are in different components.  So a link is only ever skipped between documents that
+classes whose leader is in another component.  When no bucket has many pairs across components left, or after ROUNDS rounds, the rest is joined in
+full, with each pair of classes that still are in different components and whose sizes allow a link.  So a link is only ever skipped between documents that
 confirmed links connect already: components are those of all links between candidates.
 
 Every link is confirmed on the full sets: intersection and union sizes of sorted 64-bit shingle hashes.
@@ -189,7 +189,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         placed = entries.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", "n", F.coalesce("root", "doc_id").alias("root"))
         placed = materialise(placed, "placed", compression="zstd")
         mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-        groups = placed.join(mixed, "key").groupBy("key", "root").agg(F.count("*").alias("c"), F.min("n").alias("n0"), F.max("n").alias("n1"))
+        groups = placed.join(mixed, "key").groupBy("key", "root").agg(F.count("*").cast("double").alias("c"))
         worst = groups.groupBy("key").agg((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))).alias("w")).agg(F.max("w").alias("w"), F.sum("w").alias("all")).first()
         if not worst["all"]:
             break
