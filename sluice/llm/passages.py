@@ -229,6 +229,8 @@ def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     stored = spark.read.parquet(copy)
     base = stored.select("__id", "text", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").cast("int").alias("row"))
     files = base.select("file").distinct()
+    # what the tasks shuffle is small beside the files they read, so the number of tasks is told, not left to sizes
+    by_file = lambda df: df.repartition(max(1, len(stored.inputFiles())), "file").groupBy("file")
 
     # copies of whole texts: all but the least id
     text_hash = [F.xxhash64("text").alias("h1"), F.xxhash64("text", F.lit(1)).alias("h2")]
@@ -237,16 +239,16 @@ def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     copies = ids.join(first, ["h1", "h2"]).where("doc > first").select("file", "row")
     todo = files.join(copies, "file", "left")
 
-    found = todo.groupBy("file").applyInPandas(_anchors_of(window), "a long, file string, row int")
+    found = by_file(todo).applyInPandas(_anchors_of(window), "a long, file string, row int")
     found = materialise(found, "anchors", compression="zstd")
     many = found.groupBy("a").agg(F.count("*").alias("c")).where("c > 1").select("a")
     recurring = found.join(many, "a")
-    windows = materialise(recurring.groupBy("file").applyInPandas(_windows_of(window), "w long, file string, row int, doc long"), "windows", compression="zstd")
+    windows = materialise(by_file(recurring).applyInPandas(_windows_of(window), "w long, file string, row int, doc long"), "windows", compression="zstd")
     least = windows.groupBy("w").agg(F.min("doc").alias("least"), F.count("*").alias("c")).where("c > 1").select("w", "least")
     confirmed = windows.join(least, "w").where("doc > least").select("file", "row", "w", "least")
     marks = copies.select("file", "row", F.lit(0).cast("long").alias("w"), F.lit(-1).cast("long").alias("least"))
     none = files.select("file", F.lit(-1).alias("row"), F.lit(0).cast("long").alias("w"), F.lit(0).cast("long").alias("least"))
     names = [c for c in stored.columns if c != "__id"] + own
     kinds = stored.drop("__id").select("*", F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.lit("").alias(last)).schema
-    out = confirmed.unionByName(marks).unionByName(none).groupBy("file").applyInArrow(_strip_of(window, names, digest), kinds)
+    out = by_file(confirmed.unionByName(marks).unionByName(none)).applyInArrow(_strip_of(window, names, digest), kinds)
     return out.withColumnRenamed("text", text_col)
