@@ -195,7 +195,7 @@ def transfer(codec: Codec, before: str, chunk: str, after: str, first: bool) ->
     if at is None:
         return {s: frozenset(forward(codec, text, s, before, len(chunk))) for s in states}
     right = frozenset(forward(codec, text[at[1] :], None, "", len(chunk) - at[1]))  # rank one: all left states meet in it
-    return {s: right for s in states if first or (s is None or (s[0], at[0] + s[1]) == (s[0], len(s[0]))) or complete(codec, text, s, at[0])}
+    return {s: right for s in states if first or complete(codec, text, s, at[0]) is not None}
 
 
 def complete(codec: Codec, text: str, left: State, size: int) -> list[str] | None:
