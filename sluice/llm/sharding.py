@@ -18,8 +18,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 CELLS = 1 << 16
-#: Rows above which a cell's rows are numbered in several windows, so that no group of copies meets in one task.
-HOT_ROWS = 20_000
+#: A cell with more than this share of the rows (and LEAST_HOT rows) is numbered in several windows, so that no group of
+#: copies meets in one task.  So there are no more than twice HOT_SHARE such windows.
+HOT_SHARE, LEAST_HOT = 4096, 64
 
 
 def cuts(sizes: list[int], shards: int) -> list[int]:
@@ -59,11 +60,12 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
     salt = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 20)).cast("int")
     totals = rows.groupBy("cell").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()  # CELLS rows at most
     totals.sort(key=lambda x: x["cell"])
-    hot = {x["cell"]: -(-x["n"] // HOT_ROWS) for x in totals if x["n"] > HOT_ROWS}
+    most = max(LEAST_HOT, sum(x["n"] for x in totals) // HOT_SHARE)
+    hot = {x["cell"]: -(-x["n"] // most) for x in totals if x["n"] > most}
     starts = cuts([x["size"] for x in totals], shards)
     first = [totals[i]["cell"] for i in starts]
     spark = docs.sparkSession
-    if hot:  # as many as the rows over HOT_ROWS at most, each with so many parts that all of them are as many again
+    if hot:
         parts = F.create_map(*(F.lit(v) for k, n in hot.items() for v in (k, n)))
         rows = rows.withColumn("part", F.pmod(salt, F.coalesce(F.try_element_at(parts, F.col("cell")), F.lit(1))))
         counted = rows.where(F.col("cell").isin(list(hot))).groupBy("cell", "part").count().collect()
