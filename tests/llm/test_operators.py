@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import pytest
 from pyspark.sql import functions as F
@@ -110,6 +111,27 @@ def test_minimax_cuts():
         assert len(at) - 1 <= shards and most == next(c for c in range(1, 1000) if feasible(sizes, c, shards))
 
 
+def test_cuts_are_even_beside_a_hot_group():
+    rng = random.Random(5)
+    for part in (1 / 3, 0.1):
+        sizes = [rng.randrange(50, 150) for _ in range(6000)]
+        sizes[2000] = int(sum(sizes) * part / (1 - part))
+        at = [0, *sharding.cuts(sizes, 16), len(sizes)]
+        held = sorted(sum(sizes[a:b]) for a, b in zip(at, at[1:]))
+        assert len(held) == 16 and held[-1] == sizes[2000] and held[0] > 0.85 * sum(held[:-1]) / 15 and held[-2] < 1.15 * sum(held[:-1]) / 15
+
+    def squares(sizes, at):
+        return sum(sum(sizes[a:b]) ** 2 for a, b in zip(at, at[1:]))
+
+    for _ in range(100):
+        sizes, shards = [rng.choice([1, 2, 3, 9, 40]) for _ in range(rng.randrange(1, 11))], rng.randrange(1, 5)
+        ways = [[0, *c, len(sizes)] for c in combinations(range(1, len(sizes)), min(shards, len(sizes)) - 1)]
+        most = {tuple(w): max(sum(sizes[a:b]) for a, b in zip(w, w[1:])) for w in ways}
+        least = min(squares(sizes, w) for w in ways if most[tuple(w)] == min(most.values()))
+        got = [0, *sharding.cuts(sizes, shards), len(sizes)]
+        assert most[tuple(got)] == min(most.values()) and squares(sizes, got) == least
+
+
 def test_sharding(spark, docs, texts, empty):
     copies = spark.range(1000, 4000).select(F.col("id").alias("doc_id"), F.lit("copy").alias("text"))
     rows = sharding.shard(docs.select("doc_id", "text").unionByName(copies)).collect()
