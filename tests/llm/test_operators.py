@@ -217,6 +217,26 @@ def test_toxicity(spark, empty):
     assert toxicity.score(empty, none).count() == 0
 
 
+def test_toxicity_patterns_are_ordered(spark):
+    g = toxicity.Grammar(dict.fromkeys(toxicity.INSULTS + toxicity.THREATS, 3.0), {}, (-4.0, 2.5))
+    alone, of_you = g.raw("an idiot"), g.raw("you are such an idiot")
+    assert g.raw("an idiot like you") == of_you > alone == g.raw("you walk along the old road past an idiot")
+    assert g.raw("you are not an idiot") < 0.5 * alone and g.raw("you idiot do not care") == of_you == g.raw("you never listen, you idiot")
+    assert g.raw("he said: you are an idiot") < of_you == g.raw("you idiot, he said") and g.raw("he said no but you are an idiot") == of_you
+    assert g.raw("I will kill you") > 2 * g.raw("I will kill time") > 0 and g.raw("I will never kill you") < 0.5 * g.raw("I will kill you")
+    rows, labels = [], []
+    for i in range(300):
+        w = words(random.Random(i), 20)
+        w[5:5] = ["kill", "you"] if i % 3 == 0 else ["kill", "the", "time", "they"] if i % 3 == 1 else ["not", "idiot"] if i % 2 else []
+        rows.append((i, " ".join(w)))
+        labels.append((i, 1, int(i % 3 == 0)))
+    g = toxicity.train(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    prior = dict(zip([(p, m) for p in toxicity.PATTERNS for m in toxicity.MARKS], toxicity._products(toxicity.PRIOR)))
+    fitted = dict(zip(prior, g.pattern))
+    assert fitted["target+threat", ""] > prior["target+threat", ""] and fitted["insult", "n"] < prior["insult", "n"]
+    assert g.score("we will kill you") > g.score("we will kill much time")
+
+
 def test_warc_round_trip(spark):
     rows = [(1, "http://a b", "<p>é</p>"), (2, None, "<p>é</p>"), (3, "u", None), (4, "u", ""), (5, "v", "WARC/1.1\r\n\r\n"), (6, "w", "x" * 300_000)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
