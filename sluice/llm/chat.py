@@ -10,7 +10,8 @@ control characters `\\`, `<` and `[` become `\\b`, `\\l` and `\\s`, so that no m
 the exact text again.
 
 Defined cases: a null text or role is empty; messages with the same conversation and turn follow each other by role and
-text; a conversation has at least one row; an empty table gives no rows; further columns are ignored.
+text; rows with a null conv_id are one conversation; a conversation has at least one row; an empty table gives no rows;
+further columns are ignored.
 """
 
 from __future__ import annotations
@@ -55,7 +56,9 @@ def best_paths(tree: DataFrame, top: int = 1) -> DataFrame:
     tree: conv_id, node (unique in its tree), parent (null at a root), score, role, text.  Branches with equal path
     scores are ranked by their leaves' nodes.  The loops end after log2(depth) rounds.
     """
-    tree = materialise(tree, "tree")
+    zero = F.lit(0).cast(tree.schema["conv_id"].dataType)
+    key = F.struct(F.col("conv_id").isNull().alias("none"), F.coalesce("conv_id", zero).alias("id"))  # null equals null
+    tree = materialise(tree.withColumn("conv_id", key), "tree")
     links = tree.select("conv_id", "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score"))
     reach = links.select("conv_id", "node", F.col("parent").alias("up"), "score", F.lit(1).cast("long").alias("depth"))
     up = lambda df: df.select(
@@ -84,7 +87,7 @@ def best_paths(tree: DataFrame, top: int = 1) -> DataFrame:
         path = materialise(path.unionByName(found).distinct(), "path")
     return path.join(reach.select("conv_id", "node", "depth"), ["conv_id", "node"]).join(
         tree.select("conv_id", "node", "role", "text"), ["conv_id", "node"]
-    ).select("conv_id", "branch", "depth", "role", "text")
+    ).select(F.when(~F.col("conv_id.none"), F.col("conv_id.id")).alias("conv_id"), "branch", "depth", "role", "text")
 
 
 def format_paths(paths: DataFrame) -> DataFrame:

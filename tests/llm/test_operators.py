@@ -167,6 +167,14 @@ def test_chat_long_and_odd(spark):
     assert got[1].loss == "".join(r[3] for r in rows[:70] if r[2] == "assistant") and len(got[2].turns) == 2
 
 
+def test_chat_null_conversation(spark):
+    rows = [(None, 1, "user", "q"), (None, 2, "assistant", "a"), (None, 3, "user", "r"), (0, 1, "assistant", "zero"), (5, 1, "user", "x")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: r for r in chat.read_back(chat.format_paths(chat.best_paths(chat.chain(df)))).collect()}
+    assert {k: [t.text for t in r.turns] for k, r in got.items()} == {None: ["q", "a", "r"], 0: ["zero"], 5: ["x"]}
+    assert got[None].loss == "a"
+
+
 def test_licenses(spark, empty):
     rows = {
         1: "Released under the MIT  License.\nmit license mit license",
