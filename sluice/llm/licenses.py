@@ -68,7 +68,10 @@ class Scanner:
         self.patterns = [regex.compile(f"(?:{regex.escape(n)}){{e<={k}}}", regex.BESTMATCH) for n, _, k in notices]
 
     def fuzzy(self, text: str) -> list[tuple[int, int, int, int]]:
-        """(start, end, notice, edits) of the verified places in a normalised text, best of overlapping ones first found."""
+        """(start, end, notice, edits) of the verified places in a normalised text, the best of overlapping ones.
+
+        The best place of a region comes first, then the best ones of what is left of it and right of it, and so on.
+        """
         windows: dict[int, list[tuple[int, int]]] = {}
         for end, hits in self.seeds.iter(text):
             for i, at, size in hits:
@@ -84,11 +87,12 @@ class Scanner:
                     joined[-1] = (joined[-1][0], max(b, joined[-1][1]))
                 else:
                     joined.append((a, b))
-            for a, b in joined:
-                at = a
-                while m := self.patterns[i].search(text, at, min(b, len(text))):
+            todo = joined
+            while todo:
+                a, b = todo.pop()
+                if m := self.patterns[i].search(text, a, min(b, len(text))):
                     out.append((m.start(), m.end(), i, sum(m.fuzzy_counts)))
-                    at = max(m.end(), m.start() + 1)
+                    todo += [(a, m.start()), (max(m.end(), m.start() + 1), b)]
         return sorted(out)
 
 

@@ -204,6 +204,13 @@ def test_fuzzy_search_finds_all_within_the_edits():
             assert any(n == i for _, _, n, _ in scanner.fuzzy("aa bb " + "".join(t) + " cc"))
 
 
+def test_fuzzy_search_keeps_places_before_the_best():
+    scanner = licenses.Scanner()
+    assert [(a, b, e) for a, b, _, e in scanner.fuzzy("mozila public license mozilla public license x")] == [(0, 21, 1), (22, 44, 0)]
+    found = scanner.fuzzy("all rights reservd all rights reserved all rigts reserved all rights reserved")
+    assert [(a, b, e) for a, b, _, e in found] == [(0, 18, 1), (19, 38, 0), (39, 57, 1), (58, 77, 0)]
+
+
 def test_toxicity(spark, empty):
     rng, rows, labels = random.Random(3), [], []
     for i in range(300):
