@@ -5,17 +5,24 @@ A document's set holds its distinct shingles.  Equal sets are one class.  Classe
 for one symbol at most; each chunk is therefore indexed CHUNK times, each time without one of its symbols.  All pairs
 under that distance share an index key, and of pairs at a similarity of 0.8 all but some 1e-5 do.
 
-Buckets (classes with a key in common) are joined without emitting all their pairs: in each round every class is paired
-with one leader of each of its buckets, and confirmed links are contracted to components; the next round pairs only
-classes whose leader is in another component.  When no bucket has many pairs across components left, or after ROUNDS rounds, the rest is joined in
-full, with each pair of classes that still are in different components and whose sizes allow a link.  So a link is only ever skipped between documents that
-confirmed links connect already: components are those of all links between candidates.
+Buckets (classes with a key in common) are joined without emitting all their pairs:
 
-Every link is confirmed on the full sets: intersection and union sizes of sorted 64-bit shingle hashes.
+1. Each bucket has a leader, the class with the most partners over all its buckets; all classes of a bucket are compared
+   with it.  Confirmed links are contracted to components, and only pairs across components matter from here on.
+2. Buckets of up to SMALL classes give their pairs.
+3. In larger buckets a class is told by its edits, the symmetric difference of its set and the leader's; two classes
+   differ by the symmetric difference of their edits.  Let slack be the edits of a class beyond what a link to the leader
+   allows.  Classes x and y without slack are both linked to the leader.  Where x has slack, a link of x and y needs
+   at least half of (slack of x + edits of y - what the sizes allow) edits in common, so with all edits in one order
+   (rare ones first) some common edit is among the first of both.  Classes are listed by those first edits, and only
+   classes that meet in a list are compared.  This loses no link, and random edits of one text rarely meet.
+
+So a link is only ever skipped between documents that confirmed links connect already: components are those of all links
+between candidates.  Every link is confirmed on the full sets: intersection and union sizes of sorted 64-bit shingle hashes.
 
 Defined cases: null, empty and blank texts have empty sets and are linked with nothing; a shorter text is one shingle;
-rows with the same id are one document whose texts' links are joined; null ids come back as rows of their own, unlinked;
-an empty table gives no rows; further columns are ignored.
+very long texts are compared whole, one pair at a time; rows with the same id are one document whose texts' links are
+joined; null ids come back as rows of their own, unlinked; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,9 +38,10 @@ from sluice.llm.common import drop_table, grams, hashes, materialise, mix, slice
 
 CHUNKS, CHUNK = 8, 5
 SYMBOLS = CHUNKS * CHUNK
-#: Rounds of leaders at most, and pairs across components in a bucket's full join below which they end early.
-ROUNDS = 6
-FEW_PAIRS = 1_000
+#: Most classes of a bucket that gives all its pairs.
+SMALL = 8
+#: Share of all rows from which on a class of equal sets is dealt out by a broadcast: there are at most so many such classes.
+HOT_CLASSES = 4096
 _SEEDS = [np.uint64(s) for s in np.random.default_rng(1).integers(1, 1 << 63, 2 * SYMBOLS, dtype=np.int64)]
 
 
@@ -113,20 +121,30 @@ def _distance_at_most(most: int):
     return run
 
 
+_PAIR = ["a", "b", "ok", "size_a", "size_b", "edits"]
+_PAIR_SCHEMA = "a long, b long, ok boolean, size_a long, size_b long, edits array<long>"
+
+
 def _confirm(words: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.seterr(over="ignore")
         last, kept = None, None
         for batch in batches:
-            ok = []
             for part in slices(batch, "text_b"):
-                for a, ta, tb in zip(part.column("a").to_pylist(), part.column("text_a").to_pylist(), part.column("text_b").to_pylist()):
-                    if last is None or a != last or ta != kept[0]:
+                out = []
+                for a, b, big, at, tb in zip(*(part.column(c).to_pylist() for c in ("a", "b", "big")), part.column("text_a"), part.column("text_b").to_pylist()):
+                    if last is None or a != last or (ta := at.as_py()) != kept[0]:
+                        ta = at.as_py()
                         last, kept = a, (ta, shingle_hashes(ta, words))
                     x, y = kept[1], shingle_hashes(tb, words)
                     both = len(np.intersect1d(x, y, assume_unique=True))
-                    ok.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
+                    ok = 100 * both >= percent * (len(x) + len(y) - both)
+                    edits = None
+                    if big:  # told apart by leader, so that they can be counted and met by themselves
+                        edits = mix(np.setxor1d(x, y, assume_unique=True) ^ mix(np.array([a], np.int64).view(np.uint64))).view(np.int64)
+                    out.append((a, b, ok, len(x), len(y), edits))
+                kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=_PAIR)
 
     return run
 
@@ -152,64 +170,111 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _with_class(rows: DataFrame, classes: DataFrame, total: int) -> DataFrame:
+    """rows with their class's root; classes that hold more than a HOT_CLASSES-th of all rows are broadcast."""
+    hot = F.col("c") > max(100, total // HOT_CLASSES)
+    some = F.broadcast(classes.where(hot).select("h1", "h2", F.col("root").alias("hot_root")))
+    rows = rows.join(some, ["h1", "h2"], "left")
+    rest = classes.where(~hot).select("h1", "h2", F.col("root").alias("own_root"))
+    # rows of hot classes find no partner in `rest`; a key of their own deals them out
+    key = [F.when(F.col("hot_root").isNull(), F.col("h1")).otherwise(F.xxhash64("doc_id")).alias("h1"), F.when(F.col("hot_root").isNull(), F.col("h2")).alias("h2")]
+    dealt = rows.select("doc_id", "n", "hot_root", *key)
+    return dealt.join(rest, ["h1", "h2"], "left").select("doc_id", "n", F.coalesce("hot_root", "own_root").alias("root"))
+
+
+def edit_lists(compared: DataFrame, ratio: float) -> DataFrame:
+    """doc_id, size, edits, left, side and key: the lists each class b of a large bucket is in, by its edits to leader a.
+
+    A class's edits are ordered from rare to frequent; left is how many there are from one of them on.  Lists of side 0
+    are of classes with slack; a class with slack is on side 1 of lists whose side 2 has classes without.  The latter are by
+    level of slack, since a common edit at a late place only serves partners of little slack.
+    """
+    each = compared.where("edits is not null").select("a", "b", "ok", "size_a", "size_b", F.explode("edits").alias("z"))
+    often = each.groupBy("z").agg(F.count("*").alias("c"))
+    ordered = each.join(often, "z").groupBy("a", "b", "ok", "size_a", "size_b").agg(F.array_sort(F.collect_list(F.struct("c", "z"))).alias("z"))
+    slack, left = F.col("edits") - ratio * (F.col("size_a") + F.col("size_b")), F.col("edits") - F.col("place")
+    placed = ordered.select("*", F.size("z").alias("edits")).select("*", F.posexplode("z").alias("place", "at")).where("at.c > 1")
+    placed = placed.select(F.col("b").alias("doc_id"), F.col("size_b").alias("size"), "edits", "ok", left.alias("left"), F.col("at.z").alias("z"), slack.alias("slack"), "size_a")
+    level = lambda x: F.floor(F.log2(F.greatest(x, F.lit(0.5))) / 2 + 1).cast("int")  # noqa: E731  0 below 1, then by powers of 4
+    most = 2 * F.col("left") - F.col("edits") + ratio * (F.col("size") - F.col("size_a"))
+    far, half = ~F.col("ok"), F.col("slack") / 2 - 1e-6
+    own = F.when(far & (F.col("left") >= half + ratio * F.col("size_a")), F.struct(F.lit(0).alias("side"), F.lit(-1).alias("level")))
+    other = F.when(far & (F.col("left") >= half), F.struct(F.lit(1).alias("side"), level(F.col("slack")).alias("level")))
+    served = F.when(F.col("ok") & (most > 0), F.transform(F.sequence(F.lit(0), level(most)), lambda k: F.struct(F.lit(2).alias("side"), k.alias("level"))))
+    lists = F.concat(F.array_compact(F.array(own, other)), F.coalesce(served, F.array().cast("array<struct<side:int,level:int>>")))
+    return placed.select("doc_id", "size", "edits", "left", "z", F.explode(lists).alias("x")).select(
+        "doc_id", "size", "edits", "left", "x.side", F.xxhash64("z", "x.level").alias("key")
+    )
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row; links: percent * union <= 100 * intersection."""
+    ratio = (100 - percent) / (100 + percent)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = materialise(
-        rows.mapInArrow(_sign(words), "doc_id long, n long, h1 long, h2 long, sig binary, keys array<long>").select(
-            "doc_id", "n", "h1", "h2", F.when(F.col("n") > 0, F.col("sig")).alias("sig"), "keys"
-        ),
+        rows.mapInArrow(_sign(words), "doc_id long, n long, h1 long, h2 long, sig binary, keys array<long>"),
         "signed",
         compression="zstd",
     )
     known = signed.where("n > 0 and doc_id is not null")
-    classes = known.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
-    member = materialise(known.select("doc_id", "h1", "h2").join(classes, ["h1", "h2"]).select("doc_id", "rep").distinct(), "member")
-    reps = known.join(member.where("doc_id = rep").select("doc_id"), "doc_id", "left_semi")
+    classes = materialise(known.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")), "classes")
+    # rows with the same id are one document, whatever their texts
+    several = known.groupBy("doc_id").agg(F.min(F.struct("h1", "h2")).alias("low"), F.max(F.struct("h1", "h2")).alias("high")).where("low != high").select("doc_id")
+    texts_of = known.join(several, "doc_id").join(classes, ["h1", "h2"]).select("doc_id", "rep")
+    least = texts_of.groupBy("doc_id").agg(F.min("rep").alias("low"))
+    same = materialise(texts_of.join(least, "doc_id").where("rep != low").select(F.col("low").alias("a"), F.col("rep").alias("b")).distinct(), "same")
+
+    reps = known.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     entries = reps.select("doc_id", "n", F.explode("keys").alias("key"))
-    shared = entries.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+    shared = entries.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     entries = materialise(entries.join(shared, "key"), "entries", compression="zstd")
-    sigs = materialise(reps.join(entries.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "sig"), "sigs")
+    partners = entries.groupBy("doc_id").agg(F.sum("c").alias("partners"))
+    sigs = materialise(reps.join(partners, "doc_id").select("doc_id", "sig", "partners"), "sigs")
     texts = materialise(rows.join(sigs.select("doc_id").distinct(), "doc_id", "left_semi"), "texts", compression="zstd")
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        """Those pairs (a, b) that are links."""
+    def compared(pairs: DataFrame, name: str) -> DataFrame:
+        """Those pairs (a, b, big) whose signatures are near, and the big ones, compared on their full sets."""
         by = lambda df, x, c: df.select(F.col("doc_id").alias(x), F.col(c).alias(f"{c}_{x}"))
-        near = pairs.distinct().join(by(sigs, "a", "sig"), "a").join(by(sigs, "b", "sig"), "b")
-        near = near.select("a", "b", "sig_a", "sig_b").mapInArrow(_distance_at_most(SYMBOLS * 3 // 5), "a long, b long")
-        near = materialise(near.distinct(), "near")
-        full = near.join(by(texts, "b", "text"), "b").join(by(texts, "a", "text"), "a").select("a", "b", "text_a", "text_b")
-        return full.mapInArrow(_confirm(words, percent), "a long, b long, ok boolean").where("ok").select("a", "b")
-
-    fits = (F.col("small") * 100 >= F.col("large") * percent)
-    # documents with the same id are one, whatever their texts
-    links = materialise(member.where("doc_id != rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")), "links")
-    for turn in range(ROUNDS + 1):
-        roots = components(links)
-        placed = entries.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", "n", F.coalesce("root", "doc_id").alias("root"))
-        placed = materialise(placed, "placed", compression="zstd")
-        mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-        groups = placed.join(mixed, "key").groupBy("key", "root").agg(F.count("*").cast("double").alias("c"))
-        worst = groups.groupBy("key").agg((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))).alias("w")).agg(F.max("w").alias("w"), F.sum("w").alias("all")).first()
-        if not worst["all"]:
-            break
-        cross = placed.join(mixed, "key")
-        if turn == ROUNDS or worst["w"] <= FEW_PAIRS:
-            a, b = (cross.select("key", F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("root").alias(f"root_{x}")) for x in "ab")
-            pairs = a.join(b, "key").where("a < b and root_a != root_b").where(
-                (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
-            ).select("a", "b")
-            links = materialise(links.union(confirmed(pairs)), "links")
-            break
-        order = F.xxhash64("doc_id", F.lit(turn))
-        leader = cross.groupBy("key").agg(F.min(F.struct(order.alias("o"), "doc_id", "n", "root")).alias("lead"))
-        pairs = cross.join(leader, "key").where("root != lead.root").select(
-            F.least("doc_id", "lead.doc_id").alias("a"), F.greatest("doc_id", "lead.doc_id").alias("b"),
-            F.least("n", "lead.n").alias("small"), F.greatest("n", "lead.n").alias("large"),
-        ).where(fits).select("a", "b")
-        links = materialise(links.union(confirmed(pairs)), "links")
-        drop_table(placed)
-    roots = components(links).withColumnRenamed("node", "doc_id")
-    found = signed.select("doc_id", F.col("n").alias("n_shingles")).join(roots, "doc_id", "left")
-    root = F.coalesce("root", "doc_id")
-    return found.select("doc_id", "n_shingles", root.alias("component_id"), F.coalesce(F.col("doc_id") == root, F.lit(True)).alias("kept"))
+        full = pairs.join(by(texts, "b", "text"), "b").join(by(texts, "a", "text"), "a").select("a", "b", "big", "text_a", "text_b")
+        return materialise(full.mapInArrow(_confirm(words, percent), _PAIR_SCHEMA), name, compression="zstd")
+
+    def near(pairs: DataFrame) -> DataFrame:
+        by = lambda x: sigs.select(F.col("doc_id").alias(x), F.col("sig").alias(f"sig_{x}"))
+        found = pairs.join(by("a"), "a").join(by("b"), "b").select("a", "b", "sig_a", "sig_b")
+        return found.mapInArrow(_distance_at_most(SYMBOLS * 3 // 5), "a long, b long").distinct().withColumn("big", F.lit(False))
+
+    fits = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
+    order = F.struct("partners", F.xxhash64("doc_id").alias("o"), "doc_id", "n")
+    weighed = entries.join(sigs.select("doc_id", "partners").distinct(), "doc_id")
+    leader = weighed.groupBy("key").agg(F.max(order).alias("lead"))
+    led = entries.join(leader, "key").where("doc_id != lead.doc_id")
+    led = led.select(F.col("lead.doc_id").alias("a"), F.col("doc_id").alias("b"), (F.col("c") > SMALL).alias("big"), fits(F.col("n"), F.col("lead.n")).alias("fits"))
+    led = materialise(led.groupBy("a", "b").agg(F.max("big").alias("big"), F.max("fits").alias("fits")), "led")
+    first = compared(led.where("big").select("a", "b", "big").unionByName(near(led.where("fits and not big"))), "first")
+    links = first.where("ok").select("a", "b").union(same)
+    roots = components(links)
+
+    # pairs across components: of small buckets, and of classes with a common early edit
+    rooted = lambda df: df.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+    side = lambda df, x: df.select("key", *(F.col(c).alias(f"{c}_{x}") for c in df.columns if c != "key"))
+    few = rooted(entries.where(F.col("c") <= SMALL))
+    mixed = few.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+    few = few.join(mixed, "key", "left_semi").drop("c")
+    pairs = side(few, "a").join(side(few, "b"), "key").where("doc_id_a < doc_id_b and root_a != root_b").where(fits(F.col("n_a"), F.col("n_b")))
+    listed = rooted(edit_lists(first, ratio))
+    one, two = side(listed.where("side < 2"), "a"), side(listed.where("side != 1"), "b")
+    needed = (F.col("edits_a") + F.col("edits_b") - ratio * (F.col("size_a") + F.col("size_b"))) / 2 - 1e-6
+    met = one.join(two, "key").where("root_a != root_b and (side_a = 1 or doc_id_a < doc_id_b)").where(F.least("left_a", "left_b") >= needed)
+    ends = [F.least("doc_id_a", "doc_id_b").alias("a"), F.greatest("doc_id_a", "doc_id_b").alias("b")]
+    pairs = pairs.select(*ends).union(met.where(fits(F.col("size_a"), F.col("size_b"))).select(*ends)).distinct()
+    tested = led.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    second = compared(near(materialise(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")), "second")
+    found = components(first.where("ok").select("a", "b").union(second.where("ok").select("a", "b")).union(same))
+    rest = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", "c", F.coalesce("root", "rep").alias("root"))
+    dealt = _with_class(signed.select("doc_id", "n", "h1", "h2"), rest, signed.count())
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
+    out = dealt.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    out = materialise(out, "components")
+    for done in (signed, classes, same, entries, sigs, texts, led, first, second, roots, found):
+        drop_table(done)
+    return out

@@ -328,6 +328,27 @@ def test_near_duplicates(docs, texts, empty, n):
     assert all(r.kept == (i == r.component_id) for i, r in got.items()) and max(Counter(roots.values()).values()) > 10
 
 
+def test_near_duplicates_of_one_text(spark, monkeypatch):
+    """Many unlinked edits of one text: no pairs of them all, and still every link, links by shared edits included."""
+    rng = random.Random(11)
+    base = words(rng, 120, 5000)
+    texts = {0: " ".join(base)}
+    for i in range(1, 260):
+        w = (texts[rng.randrange(i)].split() if i % 5 == 0 else base)[:]
+        for _ in range(rng.choice([1, 2, 3, 5, 6, 7, 9])):
+            at = rng.randrange(len(w))
+            w[at : at + rng.choice([0, 1, 1])] = [] if rng.random() < 0.2 else [f"e{rng.randrange(9999)}"]
+        texts[i] = " ".join(w)
+    roots, _ = links(texts, 4, 80)
+    assert len(set(roots.values())) > 20
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    made, compare = [], neardup._confirm
+    monkeypatch.setattr(neardup, "drop_table", lambda df: made.append(df))
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs, words=4).collect()}
+    assert got == roots and compare is neardup._confirm
+    assert sum(df.count() for df in made if "ok" in df.columns) < 12 * len(texts)  # of 33,670 pairs
+
+
 def test_near_duplicates_odd(spark, empty):
     assert neardup.near_duplicates(empty).count() == 0
     t = " ".join(f"v{i}" for i in range(50))
