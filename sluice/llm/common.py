@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -24,39 +25,54 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see, from spark.checkpoint.dir.
+    """The folder that the driver and all executors see, from spark.checkpoint.dir, on the file system that it names.
 
-    Only where the session names none (tests, a single machine) a local folder is made and set.
+    Only where the session names none and runs in this process (tests, a single machine) a local folder is made and set.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         own = tempfile.mkdtemp(prefix="sluice-")
         atexit.register(shutil.rmtree, own, True)
-        spark.sparkContext.setCheckpointDir(own)
+        spark.sparkContext.setCheckpointDir(f"file://{own}")
         found = f"file://{own}"
-    if "://" not in found:
-        found = "file://" + found.removeprefix("file:")
-    return found
+    at, system = _path(spark, found)
+    return str(system.makeQualified(at).toString())
+
+
+def _path(spark: SparkSession, path: str) -> tuple:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
 
 
 def fresh_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/sluice/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str, **options) -> DataFrame:
+#: Shuffle files of a written table's query go as soon as it is written.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def materialise(df: DataFrame, name: str, path: str | None = None, **options) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage ends there, and it outlives executors."""
-    path = fresh_dir(df.sparkSession, name)
-    df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, path or fresh_dir(df.sparkSession, name)
+    before = spark.conf.get(_CLEAN)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.options(**options).parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_table(df: DataFrame) -> None:
+def drop_table(*tables: DataFrame) -> None:
     """Delete what materialise() wrote, once nothing will read it again."""
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/sluice/" in path:
-            jvm = df.sparkSession.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+    for df in tables:
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if "/sluice/" in path:
+                at, system = _path(df.sparkSession, path)
+                system.delete(at, True)
 
 
 def file_system(uri: str) -> tuple[pafs.FileSystem, str]:

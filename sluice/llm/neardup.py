@@ -230,12 +230,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     entries = materialise(entries.join(shared, "key"), "entries", compression="zstd")
     partners = entries.groupBy("doc_id").agg(F.sum("c").alias("partners"))
     sigs = materialise(reps.join(partners, "doc_id").select("doc_id", "sig", "partners"), "sigs")
-    texts = materialise(rows.join(sigs.select("doc_id").distinct(), "doc_id", "left_semi"), "texts", compression="zstd")
+    texts = materialise(rows.join(sigs.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi"), "texts", compression="zstd")
 
     def compared(pairs: DataFrame, name: str) -> DataFrame:
         """Those pairs (a, b, big) whose signatures are near, and the big ones, compared on their full sets."""
-        by = lambda df, x, c: df.select(F.col("doc_id").alias(x), F.col(c).alias(f"{c}_{x}"))
-        full = pairs.join(by(texts, "b", "text"), "b").join(by(texts, "a", "text"), "a").select("a", "b", "big", "text_a", "text_b")
+        of = lambda x: texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}")).hint("merge")
+        full = pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "big", "text_a", "text_b")
         return materialise(full.mapInArrow(_confirm(words, percent), _PAIR_SCHEMA), name, compression="zstd")
 
     def near(pairs: DataFrame) -> DataFrame:
@@ -268,13 +268,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ends = [F.least("doc_id_a", "doc_id_b").alias("a"), F.greatest("doc_id_a", "doc_id_b").alias("b")]
     pairs = pairs.select(*ends).union(met.where(fits(F.col("size_a"), F.col("size_b"))).select(*ends)).distinct()
     tested = led.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    second = compared(near(materialise(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")), "second")
+    second = compared(near(pairs.join(tested, ["a", "b"], "left_anti")), "second")
+    drop_table(texts)
     found = components(first.where("ok").select("a", "b").union(second.where("ok").select("a", "b")).union(same))
     rest = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", "c", F.coalesce("root", "rep").alias("root"))
     dealt = _with_class(signed.select("doc_id", "n", "h1", "h2"), rest, signed.count())
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
     out = dealt.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
     out = materialise(out, "components")
-    for done in (signed, classes, same, entries, sigs, texts, led, first, second, roots, found):
-        drop_table(done)
+    drop_table(signed, classes, same, entries, sigs, led, first, second, roots, found)
     return out
