@@ -10,7 +10,8 @@ documents take the same (term, t) in a draw with a probability that equals their
 sum of minima over sum of maxima.  A fingerprint is the list of the draws' 32-bit hashes of (term, t).
 
 Defined cases: a null, empty or blank text has one pseudo-term, so all such texts share a fingerprint that is
-unlike any other; repeated rows are kept as rows; rows without an id come last in the order of neighbours; an empty
+unlike any other; very long texts are sampled whole; repeated rows are kept as rows; rows with equal ids follow each other by
+a hash of their texts, and all of them are in one bucket; rows without an id come last in the order of neighbours; an empty
 table gives no rows; further columns are ignored.
 """
 
@@ -110,22 +111,24 @@ def boundaries(rows: DataFrame, key: str) -> list[int]:
     """Ids that cut the table into buckets of about BUCKET_ROWS rows; each is the largest id of its bucket."""
     count = rows.where(F.col(key).isNotNull()).agg(F.count("*").alias("n")).first()["n"]
     buckets = max(1, min(MOST_BUCKETS, round(count / BUCKET_ROWS)))
-    shares = F.array(*map(F.lit, [(i + 1) / buckets for i in range(buckets)])) if buckets < 512 else F.transform(
-        F.sequence(F.lit(1), F.lit(buckets)), lambda i: i / F.lit(float(buckets))
-    )
+    shares = _constant([(i + 1) / buckets for i in range(buckets)], "double")
     found = rows.agg(F.percentile_approx(key, shares, 20 * buckets + 1000).alias("p")).first()["p"]
     top = rows.agg(F.max(key).alias("m")).first()["m"]
     return sorted({*(found or []), *([top] if top is not None else [])})
 
 
+def _constant(values: list, kind: str) -> Column:
+    """A foldable array of any length."""
+    return F.split(F.lit(",".join(map(repr, values))), ",").cast(f"array<{kind}>")
+
+
 def _bucket(key: Column, cuts: list[int]) -> Column:
     """Number of cuts below a key, by two looks into short lists; 0 for null."""
     if len(cuts) < 2:
         return F.lit(0)
     step = max(1, int(len(cuts) ** 0.5))
     below = lambda xs: F.size(F.filter(xs, lambda c: c < key))
-    coarse = F.array(*map(F.lit, cuts[step - 1 :: step]))
-    fine = F.array(*map(F.lit, cuts))
+    coarse, fine = _constant(cuts[step - 1 :: step], "bigint"), _constant(cuts, "bigint")
     first = below(coarse) * step
     return F.when(key.isNull(), 0).otherwise(first + below(F.slice(fine, first + 1, F.lit(step))))
 
@@ -143,7 +146,7 @@ def neighbours(rows: DataFrame, key: str, text: str) -> DataFrame:
     place = lambda at, own: F.struct(at.cast("int").alias("bucket"), F.lit(own).alias("own"))
     home, guest = place(F.col("b"), True), place(F.when(F.col("b") == last, F.lit(0)).otherwise(F.col("b") + 1), False)
     if cuts:
-        is_top = F.coalesce(F.element_at(F.array(*map(F.lit, cuts)), F.col("b") + 1) == F.col("doc_id"), F.lit(False))
+        is_top = F.coalesce(F.element_at(_constant(cuts, "bigint"), F.col("b") + 1) == F.col("doc_id"), F.lit(False))
     else:  # no row has an id
         is_top = F.lit(True)
     places = F.when(is_top, F.array(home, guest)).otherwise(F.array(home))

@@ -413,3 +413,17 @@ def test_pieces_round_trip(spark, texts, empty):
         if pieces.MARK not in r.decoded:
             assert r.pieces == sp.encode(r.decoded)
     assert pieces.decode(pieces.encode(empty)).count() == 0
+
+
+def test_fingerprints_over_many_buckets(spark, monkeypatch):
+    """Neighbours across the borders of more buckets than a plan could list one by one."""
+    monkeypatch.setattr(fingerprints, "BUCKET_ROWS", 1)
+    rng = random.Random(6)
+    texts = {3 * i - 700: " ".join(words(rng, rng.randrange(12))) for i in range(900)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.edited_sha256 for r in fingerprints.fingerprint_query(docs, 8).select("doc_id", "edited_sha256").collect()}
+    ids = sorted(texts, reverse=True)
+    for i, nxt in zip(ids, [*ids[1:], ids[0]]):
+        t = texts[i]
+        assert got[i] == hashlib.sha256((t[: len(t) - len(t) // 2] + texts[nxt][: len(t) // 2]).encode()).hexdigest()
+    assert len(got) == len(texts)
