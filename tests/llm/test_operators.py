@@ -427,3 +427,51 @@ def test_fingerprints_over_many_buckets(spark, monkeypatch):
         t = texts[i]
         assert got[i] == hashlib.sha256((t[: len(t) - len(t) // 2] + texts[nxt][: len(t) // 2]).encode()).hexdigest()
     assert len(got) == len(texts)
+
+
+@pytest.mark.parametrize("similarity,recall", [(0.8, 1.0), (0.5, 0.7)])
+def test_decontamination_against_brute_force(spark, monkeypatch, similarity, recall):
+    """Every item in every document: found at 0.8, mostly at 0.5, and only what the block tables list."""
+    rng = random.Random(12)
+    items = {i: words(rng, rng.choice([3, 20, 31, 40]), 9999) for i in range(12)}
+    rows, pairs = {}, set()
+    for i in range(150):
+        w = words(rng, rng.randrange(60), 9999)
+        for item in rng.sample(range(12), 2):
+            part = items[item][:]
+            for _ in range(rng.randrange(5)):
+                part[rng.randrange(len(part))] = "z"
+            w[len(w) // 2 : len(w) // 2] = part
+        rows[i] = w
+        for item, x in items.items():
+            grams = lambda x: Counter(tuple(x[k : k + 5]) for k in range(max(1, len(x) - 4)))
+            if any(jaccard_of(grams(w[j : j + len(x)]), grams(x)) >= similarity for j in range(len(w) - len(x) + 1)):
+                pairs.add((i, item))
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows.items()] + [(200, None)], "doc_id long, text string").withColumn("item_id", F.lit(1))
+    bench = spark.createDataFrame([(i, " ".join(x), 1) for i, x in items.items()] * 2, "item_id long, text string, doc_id long")
+    found = decontaminate.search(docs, bench, similarity=similarity)
+    got = found.collect()
+    assert {(r.doc_id, r.item_id) for r in got} <= pairs and len({(r.doc_id, r.item_id) for r in got}) >= recall * len(pairs) > 20
+    assert max(r.distance for r in got) > 8 and len(got) == len(set(got))
+    index = decontaminate.Index([(i, " ".join(x)) for i, x in items.items()], 5, similarity)
+    assert list(index.search([" ".join(rows[0])]))
+    for group in index.lengths:
+        group.tables[:] = False
+    assert not list(index.search([" ".join(w) for w in rows.values()]))
+
+
+def test_block_tables_find_all_within_the_radius():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    prints = rng.integers(0, 256, (50, 8)).astype(np.uint8)
+    group = decontaminate.Length(9, 5, [(i, Counter(), p) for i, p in enumerate(prints)])
+    bits = np.unpackbits(prints, axis=1)
+    for i, b in enumerate(bits):
+        b[rng.permutation(64)[: decontaminate.RADIUS]] ^= 1
+    found = {(w, i) for w, i, _ in group.within(np.packbits(bits, axis=1))}
+    assert {(i, i) for i in range(50)} <= found
+
+
+def jaccard_of(a, b):
+    return sum((a & b).values()) / sum((a | b).values())
