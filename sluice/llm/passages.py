@@ -1,20 +1,23 @@
 """Substring dedup: repeated-phrase automata over recurring passages of at least `window` words.
 
-1. The documents are copied to files of the shared folder, each with a bounded number of rows.
+1. The documents are copied to the shared folder and read in units of UNIT_ROWS rows of a file.
 2. Of each window's GRAM-word grams the one with the least hash is its anchor; equal windows have equal anchors.  Anchors
    that occur in more than one document recur; only windows at recurring anchors can recur.
-3. Those windows' hashes are counted: what occurs in two documents is confirmed, with the least id that holds it.
-4. For each part of a file, the confirmed runs of windows (passages) are compiled into an Aho-Corasick automaton over word
-   numbers, and all documents of the part stream through it; every occurrence found is resolved, window by window,
-   against the least id of the corpus and the places before it in its own document.
-So a document meets the automata of its own part alone, whose sizes are bounded, and no text is shuffled.
+3. Those windows' hashes are counted.  Of a hash that occurs in two documents, the document with the least id is the source:
+   it gives the words of the passages, runs of up to PASSAGE such windows.
+4. Passages go to the units with a document that may hold one, and are compiled there into Aho-Corasick automata of at most
+   SHARD_WORDS words each.  A passage is in an automaton by its aligned blocks of window // 2 words; each window has a whole block.
+   All documents of the unit stream through all its automata.  Each occurrence of a block is extended, word by word, to the
+   longest stretch that document and passage have in common, which covers the windows that start earlier in the source.
+Words are compared themselves: the hashes only tell which passages to look for.  Were two windows' hashes ever equal, one
+could go unfound, but no other word would be removed.  No text is shuffled but the passages.
 
 A document whose whole text was met under a smaller id is a copy: each of its windows starts earlier there, so it is
-resolved without the steps above and does not weigh on them.
+resolved without the steps above and does not weigh on them.  Windows that occur earlier in their own document are found there.
 
-Defined cases: null and empty texts have no words; texts shorter than a window lose nothing; rows with the same id do not
-count as earlier for each other; rows without an id count as later than all others; an empty table gives no rows;
-further columns are kept, and what the operator adds replaces columns of the same name.
+Defined cases: null and empty texts have no words; texts shorter than a window lose nothing; very long texts are streamed
+whole; rows with the same id do not count as earlier for each other; rows without an id count as later than all others; an
+empty table gives no rows; further columns are kept, and what the operator adds replaces columns of the same name.
 """
 
 from __future__ import annotations
@@ -29,11 +32,13 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import file_system, fresh_dir, grams, hashes, materialise, slices
+from sluice.llm.common import drop_table, file_system, grams, hashes, materialise, slices
 
 GRAM = 6
-#: Rows of a file of the copy; words of the documents that share an automaton.
-FILE_ROWS, PART_WORDS = 2000, 200_000
+#: Rows that a task takes from a file of the copy, and bytes of the file's row groups.
+UNIT_ROWS, GROUP_BYTES = 2000, 4 << 20
+#: Most windows of a passage, and words of the passages that share an automaton.
+PASSAGE, SHARD_WORDS = 200, 500_000
 _NO_ID = np.iinfo(np.int64).max
 
 
@@ -52,27 +57,34 @@ def anchors(h: np.ndarray, window: int) -> np.ndarray:
     return np.minimum(least[: len(g) - span + 1], least[span - width :][: len(g) - span + 1]) if len(g) >= span else g[:0]
 
 
-def _read(path: str, columns: list[str] | None = None) -> Iterator[pa.RecordBatch]:
+def _read(path: str, unit: int, size: int, columns: list[str] | None = None) -> Iterator[pa.RecordBatch]:
+    """The rows of a unit of a file, in batches of bounded size."""
     system, at = file_system(path)
+    first, past, start = unit * size, (unit + 1) * size, 0
     with system.open_input_file(at) as f:
-        for batch in pq.ParquetFile(f).iter_batches(256, columns=columns):
-            yield from slices(batch, "text", 1 << 20)
-
-
-def _longs(x: np.ndarray) -> pa.Array:
-    return pa.array(x.view(np.int64))
+        file = pq.ParquetFile(f)
+        for group in range(file.num_row_groups):
+            rows = file.metadata.row_group(group).num_rows
+            if start < past and start + rows > first:
+                row = start
+                for batch in file.iter_batches(256, row_groups=[group], columns=columns):
+                    low, high = max(first - row, 0), min(past - row, batch.num_rows)
+                    row += batch.num_rows
+                    if low < high:
+                        yield from slices(batch.slice(low, high - low), "text", 1 << 20)
+            start += rows
 
 
 def _ids(part: pa.RecordBatch) -> np.ndarray:
     return part.column("__id").fill_null(_NO_ID).to_numpy(zero_copy_only=False)
 
 
-def _anchors_of(window: int):
+def _anchors_of(window: int, size: int):
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         np.seterr(over="ignore")
         copies, out = set(pdf["row"].dropna().astype(int)), []
-        row = 0
-        for part in _read(key[0], ["__id", "text"]):
+        row = key[1] * size
+        for part in _read(*key, size, ["__id", "text"]):
             for text in part.column("text").to_pylist():
                 row += 1
                 if row - 1 in copies or not text:
@@ -82,17 +94,17 @@ def _anchors_of(window: int):
                     a = np.unique(anchors(h, window))
                     out.append(pd.DataFrame({"a": a.view(np.int64), "row": np.int32(row - 1)}))
         out = pd.concat(out) if out else pd.DataFrame({"a": [], "row": []})
-        return out.assign(file=key[0])[["a", "file", "row"]]
+        return out.assign(file=key[0], unit=key[1])[["a", "file", "unit", "row"]]
 
     return run
 
 
-def _windows_of(window: int):
+def _windows_of(window: int, size: int):
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         np.seterr(over="ignore")
         wanted = {r: np.sort(x.to_numpy(np.int64)) for r, x in pdf.groupby("row")["a"]}
-        out, row = [], 0
-        for part in _read(key[0], ["__id", "text"]):
+        out, row = [], key[1] * size
+        for part in _read(*key, size, ["__id", "text"]):
             for doc, text in zip(_ids(part), part.column("text").to_pylist()):
                 if (mine := wanted.get(row)) is not None:
                     h = hashes(text.encode().split())
@@ -101,47 +113,89 @@ def _windows_of(window: int):
                     out.append(pd.DataFrame({"w": w.view(np.int64), "row": np.int32(row), "doc": doc}))
                 row += 1
         out = pd.concat(out) if out else pd.DataFrame({"w": [], "row": [], "doc": []})
-        return out.assign(file=key[0])[["w", "file", "row", "doc"]]
+        return out.assign(file=key[0], unit=key[1])[["w", "file", "unit", "row", "doc"]]
+
+    return run
+
+
+def _passages_of(window: int, size: int, most: int):
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        np.seterr(over="ignore")
+        wanted = {r: x.to_numpy(np.int64) for r, x in pdf.groupby("row")["w"]}
+        out, row = [], key[1] * size
+        for part in _read(*key, size, ["__id", "text"]):
+            for doc, text in zip(_ids(part), part.column("text").to_pylist()):
+                if (mine := wanted.get(row)) is not None:
+                    words = text.encode().split()
+                    w = grams(hashes(words), window).view(np.int64)
+                    known = np.concatenate([[False], np.isin(w, mine), [False]])
+                    for a, b in np.flatnonzero(np.diff(known)).reshape(-1, 2).tolist():
+                        for at in range(a, b, most):
+                            past = min(b, at + most)
+                            out.append((doc, row, at, b" ".join(words[at : past + window - 1]).decode(), w[at:past].tolist()))
+                row += 1
+        found = pd.DataFrame(out, columns=["doc", "row", "at", "phrase", "ws"])
+        return found.assign(file=key[0])[["file", "row", "at", "doc", "phrase", "ws"]]
 
     return run
 
 
-class Part:
-    """The automaton of some documents: their confirmed passages, and what each word of each document is."""
+class Shard:
+    """An automaton of passages over word numbers, and what it covers of documents."""
 
     def __init__(self, window: int):
-        self.window, self.docs, self.words = window, [], 0
-
-    def add(self, doc: int, h: np.ndarray, least: np.ndarray) -> None:
-        """least: for each window the least id that holds it, or the largest number where it is not confirmed."""
-        self.docs.append((doc, h, least))
-        self.words += len(h)
-
-    def covered(self) -> list[np.ndarray]:
-        """For each document, which words are covered by windows that start earlier elsewhere."""
-        n = self.window
-        if not any((least < _NO_ID).any() for _, _, least in self.docs):
-            return [np.zeros(len(h), bool) for _, h, _ in self.docs]
-        _, flat = np.unique(np.concatenate([h for _, h, _ in self.docs]), return_inverse=True)
-        phrases, at, numbers = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE), 0, []
-        for _, h, least in self.docs:
-            ids = tuple((flat[at : at + len(h)] + 1).tolist())
-            at += len(h)
-            numbers.append(ids)
-            known = np.concatenate([[False], least < _NO_ID, [False]])
-            for a, b in np.flatnonzero(np.diff(known)).reshape(-1, 2):
-                phrases.add_word(ids[a : b + n - 1], (b + n - 1 - a, least[a:b]))
-        phrases.make_automaton()
-        out = []
-        for (doc, h, _), ids in zip(self.docs, numbers):
-            earlier = np.zeros(max(0, len(h) - n + 1), bool)
-            if len(ids) >= n:
-                for end, (size, least) in phrases.iter(ids):
-                    start = end + 1 - size
-                    earlier[start : start + len(least)] |= least < doc
-            out.append(spread(earlier, n, len(h)))
+        self.window, self.block = window, window // 2
+        self.numbers: dict[bytes, int] = {}
+        self.passages: list[tuple[int, np.ndarray]] = []
+        self.words = 0
+
+    def add(self, doc: int, phrase: bytes) -> None:
+        """A passage that starts in a document."""
+        number = self.numbers
+        self.passages.append((doc, np.array([number.setdefault(w, len(number) + 1) for w in phrase.split()], np.int64)))
+        self.words += len(self.passages[-1][1])
+
+    def build(self) -> ahocorasick.Automaton:
+        places: dict[tuple, list[tuple[int, int, int]]] = {}
+        for i, (doc, ids) in enumerate(self.passages):
+            ids = ids.tolist()
+            for at in range(0, len(ids) - self.block + 1, self.block):
+                places.setdefault(tuple(ids[at : at + self.block]), []).append((doc, i, at))
+        out = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        for block, found in places.items():
+            out.add_word(block, sorted(found))
+        out.make_automaton()
         return out
 
+    def cover(self, docs: list[tuple[int, list[bytes]]], earlier: list[np.ndarray]) -> None:
+        """Mark, for each document (id, words), the windows that passages of smaller ids have."""
+        phrases, n, get = self.build(), self.window, self.numbers.get
+        for (doc, words), marks in zip(docs, earlier):
+            if len(words) < n:
+                continue
+            ids = tuple(get(w, 0) for w in words)
+            flat = None
+            for end, found in phrases.iter(ids):
+                at = end + 1 - self.block
+                low, high = max(0, end + 1 - n), min(at, len(words) - n) + 1
+                for source, i, offset in found:
+                    if source >= doc or marks[low:high].all():
+                        break
+                    flat = np.array(ids, np.int64) if flat is None else flat
+                    begin, past = _stretch(flat, self.passages[i][1], at, at - offset, self.block)
+                    if past - begin >= n:
+                        marks[begin : past - n + 1] = True
+
+
+def _stretch(doc: np.ndarray, phrase: np.ndarray, at: int, shift: int, block: int) -> tuple[int, int]:
+    """The longest common stretch around a common block, in places of the document; shift: where the passage would start."""
+    low, high = max(0, shift), min(len(doc), shift + len(phrase))
+    same = doc[low:high] == phrase[low - shift : high - shift]
+    left, right = same[: at - low][::-1], same[at - low + block :]
+    before = int(left.argmin()) if not left.all() else len(left)
+    after = int(right.argmin()) if not right.all() else len(right)
+    return at - before, at + block + after
+
 
 def spread(windows: np.ndarray, n: int, words: int) -> np.ndarray:
     """Words covered by the marked windows."""
@@ -152,7 +206,7 @@ def spread(windows: np.ndarray, n: int, words: int) -> np.ndarray:
     return np.cumsum(ends[:-1]) > 0
 
 
-def _strip_of(window: int, names: list[str], digest: bool):
+def _strip_of(window: int, size: int, most: int, names: list[str], digest: bool):
     import hashlib
 
     def finish(part: pa.RecordBatch, texts: list[list[bytes]], gone: list[np.ndarray]) -> pa.RecordBatch:
@@ -169,53 +223,53 @@ def _strip_of(window: int, names: list[str], digest: bool):
 
     def run(table: pa.Table) -> pa.Table:
         np.seterr(over="ignore")
-        path = table.column("file")[0].as_py()
-        row_of = table.column("row").to_numpy()
-        order = np.argsort(row_of, kind="stable")
-        rows, hash_of, least_of = row_of[order], table.column("w").to_numpy()[order], table.column("least").to_numpy()[order]
-        out, row = [], 0
-        for part in _read(path):
+        path, unit = table.column("file")[0].as_py(), table.column("unit")[0].as_py()
+        copies = set(table.column("row").drop_null().to_pylist())
+        shards = [Shard(window)]
+        for doc, phrase in zip(table.column("doc"), table.column("phrase")):
+            if phrase.is_valid:
+                if shards[-1].words >= most:
+                    shards.append(Shard(window))
+                shards[-1].add(doc.as_py(), phrase.as_py().encode())
+        parts, row = [], unit * size
+        docs, earlier, whole = [], [], []
+        for part in _read(path, unit, size):
             texts = [(t or "").encode().split() for t in part.column("text").to_pylist()]
-            shard, gone = Part(window), []
-            for doc, words in zip(_ids(part), texts):
-                h = hashes(words)
-                a, b = np.searchsorted(rows, [row, row + 1])
-                mine, theirs = hash_of[a:b], least_of[a:b]
-                w = grams(h, window).view(np.int64)
-                least = np.full(len(w), _NO_ID)
-                copy = b > a and theirs[0] == -1
-                if copy:
-                    shard.add(doc, h[:0], least[:0])
-                elif len(w):
-                    if b > a:
-                        by = np.argsort(mine)
-                        at = np.minimum(np.searchsorted(mine[by], w), len(mine) - 1)
-                        found = mine[by][at] == w
-                        least[found] = theirs[by][at][found]
-                    shard.add(doc, h, least)
-                else:
-                    shard.add(doc, h, least)
+            parts.append((part, len(texts)))
+            for doc, words in zip(_ids(part).tolist(), texts):
+                whole.append(row in copies)
+                docs.append((doc, [] if whole[-1] else words))
+                earlier.append(np.zeros(max(0, len(docs[-1][1]) - window + 1), bool))
                 row += 1
-                if shard.words >= PART_WORDS:
-                    gone += shard.covered()
-                    shard = Part(window)
-            gone += shard.covered()
-            for i, words in enumerate(texts):
+        for shard in shards:
+            if shard.passages:
+                shard.cover(docs, earlier)
+        out, at = [], 0
+        for part, rows in parts:
+            texts, gone = [(t or "").encode().split() for t in part.column("text").to_pylist()], []
+            for i, words in enumerate(texts, at):
                 n = len(words)
-                if len(gone[i]) != n:  # a copy
-                    gone[i] = np.full(n, n >= window)
-                elif n >= window:
-                    gone[i] |= spread(repeated(grams(hashes(words), window)), window, n)
+                if whole[i]:
+                    gone.append(np.full(n, n >= window))
+                elif n < window:
+                    gone.append(np.zeros(n, bool))
+                else:
+                    h = hashes(words)
+                    gone.append(spread(earlier[i] | repeated(grams(h, window), h, window), window, n))
+            at += rows
             out.append(finish(part, texts, gone))
         return pa.Table.from_batches(out)
 
     return run
 
 
-def repeated(w: np.ndarray) -> np.ndarray:
-    """Which windows occur earlier in the same document."""
-    mark = np.ones(len(w), bool)
-    mark[np.unique(w, return_index=True)[1]] = False
+def repeated(w: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
+    """Which windows occur earlier in the same document, by their hashes and then by their words'."""
+    _, first, which = np.unique(w, return_index=True, return_inverse=True)
+    mark = first[which] != np.arange(len(w))
+    at = np.flatnonzero(mark)
+    for k in range(n if len(at) else 0):
+        mark[at] &= h[at + k] == h[first[which[at]] + k]
     return mark
 
 
@@ -223,32 +277,41 @@ def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """docs with further columns n_words, n_removed and kept, the text without its repeated passages (or kept_sha256)."""
     spark, last = docs.sparkSession, "kept_sha256" if digest else "kept"
     own = ["n_words", "n_removed", last]
-    copy = fresh_dir(spark, "documents")
     rows = docs.drop(*own, "__id", *(["text"] if text_col != "text" else [])).withColumn("__id", F.col(id_col).cast("long"))
-    rows.withColumnRenamed(text_col, "text").write.option("maxRecordsPerFile", FILE_ROWS).parquet(copy)
-    stored = spark.read.parquet(copy)
-    base = stored.select("__id", "text", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").cast("int").alias("row"))
-    files = base.select("file").distinct()
+    stored = materialise(rows.withColumnRenamed(text_col, "text"), "documents", **{"parquet.block.size": GROUP_BYTES, "compression": "zstd"})
+    place = F.col("_metadata.row_index").cast("int")
+    base = stored.select("__id", "text", F.col("_metadata.file_path").alias("file"), F.floor(place / UNIT_ROWS).cast("int").alias("unit"), place.alias("row"))
+    units = base.select("file", "unit").distinct()
+    count = max(1, units.count())
     # what the tasks shuffle is small beside the files they read, so the number of tasks is told, not left to sizes
-    by_file = lambda df: df.repartition(max(1, len(stored.inputFiles())), "file").groupBy("file")
+    by_unit = lambda df: df.repartition(count, "file", "unit").groupBy("file", "unit")
 
     # copies of whole texts: all but the least id
     text_hash = [F.xxhash64("text").alias("h1"), F.xxhash64("text", F.lit(1)).alias("h2")]
-    ids = base.where("text != ''").select("file", "row", F.coalesce("__id", F.lit(_NO_ID)).alias("doc"), *text_hash)
+    ids = base.where("text != ''").select("file", "unit", "row", F.coalesce("__id", F.lit(_NO_ID)).alias("doc"), *text_hash)
     first = ids.groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.count("*").alias("c")).where("c > 1")
-    copies = ids.join(first, ["h1", "h2"]).where("doc > first").select("file", "row")
-    todo = files.join(copies, "file", "left")
+    copies = materialise(ids.join(first, ["h1", "h2"]).where("doc > first").select("file", "unit", "row"), "copies")
 
-    found = by_file(todo).applyInPandas(_anchors_of(window), "a long, file string, row int")
+    found = by_unit(units.join(copies, ["file", "unit"], "left")).applyInPandas(_anchors_of(window, UNIT_ROWS), "a long, file string, unit int, row int")
     found = materialise(found, "anchors", compression="zstd")
     many = found.groupBy("a").agg(F.count("*").alias("c")).where("c > 1").select("a")
-    recurring = found.join(many, "a")
-    windows = materialise(by_file(recurring).applyInPandas(_windows_of(window), "w long, file string, row int, doc long"), "windows", compression="zstd")
+    kind = "w long, file string, unit int, row int, doc long"
+    windows = materialise(by_unit(found.join(many, "a")).applyInPandas(_windows_of(window, UNIT_ROWS), kind), "windows", compression="zstd")
+    drop_table(found)
     least = windows.groupBy("w").agg(F.min("doc").alias("least"), F.count("*").alias("c")).where("c > 1").select("w", "least")
-    confirmed = windows.join(least, "w").where("doc > least").select("file", "row", "w", "least")
-    marks = copies.select("file", "row", F.lit(0).cast("long").alias("w"), F.lit(-1).cast("long").alias("least"))
-    none = files.select("file", F.lit(-1).alias("row"), F.lit(0).cast("long").alias("w"), F.lit(0).cast("long").alias("least"))
+    known = materialise(windows.join(least, "w").select("w", "file", "unit", "row", (F.col("doc") == F.col("least")).alias("own")), "known", compression="zstd")
+    drop_table(windows)
+    kind = "file string, row int, at long, doc long, phrase string, ws array<long>"
+    phrases = by_unit(known.where("own")).applyInPandas(_passages_of(window, UNIT_ROWS, PASSAGE), kind)
+    phrases = materialise(phrases.select(F.xxhash64("file", "row", "at").alias("p"), "doc", "phrase", "ws"), "phrases", compression="zstd")
+    held = phrases.select("p", F.explode("ws").alias("w"))
+    wanted = known.where("not own").select("file", "unit", "w").distinct().join(held, "w").select("file", "unit", "p").distinct()
+    wanted = wanted.join(phrases.select("p", "doc", "phrase"), "p").select("file", "unit", F.lit(None).cast("int").alias("row"), "doc", "phrase")
+    no = [F.lit(None).cast("long").alias("doc"), F.lit(None).cast("string").alias("phrase")]
+    told = wanted.unionByName(copies.select("file", "unit", "row", *no)).unionByName(units.select("file", "unit", F.lit(None).cast("int").alias("row"), *no))
+    told = materialise(told, "told", compression="zstd")
+    drop_table(known, phrases, copies)
     names = [c for c in stored.columns if c != "__id"] + own
     kinds = stored.drop("__id").select("*", F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.lit("").alias(last)).schema
-    out = by_file(confirmed.unionByName(marks).unionByName(none)).applyInArrow(_strip_of(window, names, digest), kinds)
+    out = by_unit(told).applyInArrow(_strip_of(window, UNIT_ROWS, SHARD_WORDS, names, digest), kinds)
     return out.withColumnRenamed("text", text_col)

@@ -475,3 +475,41 @@ def test_block_tables_find_all_within_the_radius():
 
 def jaccard_of(a, b):
     return sum((a & b).values()) / sum((a | b).values())
+
+
+def test_passages_by_the_automata_alone(spark, monkeypatch):
+    """Partial, nested, periodic and chained repeats over many units and automata, which alone mark words."""
+    monkeypatch.setattr(passages, "UNIT_ROWS", 7)
+    monkeypatch.setattr(passages, "PASSAGE", 13)
+    monkeypatch.setattr(passages, "SHARD_WORDS", 150)
+    monkeypatch.setattr(passages, "GROUP_BYTES", 1 << 10)
+    rng = random.Random(21)
+    sources = [words(rng, 90, 9999) for _ in range(4)] + [["a", "b"] * 40, ["c"] * 50]
+    texts = {}
+    for i in range(120):
+        w = words(rng, rng.randrange(40), 9999)
+        for _ in range(rng.randrange(3)):
+            x = rng.choice(sources)
+            at = rng.randrange(len(x) - 15)
+            w[len(w) // 2 : len(w) // 2] = x[at : at + rng.randrange(15, 60)]
+        texts[rng.randrange(10**6)] = " ".join(w)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").withColumn("unit", F.lit("x")).repartition(3)
+    seen, removed = set(), {}
+    for i in sorted(texts):
+        w = split(texts[i])
+        gone = [False] * len(w)
+        for j in range(len(w) - 19):
+            key = tuple(w[j : j + 20])
+            if key in seen:
+                gone[j : j + 20] = [True] * 20
+            seen.add(key)
+        removed[i] = " ".join(x for x, g in zip(w, gone) if not g)
+    got = passages.strip_repeats(docs)
+    assert {r.doc_id: r.kept for r in got.collect()} == removed and got.columns == ["doc_id", "text", "unit", "n_words", "n_removed", "kept"]
+    shard = passages.Shard(20)
+    source = words(rng, 60, 9999)
+    shard.add(3, " ".join(source).encode())
+    marks = [passages.np.zeros(41 - 7, bool), passages.np.zeros(1, bool)]
+    coded = [w.encode() for w in source]
+    shard.cover([(5, coded[3:56]), (2, coded[:20])], marks)
+    assert marks[0].all() and not marks[1].any()
