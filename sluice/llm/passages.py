@@ -23,10 +23,10 @@ empty table gives no rows; further columns are kept, and what the operator adds
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import compress
 
 import ahocorasick
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
@@ -79,52 +79,71 @@ def _ids(part: pa.RecordBatch) -> np.ndarray:
     return part.column("__id").fill_null(_NO_ID).to_numpy(zero_copy_only=False)
 
 
+def _head(table: pa.Table) -> tuple[str, int, int]:
+    """File, number and id of a unit, from the row of its group that has them."""
+    return table.column("file").drop_null()[0].as_py(), table.column("unit").drop_null()[0].as_py(), table.column("uid")[0].as_py()
+
+
+def _by_row(table: pa.Table, column: str) -> dict[int, np.ndarray]:
+    """The values of a column by row number, without the row of the unit itself."""
+    some = table.select(["row", column]).drop_null()
+    rows, values = (some.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("row", column))
+    order = np.argsort(rows, kind="stable")
+    starts = np.flatnonzero(np.diff(rows[order], prepend=-1))
+    return dict(zip(rows[order][starts].tolist(), np.split(values[order], starts[1:])))
+
+
+def _flat(found: list[tuple[int, int, np.ndarray]], uid: int, name: str, doc: bool) -> pa.Table:
+    """One table of (row, id, hashes)."""
+    sizes = [len(x) for _, _, x in found]
+    out = {name: pa.array(np.concatenate([x for *_, x in found]).view(np.int64) if found else [], pa.int64())}
+    out["uid"] = pa.array(np.full(sum(sizes), uid, np.int64))
+    out["row"] = pa.array(np.repeat(np.array([r for r, _, _ in found], np.int32), sizes))
+    if doc:
+        out["doc"] = pa.array(np.repeat(np.array([d for _, d, _ in found], np.int64), sizes))
+    return pa.table(out)
+
+
 def _anchors_of(window: int, size: int):
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(table: pa.Table) -> pa.Table:
         np.seterr(over="ignore")
-        copies, out = set(pdf["row"].dropna().astype(int)), []
-        row = key[1] * size
-        for part in _read(*key, size, ["__id", "text"]):
+        path, unit, uid = _head(table)
+        copies, found, row = set(table.column("row").drop_null().to_pylist()), [], unit * size
+        for part in _read(path, unit, size, ["text"]):
             for text in part.column("text").to_pylist():
+                if text and row not in copies:
+                    h = hashes(text.encode().split())
+                    if len(h) >= window:
+                        found.append((row, 0, np.unique(anchors(h, window))))
                 row += 1
-                if row - 1 in copies or not text:
-                    continue
-                h = hashes(text.encode().split())
-                if len(h) >= window:
-                    a = np.unique(anchors(h, window))
-                    out.append(pd.DataFrame({"a": a.view(np.int64), "row": np.int32(row - 1)}))
-        out = pd.concat(out) if out else pd.DataFrame({"a": [], "row": []})
-        return out.assign(file=key[0], unit=key[1])[["a", "file", "unit", "row"]]
+        return _flat(found, uid, "a", False)
 
     return run
 
 
 def _windows_of(window: int, size: int):
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(table: pa.Table) -> pa.Table:
         np.seterr(over="ignore")
-        wanted = {r: np.sort(x.to_numpy(np.int64)) for r, x in pdf.groupby("row")["a"]}
-        out, row = [], key[1] * size
-        for part in _read(*key, size, ["__id", "text"]):
-            for doc, text in zip(_ids(part), part.column("text").to_pylist()):
+        path, unit, uid = _head(table)
+        wanted, found, row = _by_row(table, "a"), [], unit * size
+        for part in _read(path, unit, size, ["__id", "text"]) if wanted else ():
+            for doc, text in zip(_ids(part).tolist(), part.column("text").to_pylist()):
                 if (mine := wanted.get(row)) is not None:
                     h = hashes(text.encode().split())
-                    hit = np.isin(anchors(h, window).view(np.int64), mine)
-                    w = np.unique(grams(h, window)[hit])
-                    out.append(pd.DataFrame({"w": w.view(np.int64), "row": np.int32(row), "doc": doc}))
+                    found.append((row, doc, np.unique(grams(h, window)[np.isin(anchors(h, window).view(np.int64), mine)])))
                 row += 1
-        out = pd.concat(out) if out else pd.DataFrame({"w": [], "row": [], "doc": []})
-        return out.assign(file=key[0], unit=key[1])[["w", "file", "unit", "row", "doc"]]
+        return _flat(found, uid, "w", True)
 
     return run
 
 
 def _passages_of(window: int, size: int, most: int):
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(table: pa.Table) -> pa.Table:
         np.seterr(over="ignore")
-        wanted = {r: x.to_numpy(np.int64) for r, x in pdf.groupby("row")["w"]}
-        out, row = [], key[1] * size
-        for part in _read(*key, size, ["__id", "text"]):
-            for doc, text in zip(_ids(part), part.column("text").to_pylist()):
+        path, unit, uid = _head(table)
+        wanted, out, row = _by_row(table, "w"), [], unit * size
+        for part in _read(path, unit, size, ["__id", "text"]) if wanted else ():
+            for doc, text in zip(_ids(part).tolist(), part.column("text").to_pylist()):
                 if (mine := wanted.get(row)) is not None:
                     words = text.encode().split()
                     w = grams(hashes(words), window).view(np.int64)
@@ -132,10 +151,11 @@ def _passages_of(window: int, size: int, most: int):
                     for a, b in np.flatnonzero(np.diff(known)).reshape(-1, 2).tolist():
                         for at in range(a, b, most):
                             past = min(b, at + most)
-                            out.append((doc, row, at, b" ".join(words[at : past + window - 1]).decode(), w[at:past].tolist()))
+                            out.append((uid, row, at, doc, b" ".join(words[at : past + window - 1]).decode(), w[at:past]))
                 row += 1
-        found = pd.DataFrame(out, columns=["doc", "row", "at", "phrase", "ws"])
-        return found.assign(file=key[0])[["file", "row", "at", "doc", "phrase", "ws"]]
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64())]
+        columns = list(zip(*out)) or [[]] * 6
+        return pa.table([pa.array(c, t) for c, t in zip(columns, kinds)], names=["uid", "row", "at", "doc", "phrase", "ws"])
 
     return run
 
@@ -169,22 +189,32 @@ class Shard:
 
     def cover(self, docs: list[tuple[int, list[bytes]]], earlier: list[np.ndarray]) -> None:
         """Mark, for each document (id, words), the windows that passages of smaller ids have."""
-        phrases, n, get = self.build(), self.window, self.numbers.get
+        phrases, n = self.build(), self.window
+        number = _Numbers(self.numbers).__getitem__
         for (doc, words), marks in zip(docs, earlier):
             if len(words) < n:
                 continue
-            ids = tuple(get(w, 0) for w in words)
-            flat = None
+            ids = tuple(map(number, words))
+            flat, begin, past = None, 0, 0
             for end, found in phrases.iter(ids):
                 at = end + 1 - self.block
-                low, high = max(0, end + 1 - n), min(at, len(words) - n) + 1
+                low, last = max(0, end + 1 - n), min(at, len(words) - n)
                 for source, i, offset in found:
-                    if source >= doc or marks[low:high].all():
-                        break
+                    if source >= doc or (begin <= low and last + n <= past) or marks[low : last + 1].all():
+                        break  # passages come by their sources; windows with this block are marked
                     flat = np.array(ids, np.int64) if flat is None else flat
                     begin, past = _stretch(flat, self.passages[i][1], at, at - offset, self.block)
                     if past - begin >= n:
                         marks[begin : past - n + 1] = True
+                    else:
+                        begin = past = 0
+
+
+class _Numbers(dict):
+    """Numbers of words; 0 for words that no passage has."""
+
+    def __missing__(self, word: bytes) -> int:
+        return 0
 
 
 def _stretch(doc: np.ndarray, phrase: np.ndarray, at: int, shift: int, block: int) -> tuple[int, int]:
@@ -199,18 +229,18 @@ def _stretch(doc: np.ndarray, phrase: np.ndarray, at: int, shift: int, block: in
 
 def spread(windows: np.ndarray, n: int, words: int) -> np.ndarray:
     """Words covered by the marked windows."""
-    ends = np.zeros(words + 1, np.int64)
-    at = np.flatnonzero(windows)
-    np.add.at(ends, at, 1)
-    np.add.at(ends, at + n, -1)
-    return np.cumsum(ends[:-1]) > 0
+    begins = np.flatnonzero(np.diff(np.concatenate([[False], windows, [False]]))).reshape(-1, 2)
+    out = np.zeros(words, bool)
+    for a, b in begins.tolist():
+        out[a : b + n - 1] = True
+    return out
 
 
 def _strip_of(window: int, size: int, most: int, names: list[str], digest: bool):
     import hashlib
 
     def finish(part: pa.RecordBatch, texts: list[list[bytes]], gone: list[np.ndarray]) -> pa.RecordBatch:
-        kept = [b" ".join([w for w, g in zip(ws, x) if not g]) if x.any() else b" ".join(ws) for ws, x in zip(texts, gone)]
+        kept = [b" ".join(compress(ws, (~x).tolist()) if x.any() else ws) for ws, x in zip(texts, gone)]
         own = {
             "n_words": pa.array([len(w) for w in texts], pa.int64()),
             "n_removed": pa.array([int(x.sum()) for x in gone], pa.int64()),
@@ -223,7 +253,7 @@ def _strip_of(window: int, size: int, most: int, names: list[str], digest: bool)
 
     def run(table: pa.Table) -> pa.Table:
         np.seterr(over="ignore")
-        path, unit = table.column("file")[0].as_py(), table.column("unit")[0].as_py()
+        path, unit, _ = _head(table)
         copies = set(table.column("row").drop_null().to_pylist())
         shards = [Shard(window)]
         for doc, phrase in zip(table.column("doc"), table.column("phrase")):
@@ -232,31 +262,30 @@ def _strip_of(window: int, size: int, most: int, names: list[str], digest: bool)
                     shards.append(Shard(window))
                 shards[-1].add(doc.as_py(), phrase.as_py().encode())
         parts, row = [], unit * size
-        docs, earlier, whole = [], [], []
+        docs, earlier = [], []
         for part in _read(path, unit, size):
-            texts = [(t or "").encode().split() for t in part.column("text").to_pylist()]
-            parts.append((part, len(texts)))
-            for doc, words in zip(_ids(part).tolist(), texts):
-                whole.append(row in copies)
-                docs.append((doc, [] if whole[-1] else words))
-                earlier.append(np.zeros(max(0, len(docs[-1][1]) - window + 1), bool))
+            parts.append(part)
+            for doc, text in zip(_ids(part).tolist(), part.column("text").to_pylist()):
+                words = (text or "").encode().split()
+                docs.append((doc, words))
+                earlier.append(np.zeros(0 if row in copies else max(0, len(words) - window + 1), bool))
                 row += 1
+        streamed = [(doc, words if len(marks) else []) for (doc, words), marks in zip(docs, earlier)]
         for shard in shards:
             if shard.passages:
-                shard.cover(docs, earlier)
+                shard.cover(streamed, earlier)
         out, at = [], 0
-        for part, rows in parts:
-            texts, gone = [(t or "").encode().split() for t in part.column("text").to_pylist()], []
-            for i, words in enumerate(texts, at):
+        for part in parts:
+            texts, gone = [words for _, words in docs[at : at + part.num_rows]], []
+            for words, marks in zip(texts, earlier[at : at + part.num_rows]):
                 n = len(words)
-                if whole[i]:
-                    gone.append(np.full(n, n >= window))
-                elif n < window:
-                    gone.append(np.zeros(n, bool))
-                else:
+                if len(marks):
                     h = hashes(words)
-                    gone.append(spread(earlier[i] | repeated(grams(h, window), h, window), window, n))
-            at += rows
+                    marks |= repeated(grams(h, window), h, window)
+                    gone.append(spread(marks, window, n) if marks.any() else np.zeros(n, bool))
+                else:  # a copy or short
+                    gone.append(np.full(n, n >= window))
+            at += part.num_rows
             out.append(finish(part, texts, gone))
         return pa.Table.from_batches(out)
 
@@ -265,6 +294,9 @@ def _strip_of(window: int, size: int, most: int, names: list[str], digest: bool)
 
 def repeated(w: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
     """Which windows occur earlier in the same document, by their hashes and then by their words'."""
+    order = np.sort(w)
+    if not (order[1:] == order[:-1]).any():
+        return np.zeros(len(w), bool)
     _, first, which = np.unique(w, return_index=True, return_inverse=True)
     mark = first[which] != np.arange(len(w))
     at = np.flatnonzero(mark)
@@ -281,35 +313,34 @@ def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     stored = materialise(rows.withColumnRenamed(text_col, "text"), "documents", **{"parquet.block.size": GROUP_BYTES, "compression": "zstd"})
     place = F.col("_metadata.row_index").cast("int")
     base = stored.select("__id", "text", F.col("_metadata.file_path").alias("file"), F.floor(place / UNIT_ROWS).cast("int").alias("unit"), place.alias("row"))
-    units = base.select("file", "unit").distinct()
+    units = materialise(base.select("file", "unit").distinct().withColumn("uid", F.monotonically_increasing_id()), "units")
     count = max(1, units.count())
     # what the tasks shuffle is small beside the files they read, so the number of tasks is told, not left to sizes
-    by_unit = lambda df: df.repartition(count, "file", "unit").groupBy("file", "unit")
+    by_unit = lambda df: df.unionByName(units, allowMissingColumns=True).repartition(count, "uid").groupBy("uid")
 
     # copies of whole texts: all but the least id
     text_hash = [F.xxhash64("text").alias("h1"), F.xxhash64("text", F.lit(1)).alias("h2")]
     ids = base.where("text != ''").select("file", "unit", "row", F.coalesce("__id", F.lit(_NO_ID)).alias("doc"), *text_hash)
     first = ids.groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.count("*").alias("c")).where("c > 1")
-    copies = materialise(ids.join(first, ["h1", "h2"]).where("doc > first").select("file", "unit", "row"), "copies")
+    copies = ids.join(first, ["h1", "h2"]).where("doc > first").join(units, ["file", "unit"])
+    copies = materialise(copies.select("uid", "row"), "copies")
 
-    found = by_unit(units.join(copies, ["file", "unit"], "left")).applyInPandas(_anchors_of(window, UNIT_ROWS), "a long, file string, unit int, row int")
+    found = by_unit(copies).applyInArrow(_anchors_of(window, UNIT_ROWS), "a long, uid long, row int")
     found = materialise(found, "anchors", compression="zstd")
     many = found.groupBy("a").agg(F.count("*").alias("c")).where("c > 1").select("a")
-    kind = "w long, file string, unit int, row int, doc long"
-    windows = materialise(by_unit(found.join(many, "a")).applyInPandas(_windows_of(window, UNIT_ROWS), kind), "windows", compression="zstd")
+    kind = "w long, uid long, row int, doc long"
+    windows = materialise(by_unit(found.join(many, "a")).applyInArrow(_windows_of(window, UNIT_ROWS), kind), "windows", compression="zstd")
     drop_table(found)
     least = windows.groupBy("w").agg(F.min("doc").alias("least"), F.count("*").alias("c")).where("c > 1").select("w", "least")
-    known = materialise(windows.join(least, "w").select("w", "file", "unit", "row", (F.col("doc") == F.col("least")).alias("own")), "known", compression="zstd")
+    known = materialise(windows.join(least, "w").select("w", "uid", "row", (F.col("doc") == F.col("least")).alias("own")), "known", compression="zstd")
     drop_table(windows)
-    kind = "file string, row int, at long, doc long, phrase string, ws array<long>"
-    phrases = by_unit(known.where("own")).applyInPandas(_passages_of(window, UNIT_ROWS, PASSAGE), kind)
-    phrases = materialise(phrases.select(F.xxhash64("file", "row", "at").alias("p"), "doc", "phrase", "ws"), "phrases", compression="zstd")
+    kind = "uid long, row int, at long, doc long, phrase string, ws array<long>"
+    phrases = by_unit(known.where("own").drop("own")).applyInArrow(_passages_of(window, UNIT_ROWS, PASSAGE), kind)
+    phrases = materialise(phrases.select(F.xxhash64("uid", "row", "at").alias("p"), "doc", "phrase", "ws"), "phrases", compression="zstd")
     held = phrases.select("p", F.explode("ws").alias("w"))
-    wanted = known.where("not own").select("file", "unit", "w").distinct().join(held, "w").select("file", "unit", "p").distinct()
-    wanted = wanted.join(phrases.select("p", "doc", "phrase"), "p").select("file", "unit", F.lit(None).cast("int").alias("row"), "doc", "phrase")
-    no = [F.lit(None).cast("long").alias("doc"), F.lit(None).cast("string").alias("phrase")]
-    told = wanted.unionByName(copies.select("file", "unit", "row", *no)).unionByName(units.select("file", "unit", F.lit(None).cast("int").alias("row"), *no))
-    told = materialise(told, "told", compression="zstd")
+    wanted = known.where("not own").select("uid", "w").distinct().join(held, "w").select("uid", "p").distinct()
+    wanted = wanted.join(phrases.select("p", "doc", "phrase"), "p").select("uid", "doc", "phrase")
+    told = materialise(wanted.unionByName(copies, allowMissingColumns=True), "told", compression="zstd")
     drop_table(known, phrases, copies)
     names = [c for c in stored.columns if c != "__id"] + own
     kinds = stored.drop("__id").select("*", F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.lit("").alias(last)).schema
