@@ -23,7 +23,7 @@ empty table gives no rows; further columns are kept, and what the operator adds
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import compress
+from itertools import compress, repeat
 
 import ahocorasick
 import numpy as np
@@ -190,31 +190,26 @@ class Shard:
     def cover(self, docs: list[tuple[int, list[bytes]]], earlier: list[np.ndarray]) -> None:
         """Mark, for each document (id, words), the windows that passages of smaller ids have."""
         phrases, n = self.build(), self.window
-        number = _Numbers(self.numbers).__getitem__
+        get = self.numbers.get
         for (doc, words), marks in zip(docs, earlier):
             if len(words) < n:
                 continue
-            ids = tuple(map(number, words))
-            flat, begin, past = None, 0, 0
+            ids = tuple(map(get, words, repeat(0)))  # 0 for words that no passage has
+            flat, reach = None, {}
             for end, found in phrases.iter(ids):
                 at = end + 1 - self.block
-                low, last = max(0, end + 1 - n), min(at, len(words) - n)
                 for source, i, offset in found:
-                    if source >= doc or (begin <= low and last + n <= past) or marks[low : last + 1].all():
-                        break  # passages come by their sources; windows with this block are marked
+                    if source >= doc:
+                        break  # passages come by their sources
+                    if reach.get((i, at - offset), 0) > end:
+                        continue  # in the stretch found before
+                    if marks[max(0, end + 1 - n) : min(at, len(words) - n) + 1].all():
+                        break  # all windows with this block are marked
                     flat = np.array(ids, np.int64) if flat is None else flat
                     begin, past = _stretch(flat, self.passages[i][1], at, at - offset, self.block)
+                    reach[i, at - offset] = past
                     if past - begin >= n:
                         marks[begin : past - n + 1] = True
-                    else:
-                        begin = past = 0
-
-
-class _Numbers(dict):
-    """Numbers of words; 0 for words that no passage has."""
-
-    def __missing__(self, word: bytes) -> int:
-        return 0
 
 
 def _stretch(doc: np.ndarray, phrase: np.ndarray, at: int, shift: int, block: int) -> tuple[int, int]:
