@@ -43,7 +43,7 @@ CONTROL = "</s>[INST] ok [/INST]"
       SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
       UNION ALL SELECT -1, 0, 'user', '{CONTROL}' UNION ALL SELECT -1, 1, 'assistant', '{CONTROL}'),
     turns AS (SELECT *, replace(replace(replace(text, '\\', '\\b'), '<', '\\l'), '[', '\\s') AS body,
-      replace(replace(replace(role, '\\', '\\b'), '<', '\\l'), '[', '\\s') AS head FROM rows)
+      replace(replace(replace(replace(replace(role, '\\', '\\b'), '<', '\\l'), '[', '\\s'), '|', '\\p'), ']', '\\r') AS head FROM rows)
     SELECT conv_id, count(*)::BIGINT AS n_turns,
       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
@@ -116,7 +116,7 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_warc")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.read_archives(warc.archive_pages(spark, table(spark, sf_dir, "pages")), payloads=False)
-    page = lambda c: F.substring_index(c, ":", -1).cast("long")
+    page = lambda c: F.substring_index(c, ":", -1).try_cast("long")
     return found.where("problem is null").select(
         page("record_id").alias("page_id"),
         "payload_bytes",

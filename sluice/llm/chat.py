@@ -6,11 +6,12 @@ ranked by their path scores, and the messages of the chosen paths are found by w
 doubling.  Each chosen path is formatted as one conversation.
 
 The template marks a turn with `<s>[ROLE] ` ... `</s>`, ROLE in capitals between square brackets.  In texts and roles the
-control characters `\\`, `<` and `[` become `\\b`, `\\l` and `\\s`, so that no marker can occur in them; unescaping gives
-the exact text again.
+control characters `\\`, `<` and `[` become `\\b`, `\\l` and `\\s`, in roles also `|` and `]` become `\\p` and `\\r`, so that no marker can occur
+in them; unescaping gives the exact text again.
 
 Defined cases: a null text or role is empty; messages with the same conversation and turn follow each other by role and
-text; rows with a null conv_id are one conversation; a conversation has at least one row; an empty table gives no rows;
+text; rows with a null conv_id are one conversation; a parent that does not exist makes its messages roots; messages on a
+cycle of parents, or below one, have no root and are left out; a conversation has at least one row; an empty table gives no rows;
 further columns are ignored.
 """
 
@@ -26,8 +27,14 @@ def escape(text: Column) -> Column:
     return F.replace(F.replace(F.replace(text, F.lit("\\"), F.lit("\\b")), F.lit("<"), F.lit("\\l")), F.lit("["), F.lit("\\s"))
 
 
+def escape_role(role: Column) -> Column:
+    return F.replace(F.replace(escape(role), F.lit("|"), F.lit("\\p")), F.lit("]"), F.lit("\\r"))
+
+
 def unescape(text: Column) -> Column:
-    return F.replace(F.replace(F.replace(text, F.lit("\\s"), F.lit("[")), F.lit("\\l"), F.lit("<")), F.lit("\\b"), F.lit("\\"))
+    for code, char in ("\\p", "|"), ("\\r", "]"), ("\\s", "["), ("\\l", "<"), ("\\b", "\\"):
+        text = F.replace(text, F.lit(code), F.lit(char))
+    return text
 
 
 def chain(conversations: DataFrame) -> DataFrame:
@@ -64,9 +71,10 @@ def best_paths(tree: DataFrame, top: int = 1) -> DataFrame:
     up = lambda df: df.select(
         "conv_id", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("score").alias("score2"), F.col("depth").alias("depth2")
     )
+    largest = tree.groupBy("conv_id").agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
     hops = []
-    while True:  # only messages that have not reached a root take part in a round
-        active = reach.where(F.col("up").isNotNull())
+    while 2 ** len(hops) <= largest:  # a path of more messages than its tree has goes in circles
+        active = reach.where(F.col("up").isNotNull())  # only messages that have not reached a root take part in a round
         if active.isEmpty():
             break
         hops.append(active.select("conv_id", "node", "up"))
@@ -78,6 +86,7 @@ def best_paths(tree: DataFrame, top: int = 1) -> DataFrame:
             (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"),
         )
         reach = materialise(reach.where(F.col("up").isNull()).unionByName(moved), "reach")
+    reach = reach.where(F.col("up").isNull())
     inner = links.where(F.col("parent").isNotNull()).select("conv_id", F.col("parent").alias("node")).distinct()
     leaves = reach.join(inner, ["conv_id", "node"], "left_anti")
     rank = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("score"), "node")) - 1
@@ -97,7 +106,7 @@ def format_paths(paths: DataFrame) -> DataFrame:
     """
     turn = F.struct(
         "depth",
-        F.concat(F.lit("<s>["), F.upper(escape(F.col("role"))), F.lit("|"), escape(F.col("role")), F.lit("] ")).alias("head"),
+        F.concat(F.lit("<s>["), F.upper(escape_role(F.col("role"))), F.lit("|"), escape_role(F.col("role")), F.lit("] ")).alias("head"),
         escape(F.col("text")).alias("body"),
         (F.col("role") == "assistant").alias("loss"),
     )

@@ -104,9 +104,20 @@ def base_places(norm: bytes) -> list[tuple[int, str]]:
     for phrase, label in BASE.items():
         at = padded.find(b" " + phrase + b" ")
         while at >= 0:
-            out.append((padded.count(b" ", 0, at), label))
+            out.append((at, label))
             at = padded.find(b" " + phrase + b" ", at + 1)
-    return sorted(out)
+    number = counted(padded, b" ", [at for at, _ in out])
+    return sorted((number[at], label) for at, label in out)
+
+
+def counted(text, mark, places: list[int]) -> dict[int, int]:
+    """How many marks stand before each place, in one pass over the text."""
+    out, last, n = {}, 0, 0
+    for at in sorted(set(places)):
+        n += text.count(mark, last, at)
+        out[at] = n
+        last = at
+    return out
 
 
 SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans string"
@@ -131,9 +142,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                     base = sorted({label for _, label in places})
                     labels = sorted({*base, *(scanner.notices[i][1] for _, _, i, _ in spans)})
                     score = max([1.0 if places else 0.0, *(1 - e / (scanner.notices[i][2] + 1) / 2 for _, _, i, e in spans)])
-                    shown = " ".join(
-                        f"{scanner.notices[i][1]}:{body.count(' ', 0, a)}-{body.count(' ', 0, b)}:{e}" for a, b, i, e in spans
-                    )
+                    number = counted(body, " ", [x for a, b, _, _ in spans for x in (a, b)])
+                    shown = " ".join(f"{scanner.notices[i][1]}:{number[a]}-{number[b]}:{e}" for a, b, i, e in spans)
                     words = [w for w, _ in places]
                     out.append((doc, n, len(words), min(words, default=None), max(words, default=None), ",".join(base), ",".join(labels), score, shown))
                 yield pa.RecordBatch.from_arrays(

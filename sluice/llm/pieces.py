@@ -7,8 +7,9 @@ best-path problem in the max-plus semiring with weights 0 (neighbours allowed) a
 unique.  States are (piece, start) of the piece that reaches over a chunk's border.
 
 Texts longer than `chunk` characters are split into chunks.  Each chunk gives the transfer matrix between the states at
-its two borders; matrices are combined associatively, in a tree; each chunk is then traced back from its border states
-alone.  A word start (the mark that stands for a space) is a border no piece crosses, where the only state is "nothing
+its two borders.  Matrices are multiplied, `fan` neighbours at a time, up a tree until one product a document is left; down the
+same tree, the states at the borders of each product give those inside it.  No task sees more than `fan` matrices of a document.
+Each chunk is then traced back from its border states alone.  A word start (the mark that stands for a space) is a border no piece crosses, where the only state is "nothing
 reaches over"; chunks that hold one have matrices of rank one, and inside them words are encoded and remembered singly.
 
 Decoding joins pieces, and bytes of byte pieces, to the text.  The file's normalisation is the identity with a space
@@ -33,7 +34,8 @@ from pyspark.sql import functions as F
 
 from sluice.llm.common import materialise, slices
 
-CHUNK = 1 << 15
+#: Characters of a chunk, and matrices that are multiplied at a time.
+CHUNK, FAN = 1 << 15, 64
 MARK = "▁"
 #: Words remembered by each task.
 MEMORY = 200_000
@@ -222,13 +224,21 @@ def compose(a: dict[State, frozenset], b: dict[State, frozenset]) -> dict[State,
     return {s: frozenset().union(*(b.get(m, frozenset()) for m in mids)) for s, mids in a.items()}
 
 
-def chosen_states(mats: list[dict[State, frozenset]]) -> list[State]:
-    """The state at each border of the full path: products of the matrices up to each border, then back from the end."""
-    reach, states = [], frozenset([None])
+def product(mats: list[dict[State, frozenset]]) -> dict[State, frozenset]:
+    out = mats[0]
+    for m in mats[1:]:
+        out = compose(out, m)
+    return out
+
+
+def chosen_states(mats: list[dict[State, frozenset]], left: State = None, right: State = None) -> list[State]:
+    """The state at each border of the path between two states: what is reached up to each border, then back from the right
+    state, which at the end of a text (None) is any piece that ends with it."""
+    reach, states = [], frozenset([left])
     for m in mats:
         reach.append(states)
         states = compose({None: states}, m)[None]
-    chosen = [next(s for s in states if s and s[1] == len(s[0]))]  # the last piece ends with the text
+    chosen = [right or next(s for s in states if s and s[1] == len(s[0]))]
     for m, before in zip(reversed(mats), reversed(reach)):
         chosen.append(next(s for s in before if chosen[-1] in m.get(s, frozenset())))
     return chosen[::-1]
@@ -250,17 +260,21 @@ def _state(x) -> State:
     return tuple(x) if x else None
 
 
+def _read(matrix: str) -> dict[State, frozenset]:
+    return {_state(s): frozenset(map(_state, to)) for s, to in json.loads(matrix)}
+
+
 def _matrix(m: dict[State, frozenset]) -> str:
     return json.dumps([[s, sorted(to)] for s, to in m.items()])
 
 
-def encode(docs: DataFrame, model: str | None = None, text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
+def encode(docs: DataFrame, model: str | None = None, text_col: str = "text", chunk: int = CHUNK, fan: int = FAN) -> DataFrame:
     """docs with further columns pieces (array of ids) and n_chunks.  The model's bytes go to the tasks by broadcast (a
     vocabulary file's size is its bound)."""
     spark = docs.sparkSession
     with open(model or default_model(), "rb") as f:
         sent = spark.sparkContext.broadcast(f.read())
-    docs = docs.drop("pieces", "n_chunks", "__key")
+    docs = docs.drop("pieces", "n_chunks", "__key", "__ids")
     schema = docs.select("*", F.array().cast("array<int>").alias("pieces"), F.lit(1).cast("long").alias("n_chunks")).schema
     long = F.coalesce(F.char_length(text_col), F.lit(0)) > chunk
 
@@ -293,10 +307,14 @@ def encode(docs: DataFrame, model: str | None = None, text_col: str = "text", ch
             found = [_matrix(transfer(codec, r["before"], r["chunk"], r["after"], r["i"] == 0)) for r in rows]
             yield pa.RecordBatch.from_pydict({"__key": [r["__key"] for r in rows], "i": [r["i"] for r in rows], "matrix": found})
 
-    def combine(table: pa.Table) -> pa.Table:
+    def multiply(table: pa.Table) -> pa.Table:
+        rows = sorted(table.to_pylist(), key=lambda r: r["i"])
+        return pa.table({"__key": [rows[0]["__key"]], "i": [rows[0]["i"] // fan], "matrix": [_matrix(product([_read(r["matrix"]) for r in rows]))]})
+
+    def inside(table: pa.Table) -> pa.Table:
         rows = sorted(table.to_pylist(), key=lambda r: r["i"])
-        mats = [{_state(s): frozenset(map(_state, to)) for s, to in json.loads(r["matrix"])} for r in rows]
-        states = [json.dumps(s) for s in chosen_states(mats)]
+        ends = [_state(json.loads(rows[0][c])) for c in ("left", "right")]
+        states = [json.dumps(s) for s in chosen_states([_read(r["matrix"]) for r in rows], *ends)]
         return pa.table({"__key": [r["__key"] for r in rows], "i": [r["i"] for r in rows], "left": states[:-1], "right": states[1:]})
 
     def traced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,11 +327,21 @@ def encode(docs: DataFrame, model: str | None = None, text_col: str = "text", ch
             yield pa.RecordBatch.from_arrays([pa.array([r["__key"] for r in rows], pa.int64()), pa.array([r["i"] for r in rows], pa.int64()), pa.array(ids, pa.list_(pa.int32()))], names=["__key", "i", "ids"])
 
     pieces = giants.select("__key", F.col(text_col).alias("text")).mapInArrow(split, "__key long, i long, before string, chunk string, after string, own string")
-    mats = pieces.mapInArrow(matrices, "__key long, i long, matrix string")
-    states = mats.groupBy("__key").applyInArrow(combine, "__key long, i long, left string, right string")
+    up = [materialise(pieces.mapInArrow(matrices, "__key long, i long, matrix string"), "matrices")]
+    longest = giants.agg(F.max(F.char_length(text_col)).alias("n")).first()["n"] or 0
+    over = F.floor(F.col("i") / fan).cast("long")
+    while (longest + 1) / chunk / fan ** (len(up) - 1) > 1:  # until one product a document is left
+        up.append(materialise(up[-1].groupBy("__key", over).applyInArrow(multiply, "__key long, i long, matrix string"), "matrices"))
+    states = up[-1].select("__key", "i", F.lit("null").alias("left"), F.lit("null").alias("right"))
+    for mats in reversed(up[:-1]):
+        ends = states.withColumnRenamed("i", "over")
+        states = mats.withColumn("over", over).join(ends, ["__key", "over"]).groupBy("__key", "over").applyInArrow(inside, "__key long, i long, left string, right string")
+    if len(up) == 1:  # single chunks
+        states = up[0].withColumn("over", F.col("i")).join(states.drop("i"), "__key").groupBy("__key").applyInArrow(inside, "__key long, i long, left string, right string")
     ids = pieces.drop("before").join(states, ["__key", "i"]).mapInArrow(traced, "__key long, i long, ids array<int>")
-    ids = ids.groupBy("__key").agg(F.array_sort(F.collect_list(F.struct("i", "ids"))).alias("x"))
-    done = giants.join(ids, "__key").select(*docs.columns, F.flatten(F.transform("x", lambda x: x["ids"])).alias("pieces"), F.size("x").cast("long").alias("n_chunks"))
+    ids = ids.groupBy("__key").agg(F.array_sort(F.collect_list(F.struct("i", "ids"))).alias("__ids"))
+    pieces_of = F.flatten(F.transform("__ids", lambda x: x["ids"])).alias("pieces")
+    done = giants.join(ids, "__key").select(*docs.columns, pieces_of, F.size("__ids").cast("long").alias("n_chunks"))
     return short.unionByName(done)
 
 

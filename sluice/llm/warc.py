@@ -9,9 +9,9 @@ The reader checks each record: the gzip checksum, the version line, the lengths
 check it searches for the next valid gzip member or, in uncompressed archives, the next version line, goes on from there,
 and reports the bytes between as quarantined.
 
-Defined cases: a null html or url is empty; pages with the same id and payload are all written, the first of them as
-response; a null page id is written as one and comes last when responses are chosen; an empty table gives no rows;
-further columns are ignored.
+Defined cases: a null html or url is empty; very long payloads are one record each; pages that share the largest id of a payload
+are all responses; a page without an id is written as `urn:page:none`, read back as null, and a revisit where its payload has a
+page with an id (else a response); an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -57,6 +57,10 @@ def record(kind: str, record_id: str, url: str, payload: bytes, refers_to: str |
     return "\r\n".join(head).encode() + block + b"\r\n\r\n"
 
 
+def _urn(page_id: int | None) -> str:
+    return f"urn:page:{'none' if page_id is None else page_id}"
+
+
 def member(data: bytes) -> bytes:
     packer = zlib.compressobj(6, zlib.DEFLATED, 31)
     return packer.compress(data) + packer.flush()
@@ -185,7 +189,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
                         name = f"pages-{uuid.uuid4().hex}.warc.gz"
                         out, held, count = system.open_output_stream(f"{root}/{name}", compression=None), 0, 0
                     kind = "response" if row["response"] else "revisit"
-                    data = member(record(kind, f"urn:page:{row['page_id']}", row["url"] or "", row["html"].encode(), f"urn:page:{row['refers_to']}"))
+                    data = member(record(kind, _urn(row["page_id"]), row["url"] or "", row["html"].encode(), _urn(row["refers_to"])))
                     out.write(data)
                     held, count = held + len(data), count + 1
                     if held >= ARCHIVE_BYTES:

@@ -12,7 +12,7 @@ from itertools import combinations
 import pytest
 from pyspark.sql import functions as F
 
-from sluice.llm import chat, decontaminate, fingerprints, licenses, neardup, passages, pieces, sharding, toxicity, warc
+from sluice.llm import catalogue, chat, decontaminate, fingerprints, licenses, neardup, passages, pieces, sharding, toxicity, warc
 
 SCHEMA = "doc_id long, text string, lang string, h1 long"
 
@@ -403,9 +403,13 @@ def test_pieces_lattice_equals_library():
 
 
 def test_pieces_round_trip(spark, texts, empty):
-    rows = {**texts, 200: "a▁b ▁\x00 ﷐", 201: "no spaces " * 50 + "q" * 5000 + "日本" * 500}
+    rows = {**texts, 200: "a▁b ▁\x00 ﷐", 201: "no spaces " * 50 + "q" * 5000 + "日本" * 500, 202: "wörd " * 3000}
     df = spark.createDataFrame([(i, t, None, 1) for i, t in rows.items()], SCHEMA)
-    out = pieces.decode(pieces.encode(df, chunk=512)).collect()
+    df = df.withColumn("x", F.lit(7)).withColumn("i", F.lit("c")).withColumn("pieces", F.lit(1))
+    found = pieces.decode(pieces.encode(df, chunk=512, fan=3))
+    assert found.columns == ["doc_id", "text", "lang", "h1", "x", "i", "pieces", "n_chunks", "decoded"]
+    out = found.collect()
+    assert max(r.n_chunks for r in out) > 27  # four levels of products
     sp = pieces.Codec(open(pieces.default_model(), "rb").read()).sp
     assert len(out) == len(rows) and any(r.n_chunks > 3 for r in out)
     for r in out:
@@ -513,3 +517,40 @@ def test_passages_by_the_automata_alone(spark, monkeypatch):
     coded = [w.encode() for w in source]
     shard.cover([(5, coded[3:56]), (2, coded[:20])], marks)
     assert marks[0].all() and not marks[1].any()
+
+
+def test_chat_roles_and_cycles(spark):
+    roles = ["us|er", "a] b", "\\p<[", "assistant", "x] ] |"]
+    df = spark.createDataFrame([(1, i, r, f"t{i}") for i, r in enumerate(roles)], "conv_id long, turn long, role string, text string")
+    got = chat.read_back(chat.format_paths(chat.best_paths(chat.chain(df)))).first()
+    assert [tuple(t) for t in got.turns] == [(r, f"t{i}") for i, r in enumerate(roles)]
+    rows = [(1, 1, 2), (1, 2, 1), (1, 3, 2), (2, 1, 1), (3, 1, None), (3, 2, 1), (3, 5, 9), (4, 1, 7)]
+    tree = spark.createDataFrame([(c, n, p, 1.0, "user", str(n)) for c, n, p in rows], "conv_id long, node long, parent long, score double, role string, text string")
+    got = sorted((r.conv_id, r.branch, r.depth, r.text) for r in chat.best_paths(tree, 9).collect())
+    assert got == [(3, 0, 1, "1"), (3, 0, 2, "2"), (3, 1, 1, "5"), (4, 0, 1, "1")]
+
+
+def test_warc_query_with_odd_ids(spark, tmp_path):
+    rows = [(7, "a"), (7, "a"), (3, "a"), (None, "a"), (None, "b"), (1, "b"), (None, "c"), (None, "c"), (2, None), (4, "")]
+    spark.createDataFrame([(i, "u", h) for i, h in rows], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = Counter((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in catalogue.QUERIES["op6_warc"](spark, str(tmp_path)).collect())
+    assert got == Counter(
+        [(7, 1, "response", None)] * 2 + [(3, 1, "revisit", 7), (None, 1, "revisit", 7), (None, 1, "revisit", 1), (1, 1, "response", None)]
+        + [(None, 1, "response", None)] * 2 + [(2, 0, "revisit", 4), (4, 0, "response", None)]
+    )
+
+
+def test_license_places_against_a_scan(spark):
+    """Counts and places of the base phrases by a plain look at every word; also of a very long text, in linear time."""
+    rng = random.Random(2)
+    pool = "gnu general public license apache mit cc by é x 3".split()
+    phrases = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
+    texts = {i: rng.choice(["", ", "]).join(rng.choice([w, w.upper()]) + rng.choice(" -\n") for w in rng.choices(pool, k=rng.randrange(60))) for i in range(80)}
+    texts[99] = "MIT license. " * 20_000
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").withColumn("spans", F.lit(1))
+    for r in licenses.scan(df).collect():
+        low = "".join(c.lower() if "A" <= c <= "Z" else c for c in texts[r.doc_id])
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+        at = [(i, label) for p, label in phrases.items() for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word) == (len(w), len(at), min((i for i, _ in at), default=None), max((i for i, _ in at), default=None))
+        assert r.base_labels == ",".join(sorted({x for _, x in at})) and set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(","))
