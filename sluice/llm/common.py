@@ -54,13 +54,16 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def materialise(df: DataFrame, name: str, path: str | None = None, **options) -> DataFrame:
-    """Write a table to the shared folder and read it back: lineage ends there, and it outlives executors."""
+def materialise(df: DataFrame, name: str, path: str | None = None, tasks: int = 0, **options) -> DataFrame:
+    """Write a table to the shared folder and read it back: lineage ends there, and it outlives executors.
+
+    tasks: the most files for it, where its rows are small and their number is known.
+    """
     spark, path = df.sparkSession, path or fresh_dir(df.sparkSession, name)
     before = spark.conf.get(_CLEAN)
     spark.conf.set(_CLEAN, "true")
     try:
-        df.write.options(**options).parquet(path)
+        (df.coalesce(tasks) if tasks else df).write.options(**options).parquet(path)
     finally:
         spark.conf.set(_CLEAN, before)
     return spark.read.schema(df.schema).parquet(path)

@@ -42,6 +42,8 @@ SYMBOLS = CHUNKS * CHUNK
 SMALL = 8
 #: Share of all rows from which on a class of equal sets is dealt out by a broadcast: there are at most so many such classes.
 HOT_CLASSES = 4096
+#: Rows of ids that a task takes.
+TASK_ROWS = 25_000
 _SEEDS = [np.uint64(s) for s in np.random.default_rng(1).integers(1, 1 << 63, 2 * SYMBOLS, dtype=np.int64)]
 
 
@@ -152,15 +154,16 @@ def _confirm(words: int, percent: int):
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the least node that each node of the edges (a, b) reaches.  Least labels and pointer jumps, in
     rounds that each end in a table of the shared folder."""
-    both = materialise(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct(), "edges")
-    labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("root")), "labels")
+    tasks = 1 + edges.count() // TASK_ROWS
+    both = materialise(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct(), "edges", tasks=tasks)
+    labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("root")), "labels", tasks=tasks)
     while True:
         other = labels.select(F.col("node").alias("b"), F.col("root").alias("theirs"))
         heard = both.join(other, "b").groupBy(F.col("a").alias("node")).agg(F.min("theirs").alias("theirs"))
         lower = labels.join(heard, "node").select("node", F.least("root", "theirs").alias("next"), "root")
         jump = labels.select(F.col("node").alias("next"), F.col("root").alias("far"))
         new = materialise(
-            lower.join(jump, "next", "left").select("node", F.least("next", F.coalesce("far", "next")).alias("root"), F.col("root").alias("old")), "labels"
+            lower.join(jump, "next", "left").select("node", F.least("next", F.coalesce("far", "next")).alias("root"), F.col("root").alias("old")), "labels", tasks=tasks
         )
         changed = not new.where("root != old").isEmpty()
         drop_table(labels)
@@ -216,20 +219,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "signed",
         compression="zstd",
     )
+    total = signed.count()
+    tasks = 1 + total // TASK_ROWS
     known = signed.where("n > 0 and doc_id is not null")
-    classes = materialise(known.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")), "classes")
+    classes = materialise(known.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")), "classes", tasks=tasks)
     # rows with the same id are one document, whatever their texts
     several = known.groupBy("doc_id").agg(F.min(F.struct("h1", "h2")).alias("low"), F.max(F.struct("h1", "h2")).alias("high")).where("low != high").select("doc_id")
     texts_of = known.join(several, "doc_id").join(classes, ["h1", "h2"]).select("doc_id", "rep")
     least = texts_of.groupBy("doc_id").agg(F.min("rep").alias("low"))
-    same = materialise(texts_of.join(least, "doc_id").where("rep != low").select(F.col("low").alias("a"), F.col("rep").alias("b")).distinct(), "same")
+    same = materialise(texts_of.join(least, "doc_id").where("rep != low").select(F.col("low").alias("a"), F.col("rep").alias("b")).distinct(), "same", tasks=tasks)
 
     reps = known.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     entries = reps.select("doc_id", "n", F.explode("keys").alias("key"))
     shared = entries.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
-    entries = materialise(entries.join(shared, "key"), "entries", compression="zstd")
+    entries = materialise(entries.join(shared, "key"), "entries", tasks=tasks, compression="zstd")
     partners = entries.groupBy("doc_id").agg(F.sum("c").alias("partners"))
-    sigs = materialise(reps.join(partners, "doc_id").select("doc_id", "sig", "partners"), "sigs")
+    sigs = materialise(reps.join(partners, "doc_id").select("doc_id", "sig", "partners"), "sigs", tasks=tasks)
     texts = materialise(rows.join(sigs.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi"), "texts", compression="zstd")
 
     def compared(pairs: DataFrame, name: str) -> DataFrame:
@@ -249,7 +254,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     leader = weighed.groupBy("key").agg(F.max(order).alias("lead"))
     led = entries.join(leader, "key").where("doc_id != lead.doc_id")
     led = led.select(F.col("lead.doc_id").alias("a"), F.col("doc_id").alias("b"), (F.col("c") > SMALL).alias("big"), fits(F.col("n"), F.col("lead.n")).alias("fits"))
-    led = materialise(led.groupBy("a", "b").agg(F.max("big").alias("big"), F.max("fits").alias("fits")), "led")
+    led = materialise(led.groupBy("a", "b").agg(F.max("big").alias("big"), F.max("fits").alias("fits")), "led", tasks=tasks)
     first = compared(led.where("big").select("a", "b", "big").unionByName(near(led.where("fits and not big"))), "first")
     links = first.where("ok").select("a", "b").union(same)
     roots = components(links)
@@ -272,9 +277,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     drop_table(texts)
     found = components(first.where("ok").select("a", "b").union(second.where("ok").select("a", "b")).union(same))
     rest = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", "c", F.coalesce("root", "rep").alias("root"))
-    dealt = _with_class(signed.select("doc_id", "n", "h1", "h2"), rest, signed.count())
+    dealt = _with_class(signed.select("doc_id", "n", "h1", "h2"), rest, total)
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
     out = dealt.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
-    out = materialise(out, "components")
+    out = materialise(out, "components", tasks=tasks)
     drop_table(signed, classes, same, entries, sigs, led, first, second, roots, found)
     return out
