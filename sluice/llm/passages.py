@@ -108,15 +108,19 @@ def _anchors_of(window: int, size: int):
     def run(table: pa.Table) -> pa.Table:
         np.seterr(over="ignore")
         path, unit, uid = _head(table)
-        copies, found, row = set(table.column("row").drop_null().to_pylist()), [], unit * size
+        copies, found, again, row = set(table.column("row").drop_null().to_pylist()), [], [], unit * size
         for part in _read(path, unit, size, ["text"]):
             for text in part.column("text").to_pylist():
                 if text and row not in copies:
                     h = hashes(text.encode().split())
                     if len(h) >= window:
                         found.append((row, 0, np.unique(anchors(h, window))))
+                        w = np.sort(grams(h, window))
+                        if (w[1:] == w[:-1]).any():
+                            again.append(row)
                 row += 1
-        return _flat(found, uid, "a", False)
+        marks = {"a": pa.nulls(len(again), pa.int64()), "uid": pa.array([uid] * len(again), pa.int64()), "row": pa.array(again, pa.int32())}
+        return pa.concat_tables([_flat(found, uid, "a", False), pa.table(marks)])
 
     return run
 
@@ -249,7 +253,8 @@ def _strip_of(window: int, size: int, most: int, names: list[str], digest: bool)
     def run(table: pa.Table) -> pa.Table:
         np.seterr(over="ignore")
         path, unit, _ = _head(table)
-        copies = set(table.column("row").drop_null().to_pylist())
+        told = table.select(["row", "again"]).drop_null().to_pylist()
+        copies, again = ({r["row"] for r in told if r["again"] == x} for x in (False, True))
         shards = [Shard(window)]
         for doc, phrase in zip(table.column("doc"), table.column("phrase")):
             if phrase.is_valid:
@@ -272,11 +277,12 @@ def _strip_of(window: int, size: int, most: int, names: list[str], digest: bool)
         out, at = [], 0
         for part in parts:
             texts, gone = [words for _, words in docs[at : at + part.num_rows]], []
-            for words, marks in zip(texts, earlier[at : at + part.num_rows]):
+            for row, (words, marks) in enumerate(zip(texts, earlier[at : at + part.num_rows]), unit * size + at):
                 n = len(words)
                 if len(marks):
-                    h = hashes(words)
-                    marks |= repeated(grams(h, window), h, window)
+                    if row in again:
+                        h = hashes(words)
+                        marks |= repeated(grams(h, window), h, window)
                     gone.append(spread(marks, window, n) if marks.any() else np.zeros(n, bool))
                 else:  # a copy or short
                     gone.append(np.full(n, n >= window))
@@ -289,9 +295,6 @@ def _strip_of(window: int, size: int, most: int, names: list[str], digest: bool)
 
 def repeated(w: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
     """Which windows occur earlier in the same document, by their hashes and then by their words'."""
-    order = np.sort(w)
-    if not (order[1:] == order[:-1]).any():
-        return np.zeros(len(w), bool)
     _, first, which = np.unique(w, return_index=True, return_inverse=True)
     mark = first[which] != np.arange(len(w))
     at = np.flatnonzero(mark)
@@ -325,7 +328,6 @@ def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     many = found.groupBy("a").agg(F.count("*").alias("c")).where("c > 1").select("a")
     kind = "w long, uid long, row int, doc long"
     windows = materialise(by_unit(found.join(many, "a")).applyInArrow(_windows_of(window, UNIT_ROWS), kind), "windows", compression="zstd")
-    drop_table(found)
     least = windows.groupBy("w").agg(F.min("doc").alias("least"), F.count("*").alias("c")).where("c > 1").select("w", "least")
     known = materialise(windows.join(least, "w").select("w", "uid", "row", (F.col("doc") == F.col("least")).alias("own")), "known", compression="zstd")
     drop_table(windows)
@@ -335,8 +337,9 @@ def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     held = phrases.select("p", F.explode("ws").alias("w"))
     wanted = known.where("not own").select("uid", "w").distinct().join(held, "w").select("uid", "p").distinct()
     wanted = wanted.join(phrases.select("p", "doc", "phrase"), "p").select("uid", "doc", "phrase")
-    told = materialise(wanted.unionByName(copies, allowMissingColumns=True), "told", compression="zstd")
-    drop_table(known, phrases, copies)
+    rows = copies.withColumn("again", F.lit(False)).unionByName(found.where("a is null").select("uid", "row", F.lit(True).alias("again")))
+    told = materialise(wanted.unionByName(rows, allowMissingColumns=True), "told", compression="zstd")
+    drop_table(found, known, phrases, copies)
     names = [c for c in stored.columns if c != "__id"] + own
     kinds = stored.drop("__id").select("*", F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.lit("").alias(last)).schema
     out = by_unit(told).applyInArrow(_strip_of(window, UNIT_ROWS, SHARD_WORDS, names, digest), kinds)
