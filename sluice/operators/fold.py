@@ -215,7 +215,7 @@ class PartitionState:
             entry[1] += n
         else:
             queue = entry[1]
-            while queue and (left or queue[0][0] == "info"):
+            while queue and left:  # a message at the head waits for the next ask
                 kind, x = queue.popleft()
                 if kind == "info":
                     if now:
@@ -341,7 +341,7 @@ class Producer:
         return [*out, *self._serve(n)]
 
     def _serve(self, n: int) -> list:
-        out = []
+        out, reasks = [], []
         while n and (len(self.buffer) or getattr(self.buffer, "front", None)):
             for m in self.buffer.pop_front():
                 out += self.dispatcher.info(m)
@@ -349,7 +349,7 @@ class Producer:
             left, sent = self.dispatcher.dispatch(events)
             if left:
                 raise AssertionError("a dispatcher refused events that it had asked for")
-            out += self._sent(sent)
+            self._sort(sent, out, reasks)
             for m in infos:
                 out += self.dispatcher.info(m)
         if n:
@@ -357,7 +357,7 @@ class Producer:
                 self.later.append(("demand", n))
             else:
                 out.append(("handle_demand", None, n))
-        return out
+        return out + self._again(reasks)
 
     def _dispatch(self, events: list) -> list:
         if not events:
@@ -366,17 +366,24 @@ class Producer:
             self.later.append(("dispatch", events))
             return []
         left, sent = self.dispatcher.dispatch(events)
-        out = self._sent(sent)
+        out, reasks = [], []
+        self._sort(sent, out, reasks)
         lost, freed = self.buffer.store(left)
         if lost:
             out.append(("discarded", None, lost))
         for m in freed:
             out += self.dispatcher.info(m)
-        return out
+        return out + self._again(reasks)
 
-    def _sent(self, sent: list) -> list:
-        out = [x for x in sent if x[0] != "reask"]
-        for _, sub, n in (x for x in sent if x[0] == "reask"):
+    @staticmethod
+    def _sort(sent: list, out: list, reasks: list) -> None:
+        for x in sent:
+            (reasks if x[0] == "reask" else out).append(x)
+
+    def _again(self, reasks: list) -> list:
+        """Asks for what selectors discarded: messages of their own, after the one that caused them is done with."""
+        out = []
+        for _, sub, n in reasks:
             out += self._asked(*self.dispatcher.ask(n, sub))
         return out
 
@@ -475,15 +482,15 @@ def fold(log: DataFrame, options: ProducerOptions | None = None, names: list[str
 
 def encode_state(state) -> bytes:
     """A state machine as bytes, for state stores."""
-    import pickle
+    from pyspark import cloudpickle  # selectors and partitioners may be lambdas
 
-    return pickle.dumps(state)
+    return cloudpickle.dumps(state)
 
 
 def decode_state(data: bytes):
-    import pickle
+    from pyspark import cloudpickle
 
-    return pickle.loads(data)
+    return cloudpickle.loads(data)
 
 
 __all__ = ["LOG", "OUT", "Buffer", "BroadcastState", "Consumer", "DemandState", "PartitionState", "Producer", "Supervisor", "fold", "machine", "rows_of"]

@@ -54,7 +54,7 @@ def supervise(events: DataFrame, work: Callable[[dict], object], options: Superv
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = [*names, "attempt", "status", "reason", "action"]
-        with ThreadPoolExecutor(min(abreast, 32)) as pool:
+        with ThreadPoolExecutor(abreast) as pool:
             for pdf in batches:
                 rows = iter(pdf.to_dict("records"))
                 while some := list(islice(rows, abreast)):

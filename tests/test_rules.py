@@ -234,3 +234,36 @@ def test_subscriptions_apply_policies():
     t = Subscriptions(None, stop_sources=True)
     t.connect("a", "src")
     assert t.ended("a", "normal") == ["src"]
+
+
+def test_selector_reasks_come_after_the_leftovers_are_stored():
+    stage = Producer(BroadcastState(), Buffer(10))
+    for sub in "ab":
+        stage.step("subscribe", sub, opts={"selector": lambda e: e.startswith("y")})
+        stage.step("ask", sub, 2)
+    out = stage.step("dispatch", events=["x1", "x2", "y3", "y4"])
+    assert sorted(
+        x for x in out if x[0] == "deliver"
+    ) == [("deliver", "a", ["y3", "y4"]), ("deliver", "b", ["y3", "y4"])]
+    assert not len(stage.buffer) and not any(x[0] == "handle_demand" for x in out)
+
+
+def test_a_queued_message_waits_for_the_next_ask():
+    state = PartitionState(["0", "1"], lambda e: (e, "0" if e < 10 else "1"))
+    state.subscribe("b", "1")
+    state.ask(5, "b")
+    state.dispatch([1, 2])
+    assert state.info("m") == []
+    state.subscribe("a", "0")
+    assert state.ask(2, "a")[1] == [("deliver", "a", [1, 2])]
+    assert ("info", None, ["m"]) in state.ask(1, "a")[1]
+
+
+def test_state_with_lambdas_is_kept_between_batches():
+    from sluice.operators.fold import decode_state, encode_state
+
+    stage = Producer(BroadcastState(), Buffer(10))
+    stage.step("subscribe", "a", opts={"selector": lambda e: e != "x"})
+    stage = decode_state(encode_state(stage))
+    stage.step("ask", "a", 2)
+    assert ("deliver", "a", ["y"]) in stage.step("dispatch", events=["x", "y"])
