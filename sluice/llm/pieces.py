@@ -345,6 +345,14 @@ def encode(docs: DataFrame, model: str | None = None, text_col: str = "text", ch
     return short.unionByName(done)
 
 
+def _lists(column: pa.ListArray) -> list[list[int]]:
+    """Lists of a column, null ones as empty; by way of one flat array, since single values of Arrow are slow to reach."""
+    if column.null_count or column.values.null_count:
+        return [x or [] for x in column.to_pylist()]
+    ends, flat = column.offsets.to_pylist(), column.values.to_numpy(zero_copy_only=False)
+    return [flat[a:b].tolist() for a, b in zip(ends, ends[1:])]
+
+
 def decode(rows: DataFrame, model: str | None = None, pieces_col: str = "pieces") -> DataFrame:
     """rows with a further column decoded, the text of the pieces."""
     with open(model or default_model(), "rb") as f:
@@ -356,7 +364,7 @@ def decode(rows: DataFrame, model: str | None = None, pieces_col: str = "pieces"
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                texts = [codec.decode(x or []) for x in part.column(pieces_col).to_pylist()]
+                texts = [codec.decode(x) for x in _lists(part.column(pieces_col))]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, "decoded"])
 
     return rows.mapInArrow(run, rows.select("*", F.lit("").alias("decoded")).schema)
