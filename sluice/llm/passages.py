@@ -37,6 +37,8 @@ from sluice.llm.common import drop_table, file_system, grams, hashes, materialis
 GRAM = 6
 #: Rows that a task takes from a file of the copy, and bytes of the file's row groups.
 UNIT_ROWS, GROUP_BYTES = 2000, 4 << 20
+#: Units that a task takes one after the other: each task writes one file of each table.
+TASK_UNITS = 4
 #: Most windows of a passage, and words of the passages that share an automaton.
 PASSAGE, SHARD_WORDS = 200, 500_000
 _NO_ID = np.iinfo(np.int64).max
@@ -314,7 +316,8 @@ def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     units = materialise(base.select("file", "unit").distinct().withColumn("uid", F.monotonically_increasing_id()), "units")
     count = max(1, units.count())
     # what the tasks shuffle is small beside the files they read, so the number of tasks is told, not left to sizes
-    by_unit = lambda df: df.unionByName(units, allowMissingColumns=True).repartition(count, "uid").groupBy("uid")
+    tasks = max(min(count, spark.sparkContext.defaultParallelism), -(-count // TASK_UNITS))
+    by_unit = lambda df: df.unionByName(units, allowMissingColumns=True).repartition(tasks, "uid").groupBy("uid")
 
     # copies of whole texts: all but the least id
     text_hash = [F.xxhash64("text").alias("h1"), F.xxhash64("text", F.lit(1)).alias("h2")]
