@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.llm import decontaminate, neardup, passages, pieces, toxicity
-from sluice.llm.common import drop_table, fresh_dir, materialise, table
+from sluice.llm.common import drop_table, fresh_dir, materialise, splits, table
 
 ORACLE_SQL = None  # no stage can be expressed in SQL
 
@@ -69,6 +69,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = fresh_dir(spark, f"stage-{name}")
-        before, docs = docs, materialise(stage(spark, docs, sf_dir), name, path)
+        before, docs = docs, materialise(stage(spark, docs, sf_dir), name, path, tasks=splits(docs))
         drop_table(before)  # the input's own files are none of materialise()'s
     return docs

@@ -69,6 +69,11 @@ def materialise(df: DataFrame, name: str, path: str | None = None, tasks: int =
     return spark.read.schema(df.schema).parquet(path)
 
 
+def splits(stored: DataFrame) -> int:
+    """Partitions in which a stored table is read: by its bytes, at least one for each core."""
+    return stored.rdd.getNumPartitions()
+
+
 def drop_table(*tables: DataFrame) -> None:
     """Delete what materialise() wrote, once nothing will read it again."""
     for df in tables:

@@ -220,7 +220,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         compression="zstd",
     )
     total = signed.count()
-    tasks = 1 + total // TASK_ROWS
+    tasks, text_tasks = 1 + total // TASK_ROWS, 4 + 4 * total // TASK_ROWS
     known = signed.where("n > 0 and doc_id is not null")
     classes = materialise(known.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")), "classes", tasks=tasks)
     # rows with the same id are one document, whatever their texts
@@ -235,13 +235,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     entries = materialise(entries.join(shared, "key"), "entries", tasks=tasks, compression="zstd")
     partners = entries.groupBy("doc_id").agg(F.sum("c").alias("partners"))
     sigs = materialise(reps.join(partners, "doc_id").select("doc_id", "sig", "partners"), "sigs", tasks=tasks)
-    texts = materialise(rows.join(sigs.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi"), "texts", compression="zstd")
+    texts = materialise(rows.join(sigs.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi"), "texts", tasks=text_tasks, compression="zstd")
 
     def compared(pairs: DataFrame, name: str) -> DataFrame:
         """Those pairs (a, b, big) whose signatures are near, and the big ones, compared on their full sets."""
         of = lambda x: texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}")).hint("merge")
         full = pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "big", "text_a", "text_b")
-        return materialise(full.mapInArrow(_confirm(words, percent), _PAIR_SCHEMA), name, compression="zstd")
+        return materialise(full.mapInArrow(_confirm(words, percent), _PAIR_SCHEMA), name, tasks=text_tasks, compression="zstd")
 
     def near(pairs: DataFrame) -> DataFrame:
         by = lambda x: sigs.select(F.col("doc_id").alias(x), F.col("sig").alias(f"sig_{x}"))

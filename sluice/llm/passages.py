@@ -327,21 +327,21 @@ def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     copies = materialise(copies.select("uid", "row"), "copies")
 
     found = by_unit(copies).applyInArrow(_anchors_of(window, UNIT_ROWS), "a long, uid long, row int")
-    found = materialise(found, "anchors", compression="zstd")
+    found = materialise(found, "anchors", tasks=tasks, compression="zstd")
     many = found.groupBy("a").agg(F.count("*").alias("c")).where("c > 1").select("a")
     kind = "w long, uid long, row int, doc long"
-    windows = materialise(by_unit(found.join(many, "a")).applyInArrow(_windows_of(window, UNIT_ROWS), kind), "windows", compression="zstd")
+    windows = materialise(by_unit(found.join(many, "a")).applyInArrow(_windows_of(window, UNIT_ROWS), kind), "windows", tasks=tasks, compression="zstd")
     least = windows.groupBy("w").agg(F.min("doc").alias("least"), F.count("*").alias("c")).where("c > 1").select("w", "least")
-    known = materialise(windows.join(least, "w").select("w", "uid", "row", (F.col("doc") == F.col("least")).alias("own")), "known", compression="zstd")
+    known = materialise(windows.join(least, "w").select("w", "uid", "row", (F.col("doc") == F.col("least")).alias("own")), "known", tasks=tasks, compression="zstd")
     drop_table(windows)
     kind = "uid long, row int, at long, doc long, phrase string, ws array<long>"
     phrases = by_unit(known.where("own").drop("own")).applyInArrow(_passages_of(window, UNIT_ROWS, PASSAGE), kind)
-    phrases = materialise(phrases.select(F.xxhash64("uid", "row", "at").alias("p"), "doc", "phrase", "ws"), "phrases", compression="zstd")
+    phrases = materialise(phrases.select(F.xxhash64("uid", "row", "at").alias("p"), "doc", "phrase", "ws"), "phrases", tasks=tasks, compression="zstd")
     held = phrases.select("p", F.explode("ws").alias("w"))
     wanted = known.where("not own").select("uid", "w").distinct().join(held, "w").select("uid", "p").distinct()
     wanted = wanted.join(phrases.select("p", "doc", "phrase"), "p").select("uid", "doc", "phrase")
     rows = copies.withColumn("again", F.lit(False)).unionByName(found.where("a is null").select("uid", "row", F.lit(True).alias("again")))
-    told = materialise(wanted.unionByName(rows, allowMissingColumns=True), "told", compression="zstd")
+    told = materialise(wanted.unionByName(rows, allowMissingColumns=True), "told", tasks=tasks, compression="zstd")
     drop_table(found, known, phrases, copies)
     names = [c for c in stored.columns if c != "__id"] + own
     kinds = stored.drop("__id").select("*", F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.lit("").alias(last)).schema
