@@ -4,7 +4,8 @@ A control log has the columns of LOG; rows are applied in log_seq order, each pr
 hold the rules; fold() runs them over a batch with applyInPandas, streaming.stateful over a stream.  One log order is one
 legal interleaving, and results are a function of it.
 
-Ops: subscribe, ask, cancel, dispatch, info, mode (sub: forward or accumulate), and for consumers receive.
+Ops: subscribe, ask, cancel, dispatch, info, mode (sub: forward or accumulate), and for consumers receive.  A stage in the
+middle has the producer's ops for those below it and, for those above it, subscribe_to, receive and ended.
 Outputs: deliver, handle_demand, cancelled, discarded, dropped, info, ask, excess, stop.
 """
 
@@ -12,6 +13,7 @@ from __future__ import annotations
 
 from bisect import insort
 from collections import deque
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -366,6 +368,7 @@ class Producer:
             self.later.append(("dispatch", events))
             return []
         left, sent = self.dispatcher.dispatch(events)
+        self._accepted(len(events) - len(left))
         out, reasks = [], []
         self._sort(sent, out, reasks)
         lost, freed = self.buffer.store(left)
@@ -375,6 +378,9 @@ class Producer:
             out += self.dispatcher.info(m)
         return out + self._again(reasks)
 
+    def _accepted(self, n: int) -> None:
+        """The dispatcher took n events."""
+
     @staticmethod
     def _sort(sent: list, out: list, reasks: list) -> None:
         for x in sent:
@@ -420,6 +426,85 @@ class Consumer:
         return out
 
 
+@dataclass
+class ProducerConsumer(Producer):
+    """A stage in the middle: what comes from above waits at a gate until there is demand from below.
+
+    A message that the gate lets in is worked on whole, even if it gives more events than were asked for: the rest is
+    buffered.  Infos and ends of producers stand in the queue behind messages that came before them.
+    """
+
+    work: Callable[[list], list] = list
+    above: Consumer = field(default_factory=Consumer)
+    queue: deque = field(default_factory=deque)
+    demand: int = 0
+    reasks: deque = field(default_factory=deque)
+
+    def step(self, op: str, sub=None, n=0, events=(), opts=None) -> list[tuple]:
+        out = self._one(op, sub, n, list(events), opts)
+        while self.reasks:  # messages of their own, after all that the row caused
+            _, who, more = self.reasks.popleft()
+            out += self._asked(*self.dispatcher.ask(more, who))
+        return out
+
+    def _one(self, op: str, sub, n, events: list, opts) -> list[tuple]:
+        if op == "subscribe_to":
+            return self.above.step("subscribe", sub, opts=opts)
+        if op == "receive":
+            if sub not in self.above.subs:
+                return [("cancelled", sub, ["unknown_subscription"])]
+            self.queue.append(("events", sub, events))
+            return self._drain()
+        if op == "ended":  # nothing more is asked of it, but its end is told after its messages
+            told = self.above.step("cancel", sub, events=events)
+            if not self.queue:
+                return told
+            self.queue.extend(told)
+            return []
+        if op == "info" and self.queue:
+            self.queue.append(("info", None, events))
+            return []
+        if op == "mode":
+            raise ValueError("only a producer has a demand mode")
+        return super().step(op, sub, n, events, opts)
+
+    def _asked(self, n: int, out: list) -> list:
+        self.demand += n
+        return [*out, *self._buffered(self.demand), *self._drain()]
+
+    def _buffered(self, n: int) -> list:
+        out = []
+        while n and (len(self.buffer) or getattr(self.buffer, "front", None)):
+            for m in self.buffer.pop_front():
+                out += self.dispatcher.info(m)
+            n, events, infos = self.buffer.take(n)
+            out += self._dispatch(events)
+            for m in infos:
+                out += self.dispatcher.info(m)
+        return out
+
+    def _drain(self) -> list:
+        out = []
+        while self.demand and self.queue:
+            kind, sub, x = self.queue.popleft()
+            if kind == "info":
+                out += super().step("info", events=x)
+            elif kind == "cancelled":
+                out.append((kind, sub, x))
+            else:
+                known = sub in self.above.subs
+                for op, who, y in self.above.step("receive", sub, events=x) if known else [("deliver", sub, x)]:
+                    out += self._dispatch(list(self.work(y))) if op == "deliver" else [(op, who, y)]
+        return out
+
+    def _accepted(self, n: int) -> None:
+        self.demand = max(0, self.demand - n)
+
+    def _again(self, reasks: list) -> list:
+        self.reasks.extend(reasks)
+        return []
+
+
 @dataclass
 class Supervisor:
     """Demand of per-event work: finished children are asked again once there are `min` of them."""
@@ -445,15 +530,18 @@ class Supervisor:
         return out
 
 
-def machine(options: ProducerOptions, names: list[str] | None = None, where=None, role: str = "producer"):
-    """A new state machine."""
+def machine(options: ProducerOptions, names: list[str] | None = None, where=None, role: str = "producer", work=list):
+    """A new state machine; work: what a stage in the middle makes of a batch."""
     if role == "consumer":
         return Consumer()
     if role == "supervisor":
         return Supervisor()
     dispatcher = {"demand": DemandState, "broadcast": BroadcastState}.get(options.dispatcher)
     dispatcher = dispatcher() if dispatcher else PartitionState(names or [], where)
-    return Producer(dispatcher, Buffer(options.buffer_size, options.buffer_keep), options.demand)
+    buffer = Buffer(options.buffer_size, options.buffer_keep)
+    if role == "producer_consumer":
+        return ProducerConsumer(dispatcher, buffer, work=work)
+    return Producer(dispatcher, buffer, options.demand)
 
 
 def rows_of(state, log: pd.DataFrame) -> list[tuple]:
@@ -470,12 +558,12 @@ def rows_of(state, log: pd.DataFrame) -> list[tuple]:
     return out
 
 
-def fold(log: DataFrame, options: ProducerOptions | None = None, names: list[str] | None = None, where=None, role: str = "producer") -> DataFrame:
+def fold(log: DataFrame, options: ProducerOptions | None = None, names: list[str] | None = None, where=None, role: str = "producer", work=list) -> DataFrame:
     """Outputs of a control log; producers run side by side, each one's log in one task, as its order demands."""
     options = options or ProducerOptions()
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(rows_of(machine(options, names, where, role), pdf), columns=[c.split()[0] for c in OUT.split(", ")])
+        return pd.DataFrame(rows_of(machine(options, names, where, role, work), pdf), columns=[c.split()[0] for c in OUT.split(", ")])
 
     return log.groupBy("producer").applyInPandas(run, OUT)
 
@@ -493,4 +581,4 @@ def decode_state(data: bytes):
     return cloudpickle.loads(data)
 
 
-__all__ = ["LOG", "OUT", "Buffer", "BroadcastState", "Consumer", "DemandState", "PartitionState", "Producer", "Supervisor", "fold", "machine", "rows_of"]
+__all__ = ["LOG", "OUT", "Buffer", "BroadcastState", "Consumer", "DemandState", "PartitionState", "Producer", "ProducerConsumer", "Supervisor", "fold", "machine", "rows_of"]

@@ -443,7 +443,7 @@ def child_counts(spark, sf_dir):
 def _log(spark, sf_dir, op: F.Column, sub: F.Column, n: F.Column, names: list[tuple[str, str]]) -> DataFrame:
     """A control log: subscriptions first, then one row for each event."""
     rows = events(spark, sf_dir).select((F.col("user_id") % 20).cast("string").alias("producer"), F.col("seq").alias("log_seq"), op.alias("op"), sub.alias("sub"), n.alias("n"), F.array(F.col("seq").cast("string")).alias("events"))
-    rows = rows.withColumn("events", F.when(F.col("op") == "dispatch", F.col("events"))).withColumn("opts", F.lit(None).cast("map<string,string>"))
+    rows = rows.withColumn("events", F.when(F.col("op") != "ask", F.col("events"))).withColumn("opts", F.lit(None).cast("map<string,string>"))
     first = F.explode(F.array(*(F.struct(F.lit(i - len(names)).cast("bigint").alias("log_seq"), F.lit(s).alias("sub"), F.create_map(F.lit("partition"), F.lit(p)).alias("opts")) for i, (s, p) in enumerate(names)))).alias("x")
     subs = rows.select("producer").distinct().select("producer", first).select("producer", "x.log_seq", F.lit("subscribe").alias("op"), "x.sub", F.lit(None).cast("bigint").alias("n"), F.lit(None).cast("array<string>").alias("events"), "x.opts")
     return rows.select("producer", "log_seq", "op", "sub", big("n").alias("n"), "events", "opts").unionByName(subs.select("producer", "log_seq", "op", "sub", "n", "events", "opts"))
@@ -488,6 +488,35 @@ def fold_unbounded_totals(spark, sf_dir):
     return asked.join(sent, "producer", "left").select("producer", F.coalesce("delivered", F.lit(0)).alias("delivered"), "demanded")
 
 
+# the j-th event goes out when it is there and the sum of all asks has come to j
+FOLD_TIMES = """WITH e AS (SELECT (user_id % 20)::VARCHAR AS producer, event_id AS seq, event_type IN ('click', 'view') AS is_ask, event_id % 3 AS n FROM events),
+    asks AS (SELECT producer, seq, sum(n) OVER w - n AS low, sum(n) OVER w AS high FROM e WHERE is_ask WINDOW w AS (PARTITION BY producer ORDER BY seq)),
+    got AS (SELECT producer, seq, unnest(range({copies})) AS copy, row_number() OVER (PARTITION BY producer ORDER BY seq) AS k FROM e WHERE NOT is_ask)
+  SELECT g.producer, greatest(g.seq, a.seq) AS log_seq, g.seq::VARCHAR AS event FROM got g JOIN asks a
+  ON g.producer = a.producer AND (k - 1) * {copies} + copy >= low AND (k - 1) * {copies} + copy < high"""
+
+
+def _sent(out: DataFrame) -> DataFrame:
+    return out.where("op = 'deliver'").select("producer", "log_seq", F.explode("events").alias("event"))
+
+
+@query("fold_delivery_times", FOLD_TIMES.format(copies=1))
+def fold_delivery_times(spark, sf_dir):
+    return _sent(_fold(spark, sf_dir, ProducerOptions(buffer_size=None), [("a", "0"), ("b", "1")]))
+
+
+def _twice(batch: list) -> list:
+    return [e for e in batch for _ in range(2)]
+
+
+@query("fold_gate", FOLD_TIMES.format(copies=2))
+def fold_gate(spark, sf_dir):
+    ask = F.col("event_type").isin("click", "view")
+    log = _log(spark, sf_dir, F.when(ask, "ask").otherwise("receive"), F.when(ask, "a").otherwise("above"), F.when(ask, F.col("event_id") % 3), [("a", "0")])
+    above = log.where("op = 'subscribe'").withColumns({"log_seq": F.col("log_seq") - 1, "op": F.lit("subscribe_to"), "sub": F.lit("above")})
+    return _sent(fold.fold(log.unionByName(above), ProducerOptions(buffer_size=None), role="producer_consumer", work=_twice))
+
+
 @query("fold_consumer")
 def fold_consumer(spark, sf_dir):
     rows = events(spark, sf_dir).select((F.col("user_id") % 20).cast("string").alias("producer"), F.col("seq").alias("log_seq"), F.col("event_id").cast("string").alias("e"))

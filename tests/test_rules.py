@@ -7,7 +7,7 @@ from pathlib import Path
 import pytest
 
 from sluice.operators.batching import cycle, split_message
-from sluice.operators.fold import BroadcastState, Buffer, Consumer, DemandState, PartitionState, Producer, Supervisor
+from sluice.operators.fold import BroadcastState, Buffer, Consumer, DemandState, PartitionState, Producer, ProducerConsumer, Supervisor
 from sluice.options import OptionError, PartitionOptions, ProducerOptions, SubscriptionOptions, SupervisorOptions
 from sluice.streaming.pipeline import Subscriptions
 
@@ -267,3 +267,59 @@ def test_state_with_lambdas_is_kept_between_batches():
     stage = decode_state(encode_state(stage))
     stage.step("ask", "a", 2)
     assert ("deliver", "a", ["y"]) in stage.step("dispatch", events=["x", "y"])
+
+
+def middle(work=list, dispatcher=None):
+    stage = ProducerConsumer(dispatcher or DemandState(), Buffer(10), work=work)
+    assert stage.step("subscribe_to", "up", opts={"max": "4", "min": "2"}) == [("ask", "up", 4)]
+    return stage
+
+
+def test_gate_waits_for_demand():
+    stage = middle()
+    stage.step("subscribe", "a")
+    assert stage.step("receive", "up", events=[1, 2]) == []
+    assert stage.step("receive", "up", events=[3, 4]) == []
+    # a message is let in whole: what was not asked for is buffered, and the next message waits
+    assert stage.step("ask", "a", 1) == [("deliver", "a", [1]), ("ask", "up", 2)]
+    assert (list(stage.buffer.events), len(stage.queue)) == ([(0, 2)], 1)
+    assert stage.step("ask", "a", 2) == [("deliver", "a", [2]), ("deliver", "a", [3]), ("ask", "up", 2)]
+    assert stage.step("ask", "a", 5) == [("deliver", "a", [4])]
+    assert stage.demand == 4
+
+
+def test_gate_opens_with_demand_that_was_left():
+    stage = middle(lambda batch: [e for e in batch for _ in range(3)])
+    stage.step("subscribe", "a")
+    assert stage.step("ask", "a", 4) == []
+    assert stage.step("receive", "up", events=[1])[0] == ("deliver", "a", [1, 1, 1])
+    assert stage.step("receive", "up", events=[2])[0] == ("deliver", "a", [2])
+    assert len(stage.buffer) == 2
+
+
+def test_gate_keeps_infos_and_ends_behind_messages():
+    stage = middle()
+    stage.step("subscribe", "a")
+    assert stage.step("info", events=["now"]) == [("info", None, ["now"])]
+    stage.step("receive", "up", events=[1])
+    assert stage.step("info", events=["later"]) == []
+    assert stage.step("ended", "up", events=["normal"]) == []
+    # the producer is gone: no more is asked of it; what stands behind the message needs demand of its own
+    assert stage.step("ask", "a", 1) == [("deliver", "a", [1])]
+    assert stage.step("ask", "a", 1) == [("info", None, ["later"]), ("cancelled", "up", ["normal"])]
+    assert stage.step("receive", "up", events=[2]) == [("cancelled", "up", ["unknown_subscription"])]
+    assert stage.step("ended", "up") == []
+
+
+def test_gate_serves_selectors_again():
+    stage = middle(dispatcher=BroadcastState())
+    stage.step("subscribe", "a", opts={"selector": lambda e: e > 1})
+    stage.step("ask", "a", 1)
+    # the discarded event is asked for again, after the rest of the message was buffered
+    out = stage.step("receive", "up", events=[1, 2])
+    assert out == [("ask", "up", 2), ("deliver", "a", [2])]
+
+
+def test_gate_has_no_mode():
+    with pytest.raises(ValueError):
+        middle().step("mode", "accumulate")
