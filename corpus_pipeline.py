@@ -7,6 +7,7 @@
 4. decontamination: documents that hold a benchmark item's passage (similarity 0.8 or more) go.
 5. sentencepiece: the texts' pieces, and whether they decode to the text.
 
+A stage gives about as many partitions, and so files, as its input has splits.
 Rows without an id go through all stages that do not need one.
 """
 
@@ -28,7 +29,7 @@ def _toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def _near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = neardup.near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(out, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(out, "doc_id", "left_anti").select(docs.columns).coalesce(splits(docs))
 
 
 def _substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,16 +39,16 @@ def _substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     found = found.withColumn("text", text)
     if "n_chars" in docs.columns:
         found = found.withColumn("n_chars", F.when(changed, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
-    return found.select(docs.columns)
+    return found.select(docs.columns).coalesce(splits(docs))
 
 
 def _decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = decontaminate.search(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(found, "doc_id", "left_anti").select(docs.columns).coalesce(splits(docs))
 
 
 def _sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = pieces.decode(pieces.encode(docs))
+    found = pieces.encode(docs, decoded=True)
     return found.select(
         *docs.columns,
         "pieces",
@@ -69,6 +70,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = fresh_dir(spark, f"stage-{name}")
-        before, docs = docs, materialise(stage(spark, docs, sf_dir), name, path, tasks=splits(docs))
+        before, docs = docs, materialise(stage(spark, docs, sf_dir), name, path)
         drop_table(before)  # the input's own files are none of materialise()'s
     return docs

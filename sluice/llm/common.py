@@ -53,6 +53,10 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
 #: Shuffle files of a written table's query go as soon as it is written.
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
+#: Files of the local file system are written without a side file of checksums.  The file system that writes those starts
+#: a program (chmod) for each file, and until it runs, the fork counts as a second JVM of the same size.
+_NO_FORK = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+
 
 def materialise(df: DataFrame, name: str, path: str | None = None, tasks: int = 0, **options) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage ends there, and it outlives executors.
@@ -63,7 +67,7 @@ def materialise(df: DataFrame, name: str, path: str | None = None, tasks: int =
     before = spark.conf.get(_CLEAN)
     spark.conf.set(_CLEAN, "true")
     try:
-        (df.coalesce(tasks) if tasks else df).write.options(**options).parquet(path)
+        (df.coalesce(tasks) if tasks else df).write.options(**_NO_FORK, **options).parquet(path)
     finally:
         spark.conf.set(_CLEAN, before)
     return spark.read.schema(df.schema).parquet(path)

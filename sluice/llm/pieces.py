@@ -32,7 +32,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import materialise, slices
+from sluice.llm.common import materialise, slices, splits
 
 #: Characters of a chunk, and matrices that are multiplied at a time.
 CHUNK, FAN = 1 << 15, 64
@@ -268,14 +268,17 @@ def _matrix(m: dict[State, frozenset]) -> str:
     return json.dumps([[s, sorted(to)] for s, to in m.items()])
 
 
-def encode(docs: DataFrame, model: str | None = None, text_col: str = "text", chunk: int = CHUNK, fan: int = FAN) -> DataFrame:
+def encode(docs: DataFrame, model: str | None = None, text_col: str = "text", chunk: int = CHUNK, fan: int = FAN, decoded: bool = False) -> DataFrame:
     """docs with further columns pieces (array of ids) and n_chunks.  The model's bytes go to the tasks by broadcast (a
-    vocabulary file's size is its bound)."""
+    vocabulary file's size is its bound).
+
+    decoded: with the column of decode() too; the pieces of short texts are decoded by the Python worker that encoded them,
+    so that a task needs one worker, not two."""
     spark = docs.sparkSession
     with open(model or default_model(), "rb") as f:
         sent = spark.sparkContext.broadcast(f.read())
-    docs = docs.drop("pieces", "n_chunks", "__key", "__ids")
-    schema = docs.select("*", F.array().cast("array<int>").alias("pieces"), F.lit(1).cast("long").alias("n_chunks")).schema
+    docs = docs.drop("pieces", "n_chunks", "__key", "__ids", *["decoded"] * decoded)
+    schema = docs.select("*", F.array().cast("array<int>").alias("pieces"), F.lit(1).cast("long").alias("n_chunks"), *[F.lit("").alias("decoded")] * decoded).schema
     long = F.coalesce(F.char_length(text_col), F.lit(0)) > chunk
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,7 +288,10 @@ def encode(docs: DataFrame, model: str | None = None, text_col: str = "text", ch
                 texts = [t or "" for t in part.column(text_col).to_pylist()]
                 ids = codec.sp.encode([t if MARK not in t else t.replace(MARK, stand_in(t)) for t in texts], num_threads=1)
                 ids = [x if MARK not in t else codec.marked(x, stand_in(t)) for t, x in zip(texts, ids)]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.list_(pa.int32())), pa.array([1] * len(ids), pa.int64())], names=[*part.schema.names, "pieces", "n_chunks"])
+                own = {"pieces": pa.array(ids, pa.list_(pa.int32())), "n_chunks": pa.array([1] * len(ids), pa.int64())}
+                if decoded:
+                    own["decoded"] = pa.array([codec.decode(x) for x in ids], pa.string())
+                yield pa.RecordBatch.from_arrays([*part.columns, *own.values()], names=[*part.schema.names, *own])
 
     short = docs.where(~long).mapInArrow(whole, schema)
     giants = materialise(docs.where(long).withColumn("__key", F.monotonically_increasing_id()), "giants", compression="zstd")
@@ -302,7 +308,7 @@ def encode(docs: DataFrame, model: str | None = None, text_col: str = "text", ch
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(sent.value)
-        for batch in batches:
+        for batch in split(batches):
             rows = batch.to_pylist()
             found = [_matrix(transfer(codec, r["before"], r["chunk"], r["after"], r["i"] == 0)) for r in rows]
             yield pa.RecordBatch.from_pydict({"__key": [r["__key"] for r in rows], "i": [r["i"] for r in rows], "matrix": found})
@@ -326,8 +332,9 @@ def encode(docs: DataFrame, model: str | None = None, text_col: str = "text", ch
                 ids.append(codec.marked(x, r["own"]) if r["own"] in r["chunk"] else x)
             yield pa.RecordBatch.from_arrays([pa.array([r["__key"] for r in rows], pa.int64()), pa.array([r["i"] for r in rows], pa.int64()), pa.array(ids, pa.list_(pa.int32()))], names=["__key", "i", "ids"])
 
-    pieces = giants.select("__key", F.col(text_col).alias("text")).mapInArrow(split, "__key long, i long, before string, chunk string, after string, own string")
-    up = [materialise(pieces.mapInArrow(matrices, "__key long, i long, matrix string"), "matrices")]
+    texts = giants.select("__key", F.col(text_col).alias("text"))
+    pieces = texts.mapInArrow(split, "__key long, i long, before string, chunk string, after string, own string")
+    up = [materialise(texts.mapInArrow(matrices, "__key long, i long, matrix string"), "matrices")]
     longest = giants.agg(F.max(F.char_length(text_col)).alias("n")).first()["n"] or 0
     over = F.floor(F.col("i") / fan).cast("long")
     while (longest + 1) / chunk / fan ** (len(up) - 1) > 1:  # until one product a document is left
@@ -342,7 +349,8 @@ def encode(docs: DataFrame, model: str | None = None, text_col: str = "text", ch
     ids = ids.groupBy("__key").agg(F.array_sort(F.collect_list(F.struct("i", "ids"))).alias("__ids"))
     pieces_of = F.flatten(F.transform("__ids", lambda x: x["ids"])).alias("pieces")
     done = giants.join(ids, "__key").select(*docs.columns, pieces_of, F.size("__ids").cast("long").alias("n_chunks"))
-    return short.unionByName(done)
+    done = done.coalesce(splits(giants))
+    return short.unionByName(decode(done, model) if decoded else done)
 
 
 def _lists(column: pa.ListArray) -> list[list[int]]:

@@ -8,11 +8,12 @@ import re
 import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
-from sluice.llm import catalogue, chat, decontaminate, fingerprints, licenses, neardup, passages, pieces, sharding, toxicity, warc
+from sluice.llm import catalogue, chat, common, decontaminate, fingerprints, licenses, neardup, passages, pieces, sharding, toxicity, warc
 
 SCHEMA = "doc_id long, text string, lang string, h1 long"
 
@@ -419,6 +420,24 @@ def test_pieces_round_trip(spark, texts, empty):
     assert pieces.decode(pieces.encode(empty)).count() == 0
 
 
+def test_pieces_decoded_while_encoding(spark, texts, empty):
+    df = spark.createDataFrame([(i, t, "x") for i, t in texts.items()], "doc_id long, text string, decoded string").repartition(3)
+    found = pieces.encode(df, chunk=512, fan=3, decoded=True)
+    other = pieces.decode(pieces.encode(df, chunk=512, fan=3))
+    assert found.columns == other.columns and sorted(map(str, found.collect())) == sorted(map(str, other.collect()))
+    assert all(r.decoded == (r.text or "") for r in found.collect())
+    assert pieces.encode(empty, decoded=True).count() == 0
+
+
+def test_tables_are_written_without_checksum_files(spark):
+    """Spark's checksum file system forks the JVM for each file; tables of the shared folder go by the raw one."""
+    df = common.materialise(spark.range(100).repartition(3), "plain")
+    at = Path(df.inputFiles()[0].removeprefix("file:").replace("//", "/")).parent
+    assert len(list(at.glob("*.parquet"))) == 3 and not list(at.glob(".*.crc")) and df.count() == 100
+    common.drop_table(df)
+    assert not at.exists()
+
+
 def test_fingerprints_over_many_buckets(spark, monkeypatch):
     """Neighbours across the borders of more buckets than a plan could list one by one."""
     monkeypatch.setattr(fingerprints, "BUCKET_ROWS", 1)

@@ -9,6 +9,7 @@ from test_operators import links, split, words
 
 import corpus_pipeline
 from sluice.llm import catalogue, pieces, toxicity
+from sluice.llm.common import splits
 
 
 @pytest.fixture(scope="module")
@@ -75,6 +76,35 @@ def test_stages_keep_the_columns_of_documents(spark, sf_dir):
         assert stage(spark, docs, sf_dir).columns == docs.columns, name
 
 
+def test_stages_give_few_partitions(spark, sf_dir):
+    """Each file that a local file system writes with checksums forks the JVM, so a stage must not give one for each shuffle partition."""
+    docs, held = spark.read.parquet(f"{sf_dir}/documents.parquet"), {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    held["spark.sql.autoBroadcastJoinThreshold"] = "-1"
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        for name, stage in corpus_pipeline.STAGES:
+            assert stage(spark, docs, sf_dir).rdd.getNumPartitions() <= 2 * splits(docs), name
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_sentencepiece_takes_one_python_worker_a_task(spark, sf_dir):
+    """A short text's pieces are decoded where they were made, giants in a branch of their own."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    plan = dict(corpus_pipeline.STAGES)["sentencepiece"](spark, docs, sf_dir)._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    above = [0] * 200  # Python nodes above a node of some depth, since the last shuffle
+    for line in plan:
+        depth = len(line) - len(line.lstrip(" :+-"))
+        cut = any(x in line for x in ("Join", "Aggregate"))
+        at = 0 if cut else max((above[d] for d in range(depth - 1, max(-1, depth - 4), -1) if above[d]), default=0)
+        above[depth:] = [0] * (200 - depth)
+        above[depth] = at + ("MapInArrow" in line)
+        assert above[depth] < 2, line
+
+
 @pytest.mark.parametrize("name", ["op3_toxicity", "op5_licenses", "op9_decontamination"])
 def test_queries_return_integer_ids(spark, name):
     df = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")
