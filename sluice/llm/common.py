@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -141,6 +144,32 @@ def grams(h: np.ndarray, n: int) -> np.ndarray:
     return mix(out[: len(h) - n + 1])
 
 
+def freed(run: Callable) -> Callable:
+    """run, a Python worker's function of a table or of batches, that gives what it no longer holds back to the system.
+
+    Workers live on between tasks, and their allocators keep the most that any task has held."""
+
+    def whole(found):  # without annotations, from which Spark would tell another kind of function
+        if not isinstance(found, pa.Table):
+            return parts(found)
+        out = run(found)
+        _release()
+        return out
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        _release()
+
+    return whole
+
+
+def _release() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc's
+        trim(0)
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20):
     """Parts of a batch whose texts have about `most` bytes, a single longer row aside: bounds Python objects."""
     sizes = _sizes(batch.column(column))

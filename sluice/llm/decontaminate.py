@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import grams, hashes, mix, slices
+from sluice.llm.common import freed, grams, hashes, mix, slices
 
 BITS, BLOCKS, RADIUS = 64, 8, 23
 ITEMS, ITEM_WORDS = 20_000, 2_000
@@ -192,7 +192,7 @@ def search(docs: DataFrame, items: DataFrame, words: int = 5, similarity: float
         if len(held) > ITEMS:
             raise ValueError("a part of the benchmark is larger than its bound")
         sent = spark.sparkContext.broadcast(held)
-        found = rows.mapInArrow(_run(sent, words, similarity), SCHEMA)
+        found = rows.mapInArrow(freed(_run(sent, words, similarity)), SCHEMA)
         out = found if out is None else out.unionByName(found)
     return out
 

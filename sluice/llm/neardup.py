@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import drop_table, grams, hashes, materialise, mix, slices
+from sluice.llm.common import drop_table, freed, grams, hashes, materialise, mix, slices
 
 CHUNKS, CHUNK = 8, 5
 SYMBOLS = CHUNKS * CHUNK
@@ -215,7 +215,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ratio = (100 - percent) / (100 + percent)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = materialise(
-        rows.mapInArrow(_sign(words), "doc_id long, n long, h1 long, h2 long, sig binary, keys array<long>"),
+        rows.mapInArrow(freed(_sign(words)), "doc_id long, n long, h1 long, h2 long, sig binary, keys array<long>"),
         "signed",
         compression="zstd",
     )
@@ -241,12 +241,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         """Those pairs (a, b, big) whose signatures are near, and the big ones, compared on their full sets."""
         of = lambda x: texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}")).hint("merge")
         full = pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "big", "text_a", "text_b")
-        return materialise(full.mapInArrow(_confirm(words, percent), _PAIR_SCHEMA), name, tasks=text_tasks, compression="zstd")
+        return materialise(full.mapInArrow(freed(_confirm(words, percent)), _PAIR_SCHEMA), name, tasks=text_tasks, compression="zstd")
 
     def near(pairs: DataFrame) -> DataFrame:
         by = lambda x: sigs.select(F.col("doc_id").alias(x), F.col("sig").alias(f"sig_{x}"))
         found = pairs.join(by("a"), "a").join(by("b"), "b").select("a", "b", "sig_a", "sig_b")
-        return found.mapInArrow(_distance_at_most(SYMBOLS * 3 // 5), "a long, b long").distinct().withColumn("big", F.lit(False))
+        return found.mapInArrow(freed(_distance_at_most(SYMBOLS * 3 // 5)), "a long, b long").distinct().withColumn("big", F.lit(False))
 
     fits = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
     order = F.struct("partners", F.xxhash64("doc_id").alias("o"), "doc_id", "n")

@@ -32,7 +32,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import drop_table, file_system, grams, hashes, materialise, slices
+from sluice.llm.common import drop_table, file_system, freed, grams, hashes, materialise, slices
 
 GRAM = 6
 #: Rows that a task takes from a file of the copy, and bytes of the file's row groups.
@@ -326,16 +326,16 @@ def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     copies = ids.join(first, ["h1", "h2"]).where("doc > first").join(units, ["file", "unit"])
     copies = materialise(copies.select("uid", "row"), "copies")
 
-    found = by_unit(copies).applyInArrow(_anchors_of(window, UNIT_ROWS), "a long, uid long, row int")
+    found = by_unit(copies).applyInArrow(freed(_anchors_of(window, UNIT_ROWS)), "a long, uid long, row int")
     found = materialise(found, "anchors", tasks=tasks, compression="zstd")
     many = found.groupBy("a").agg(F.count("*").alias("c")).where("c > 1").select("a")
     kind = "w long, uid long, row int, doc long"
-    windows = materialise(by_unit(found.join(many, "a")).applyInArrow(_windows_of(window, UNIT_ROWS), kind), "windows", tasks=tasks, compression="zstd")
+    windows = materialise(by_unit(found.join(many, "a")).applyInArrow(freed(_windows_of(window, UNIT_ROWS)), kind), "windows", tasks=tasks, compression="zstd")
     least = windows.groupBy("w").agg(F.min("doc").alias("least"), F.count("*").alias("c")).where("c > 1").select("w", "least")
     known = materialise(windows.join(least, "w").select("w", "uid", "row", (F.col("doc") == F.col("least")).alias("own")), "known", tasks=tasks, compression="zstd")
     drop_table(windows)
     kind = "uid long, row int, at long, doc long, phrase string, ws array<long>"
-    phrases = by_unit(known.where("own").drop("own")).applyInArrow(_passages_of(window, UNIT_ROWS, PASSAGE), kind)
+    phrases = by_unit(known.where("own").drop("own")).applyInArrow(freed(_passages_of(window, UNIT_ROWS, PASSAGE)), kind)
     phrases = materialise(phrases.select(F.xxhash64("uid", "row", "at").alias("p"), "doc", "phrase", "ws"), "phrases", tasks=tasks, compression="zstd")
     held = phrases.select("p", F.explode("ws").alias("w"))
     wanted = known.where("not own").select("uid", "w").distinct().join(held, "w").select("uid", "p").distinct()
@@ -345,5 +345,5 @@ def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     drop_table(found, known, phrases, copies)
     names = [c for c in stored.columns if c != "__id"] + own
     kinds = stored.drop("__id").select("*", F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.lit("").alias(last)).schema
-    out = by_unit(told).applyInArrow(_strip_of(window, UNIT_ROWS, SHARD_WORDS, names, digest), kinds)
+    out = by_unit(told).applyInArrow(freed(_strip_of(window, UNIT_ROWS, SHARD_WORDS, names, digest)), kinds)
     return out.withColumnRenamed("text", text_col)

@@ -32,7 +32,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import materialise, slices, splits
+from sluice.llm.common import freed, materialise, slices, splits
 
 #: Characters of a chunk, and matrices that are multiplied at a time.
 CHUNK, FAN = 1 << 15, 64
@@ -293,7 +293,7 @@ def encode(docs: DataFrame, model: str | None = None, text_col: str = "text", ch
                     own["decoded"] = pa.array([codec.decode(x) for x in ids], pa.string())
                 yield pa.RecordBatch.from_arrays([*part.columns, *own.values()], names=[*part.schema.names, *own])
 
-    short = docs.where(~long).mapInArrow(whole, schema)
+    short = docs.where(~long).mapInArrow(freed(whole), schema)
     giants = materialise(docs.where(long).withColumn("__key", F.monotonically_increasing_id()), "giants", compression="zstd")
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -333,8 +333,8 @@ def encode(docs: DataFrame, model: str | None = None, text_col: str = "text", ch
             yield pa.RecordBatch.from_arrays([pa.array([r["__key"] for r in rows], pa.int64()), pa.array([r["i"] for r in rows], pa.int64()), pa.array(ids, pa.list_(pa.int32()))], names=["__key", "i", "ids"])
 
     texts = giants.select("__key", F.col(text_col).alias("text"))
-    pieces = texts.mapInArrow(split, "__key long, i long, before string, chunk string, after string, own string")
-    up = [materialise(texts.mapInArrow(matrices, "__key long, i long, matrix string"), "matrices")]
+    pieces = texts.mapInArrow(freed(split), "__key long, i long, before string, chunk string, after string, own string")
+    up = [materialise(texts.mapInArrow(freed(matrices), "__key long, i long, matrix string"), "matrices")]
     longest = giants.agg(F.max(F.char_length(text_col)).alias("n")).first()["n"] or 0
     over = F.floor(F.col("i") / fan).cast("long")
     while (longest + 1) / chunk / fan ** (len(up) - 1) > 1:  # until one product a document is left
@@ -345,7 +345,7 @@ def encode(docs: DataFrame, model: str | None = None, text_col: str = "text", ch
         states = mats.withColumn("over", over).join(ends, ["__key", "over"]).groupBy("__key", "over").applyInArrow(inside, "__key long, i long, left string, right string")
     if len(up) == 1:  # single chunks
         states = up[0].withColumn("over", F.col("i")).join(states.drop("i"), "__key").groupBy("__key").applyInArrow(inside, "__key long, i long, left string, right string")
-    ids = pieces.drop("before").join(states, ["__key", "i"]).mapInArrow(traced, "__key long, i long, ids array<int>")
+    ids = pieces.drop("before").join(states, ["__key", "i"]).mapInArrow(freed(traced), "__key long, i long, ids array<int>")
     ids = ids.groupBy("__key").agg(F.array_sort(F.collect_list(F.struct("i", "ids"))).alias("__ids"))
     pieces_of = F.flatten(F.transform("__ids", lambda x: x["ids"])).alias("pieces")
     done = giants.join(ids, "__key").select(*docs.columns, pieces_of, F.size("__ids").cast("long").alias("n_chunks"))
@@ -375,4 +375,4 @@ def decode(rows: DataFrame, model: str | None = None, pieces_col: str = "pieces"
                 texts = [codec.decode(x) for x in _lists(part.column(pieces_col))]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, "decoded"])
 
-    return rows.mapInArrow(run, rows.select("*", F.lit("").alias("decoded")).schema)
+    return rows.mapInArrow(freed(run), rows.select("*", F.lit("").alias("decoded")).schema)

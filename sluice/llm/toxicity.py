@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import slices
+from sluice.llm.common import freed, slices
 
 #: The seed lexicon, by class.
 INSULTS = "idiot moron loser clown scum trash stupid pathetic worthless disgusting fool imbecile dumb garbage vermin".split()
@@ -276,7 +276,7 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> G
     try:
         weights, stems = _features(rows)
         grammar = Grammar(weights, stems, (-4.0, 2.5))
-        found = rows.mapInArrow(_found_of(grammar), "found array<double>, toxic int").toPandas()  # train_rows rows at most
+        found = rows.mapInArrow(freed(_found_of(grammar)), "found array<double>, toxic int").toPandas()  # train_rows rows at most
     finally:
         rows.unpersist()
     if found["toxic"].nunique() == 2:
@@ -305,4 +305,4 @@ def score(docs: DataFrame, grammar: Grammar, text_col: str = "text") -> DataFram
                 scores = [grammar.score(t) for t in part.column(text_col).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores, pa.float64())], names=[*part.schema.names, "toxic_score"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(freed(run), schema)

@@ -438,6 +438,25 @@ def test_tables_are_written_without_checksum_files(spark):
     assert not at.exists()
 
 
+def test_workers_give_memory_back():
+    """A Python worker must not keep the most that any of its tasks has held."""
+    held = []
+
+    def rss():
+        return int(re.search(r"VmRSS:\s+(\d+)", Path("/proc/self/status").read_text()).group(1)) // 1024
+
+    def run(table):
+        some = [bytes(2000) for _ in range(75_000)]
+        held.append(bytes(2000))  # above the others: the heap cannot shrink by itself
+        return table.slice(0, len(some) and 1)
+
+    table, before = common.pa.table({"x": [1, 2]}), rss()
+    assert common.freed(run)(table).num_rows == 1
+    assert rss() - before < 60
+    batches = common.freed(lambda found: (b.slice(1) for b in found))(iter(table.to_batches()))
+    assert [b.to_pydict() for b in batches] == [{"x": [2]}]
+
+
 def test_fingerprints_over_many_buckets(spark, monkeypatch):
     """Neighbours across the borders of more buckets than a plan could list one by one."""
     monkeypatch.setattr(fingerprints, "BUCKET_ROWS", 1)
