@@ -41,6 +41,8 @@ UNIT_ROWS, GROUP_BYTES = 2000, 4 << 20
 TASK_UNITS = 4
 #: Most windows of a passage, and words of the passages that share an automaton.
 PASSAGE, SHARD_WORDS = 200, 500_000
+#: Letters by which an automaton knows a word.
+LETTERS = 2
 _NO_ID = np.iinfo(np.int64).max
 
 
@@ -167,7 +169,12 @@ def _passages_of(window: int, size: int, most: int):
 
 
 class Shard:
-    """An automaton of passages over word numbers, and what it covers of documents."""
+    """An automaton of passages over words, and what it covers of documents.
+
+    The automaton library searches a node's edges one by one, and the words that blocks begin with are thousands.  So a
+    word's number is spelled as LETTERS digits, each place with an alphabet of its own: a node has few edges, and blocks
+    are met at whole words only.
+    """
 
     def __init__(self, window: int):
         self.window, self.block = window, window // 2
@@ -181,13 +188,20 @@ class Shard:
         self.passages.append((doc, np.array([number.setdefault(w, len(number) + 1) for w in phrase.split()], np.int64)))
         self.words += len(self.passages[-1][1])
 
+    def spell(self, ids: np.ndarray) -> str:
+        return self.letters[ids].tobytes().decode("utf-32-le")
+
     def build(self) -> ahocorasick.Automaton:
-        places: dict[tuple, list[tuple[int, int, int]]] = {}
+        number, base = np.arange(len(self.numbers) + 1), 1  # 0 for words that no passage has
+        while base**LETTERS < len(number):
+            base += 1
+        self.letters = np.stack([number // base**j % base + j * base + 1 for j in range(LETTERS)], 1).astype("<u4")
+        places: dict[str, list[tuple[int, int, int]]] = {}
         for i, (doc, ids) in enumerate(self.passages):
-            ids = ids.tolist()
+            spelled = self.spell(ids)
             for at in range(0, len(ids) - self.block + 1, self.block):
-                places.setdefault(tuple(ids[at : at + self.block]), []).append((doc, i, at))
-        out = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+                places.setdefault(spelled[at * LETTERS : (at + self.block) * LETTERS], []).append((doc, i, at))
+        out = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_STRING)
         for block, found in places.items():
             out.add_word(block, sorted(found))
         out.make_automaton()
@@ -200,22 +214,25 @@ class Shard:
         for (doc, words), marks in zip(docs, earlier):
             if len(words) < n:
                 continue
-            ids = tuple(map(get, words, repeat(0)))  # 0 for words that no passage has
-            flat, reach = None, {}
-            for end, found in phrases.iter(ids):
+            ids = np.fromiter(map(get, words, repeat(0)), np.int64, len(words))
+            reach = {}
+            for last, found in phrases.iter(self.spell(ids)):
+                end = last // LETTERS
                 at = end + 1 - self.block
+                around = marks[max(0, end + 1 - n) : min(at, len(words) - n) + 1]  # the windows with this block
+                if found[0][0] >= doc or around.all():
+                    continue
                 for source, i, offset in found:
                     if source >= doc:
                         break  # passages come by their sources
                     if reach.get((i, at - offset), 0) > end:
                         continue  # in the stretch found before
-                    if marks[max(0, end + 1 - n) : min(at, len(words) - n) + 1].all():
-                        break  # all windows with this block are marked
-                    flat = np.array(ids, np.int64) if flat is None else flat
-                    begin, past = _stretch(flat, self.passages[i][1], at, at - offset, self.block)
+                    begin, past = _stretch(ids, self.passages[i][1], at, at - offset, self.block)
                     reach[i, at - offset] = past
                     if past - begin >= n:
                         marks[begin : past - n + 1] = True
+                        if around.all():
+                            break
 
 
 def _stretch(doc: np.ndarray, phrase: np.ndarray, at: int, shift: int, block: int) -> tuple[int, int]:

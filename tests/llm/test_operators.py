@@ -557,6 +557,27 @@ def test_passages_by_the_automata_alone(spark, monkeypatch):
     assert marks[0].all() and not marks[1].any()
 
 
+def test_passages_of_many_words_in_few_edges():
+    """Nodes of an automaton have few edges whatever the words, and what it covers is what brute force finds."""
+    rng = random.Random(22)
+    shard, seen = passages.Shard(20), set()
+    sources = [words(rng, 60, 9) + words(rng, 60, 10**6) for _ in range(500)]
+    for doc, source in enumerate(sources):
+        shard.add(doc, " ".join(source).encode())
+        seen |= {tuple(source[j : j + 20]) for j in range(len(source) - 19)}
+    nodes = [edge[0] for edge in shard.build().dump()[1]]
+    assert len(shard.numbers) > 20_000 and max(Counter(nodes).values()) < 400
+    docs, marks, right = [], [], []
+    for _ in range(200):
+        x, y = rng.sample(sources, 2)
+        text = x[rng.randrange(40) : rng.randrange(50, 120)] + words(rng, 5, 9) + ["new"] + y[rng.randrange(90) :] + words(rng, 30, 9)
+        docs.append((500, [w.encode() for w in text]))
+        right.append([tuple(text[j : j + 20]) in seen for j in range(len(text) - 19)])
+        marks.append(passages.np.zeros(max(0, len(text) - 19), bool))
+    shard.cover(docs, marks)
+    assert [m.tolist() for m in marks] == right and 0 < sum(map(sum, right)) < sum(map(len, right))
+
+
 def test_chat_roles_and_cycles(spark):
     roles = ["us|er", "a] b", "\\p<[", "assistant", "x] ] |"]
     df = spark.createDataFrame([(1, i, r, f"t{i}") for i, r in enumerate(roles)], "conv_id long, turn long, role string, text string")
