@@ -3,18 +3,21 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _LOCAL = (1 << 33) - 1
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keep the folder of spark.checkpoint.dir; only where there is none (one machine, tests) a local one is set."""
+    """Keep the folder of spark.checkpoint.dir; only where there is none and Spark runs in this process a local one is set."""
     if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         own = tempfile.mkdtemp(prefix="sluice-")
         atexit.register(shutil.rmtree, own, True)
         spark.sparkContext.setCheckpointDir(own)
@@ -41,6 +44,25 @@ def add_seq(df: DataFrame, *order_by: str, partitions: int | None = None) -> Dat
     return ranged.withColumn("seq", (base + F.col("__at").bitwiseAND(F.lit(_LOCAL))).cast("bigint")).drop("__at")
 
 
+def positions(df: DataFrame, *keys: str, seq: str = "seq", out: str = "pos", width: int = 1 << 16, when: Column | None = None) -> DataFrame:
+    """df with out = 0, 1, ... for the rows of each key in the order of seq; a key may hold any share of the rows.
+
+    Two levels: rows are counted by (key, block of `width` numbers of seq), the small table's prefix sums give where a block
+    starts, and a row's rank inside its block does the rest.  So a key is spread over as many tasks as it has blocks.  Only rows
+    that meet `when` count, in that column the others have the number of counted rows before them.  A null key is a key.
+    """
+    test = F.lit(True) if when is None else F.coalesce(when, F.lit(False))
+    rows = df.withColumns({"__block": F.floor(F.col(seq) / width), "__one": test.cast("bigint")})
+    own = [*keys, "__block"]
+    counts = rows.groupBy(*own).agg(F.sum("__one").alias("__n"))
+    before = Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)  # one row for each block
+    starts = counts.select(*(F.col(c).alias(f"__{i}") for i, c in enumerate(own)), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    inside = Window.partitionBy(*own).orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("__rank", F.coalesce(F.sum("__one").over(inside), F.lit(0)))
+    same = [F.col(c).eqNullSafe(F.col(f"__{i}")) for i, c in enumerate(own)]
+    return rows.join(starts, same).select(*df.columns, (F.col("__start") + F.col("__rank")).alias(out))
+
+
 def portable_hash(key: Column, n: int) -> Column:
     """Partition 0 to n - 1 of a key: the first 32 bits of the md5 of its string, modulo n."""
     return F.conv(F.substring(F.md5(key.cast("string")), 1, 8), 16, 10).cast("bigint") % n

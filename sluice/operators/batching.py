@@ -7,6 +7,7 @@ from collections import deque
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sluice.functions.sequence import positions
 from sluice.options import SubscriptionOptions
 
 
@@ -82,8 +83,10 @@ def assign_batches(events: DataFrame, opts: SubscriptionOptions, seq: str = "seq
         keys = [*([producer] if producer else []), message]
         number = F.row_number().over(Window.partitionBy(*keys).orderBy(seq)) - 1
         return events.withColumn("batch_no", F.floor(number / opts.chunk).cast("bigint")).withColumn("ask", F.lit(None).cast("bigint"))
-    pos = F.row_number().over(Window.partitionBy(producer).orderBy(seq)) - 1 if producer else F.col(seq)
-    number, ask, _ = _place(pos.cast("bigint"), opts)
+    if producer:
+        number, ask, _ = _place(F.col("__pos"), opts)
+        return positions(events, producer, seq=seq, out="__pos").select(*events.columns, number.alias("batch_no"), ask.alias("ask"))
+    number, ask, _ = _place(F.col(seq).cast("bigint"), opts)
     return events.withColumn("batch_no", number).withColumn("ask", ask)
 
 

@@ -11,6 +11,7 @@ from typing import Protocol
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sluice.functions.sequence import portable_hash, positions
 from sluice.options import OptionError, PartitionOptions
 
 BROADCAST_ROWS = 100_000
@@ -76,8 +77,6 @@ def reasked(events: DataFrame, selectors: dict[str, Column | str]) -> DataFrame:
 
 def partition_by(events: DataFrame, options: PartitionOptions, key: Column | None = None) -> DataFrame:
     """events with p, their partition; without those whose hash is null.  An unknown partition stops the query."""
-    from sluice.functions.sequence import portable_hash
-
     if options.hash is not None:
         p = F.expr(options.hash).cast("string")
     else:
@@ -95,16 +94,15 @@ def partition_gate(events: DataFrame, demands: DataFrame, p: str = "p", seq: str
     In order, events are taken until as many with a partition as all demands together were; the rest is left over.  In each
     partition, so many as its own demand are accepted and the others queued.  demands: p, demand (bounded by partitions).
     rank: a column with the number of partitioned events before each, where the caller has it; else it is counted in two
-    passes over ranges of seq.
+    passes over ranges of seq.  The place in a partition comes from two passes too, so a partition may hold all events.
     """
     total = demands.agg(F.coalesce(F.sum("demand"), F.lit(0)).alias("waiting"))
     rows = events if rank else prior_count(events, F.col(p).isNotNull(), seq).withColumnRenamed("prior", "__prior")
     prior = F.col(rank or "__prior")
     rows = rows.join(F.broadcast(total)).withColumn("__in", prior < F.col("waiting"))
-    own = F.row_number().over(Window.partitionBy(p, "__in").orderBy(seq))
-    taken = rows.where(F.col("__in") & F.col(p).isNotNull()).withColumn("__rn", own)
+    taken = positions(rows.where(F.col("__in") & F.col(p).isNotNull()), p, seq=seq, out="__at")
     taken = taken.join(_small(demands.select(F.col(p), "demand")), p, "left")
-    status = F.when(F.col("__rn") <= F.coalesce("demand", F.lit(0)), "accepted").otherwise("queued")
+    status = F.when(F.col("__at") < F.coalesce("demand", F.lit(0)), "accepted").otherwise("queued")
     taken = taken.withColumn("status", status).select(*events.columns, "status")
     rest = rows.where(~F.col("__in") | F.col(p).isNull()).withColumn("status", F.when(F.col("__in"), "discarded").otherwise("leftover"))
     return taken.unionByName(rest.select(*events.columns, "status"))
