@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import chat, decontaminate, fingerprints, licenses, neardup, passages, pieces, sharding, toxicity, warc
+from sluice.llm import audit, chat, decontaminate, fingerprints, licenses, neardup, passages, pieces, sharding, toxicity, warc
 from sluice.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -124,3 +124,32 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("type").alias("record_type"),
         page("refers_to").alias("refers_to"),
     )
+
+
+# counts of failure patterns row by row, and the orders played out one by one: no inversion
+AUDIT = """WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+    w AS (SELECT *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS words, min(doc_id) OVER (PARTITION BY t) AS first FROM d),
+    l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY 1),
+    f AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+      concat_ws('', CASE WHEN len(words) < 100 THEN 'A' END, CASE WHEN 100 * len(list_distinct(words)) < 80 * len(words) THEN 'B' END,
+        CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) THEN 'C' END,
+        CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' END, CASE WHEN w.doc_id > first THEN 'E' END) AS fails
+      FROM w LEFT JOIN l USING (doc_id)),
+    p AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY ALL),
+    x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c),
+    o AS (SELECT a.c || b.c || c.c || d.c || e.c AS filter_order FROM x a, x b, x c, x d, x e
+      WHERE len(list_distinct([a.c, b.c, c.c, d.c, e.c])) = 5),
+    s AS (SELECT filter_order, step::INT AS step, filter_order[step] AS own, filter_order[1:step - 1] AS before FROM o, range(1, 6) r(step)),
+    r AS (SELECT part, filter_order, step, own, n, good, toxic, contains(fails, own) AS hit, length(translate(fails, before, '')) < length(fails) AS gone,
+      fails = own AS lone FROM p, s),
+    g AS (SELECT part, filter_order, step, own, sum(n) FILTER (NOT hit AND NOT gone) AS kept, sum(n) FILTER (hit AND NOT gone) AS removed,
+      sum(n) FILTER (hit AND gone) AS redundant, sum(n) FILTER (lone) AS unique_fails, sum(good) FILTER (hit AND NOT gone) AS good_lost,
+      sum(toxic) FILTER (hit AND NOT gone) AS toxic_lost FROM r GROUP BY ALL)
+  SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed,
+    coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost,
+    coalesce(toxic_lost, 0)::BIGINT AS toxic_lost, sum(coalesce(removed, 0)) OVER (PARTITION BY part, own)::BIGINT AS shapley FROM g"""
+
+
+@query("op13_filter_audit", AUDIT)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
