@@ -52,7 +52,7 @@ def positions(df: DataFrame, *keys: str, seq: str = "seq", out: str = "pos", wid
     that meet `when` count, in that column the others have the number of counted rows before them.  A null key is a key.
     """
     test = F.lit(True) if when is None else F.coalesce(when, F.lit(False))
-    rows = df.withColumns({"__block": F.floor(F.col(seq) / width), "__one": test.cast("bigint")})
+    rows = df.withColumns({"__block": F.expr(f"`{seq}` div {width}L"), "__one": test.cast("bigint")})
     own = [*keys, "__block"]
     counts = rows.groupBy(*own).agg(F.sum("__one").alias("__n"))
     before = Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)  # one row for each block
