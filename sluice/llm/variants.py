@@ -2,11 +2,12 @@
 
 A word's mask has the parity of its letters' counts, in three bands of bits.  One inserted or deleted letter flips one bit, a replaced one two
 at most, so near words agree in a band.  Words meet in buckets of (band, its value, length), in which a word counts once by its own length and
-once by its length less one, as the longer of a pair.  All words of a small bucket are compared.  A larger bucket is split further, without
+once by its length less one, as a longer one.  All words of a small bucket are compared.  A larger bucket is split further, without
 losing a pair: near words also have a string in common that is left after deleting one letter (of the longer word alone, if one is
 longer).  Words of such a bucket meet by the hash of that string, and only in the bands that the deleted letter
 is not in: of the three bands, two near words' letters lie in two at most, so one band is left where both are met.  At most some
-hundred words have such a string in common, whatever the corpus.  Candidates are verified by edit distance.
+hundred words have such a string in common, whatever the corpus.  Candidates are verified by edit distance.  Words of one length thus meet in
+the bucket of their length less one, and others in the bucket of the shorter one's length.
 
 A word's form is the near word with the most occurrences, if it has ten times as many; forms are followed to the last by pointer
 doubling, which ends after a few rounds, since occurrences grow tenfold with each step.
@@ -116,7 +117,7 @@ def near_pairs(words: DataFrame, small: int = SMALL) -> DataFrame:
     sent = words.sparkSession.sparkContext.broadcast(large)
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each string by which a word is met.  longer: the word is the longer one of a pair there."""
+        """A row for each string by which a word is met.  longer: one letter is deleted there, if the bucket is split."""
         large = sent.value
         for batch in batches:
             for rows, codes in by_length(batch.column("word")):
@@ -128,26 +129,54 @@ def near_pairs(words: DataFrame, small: int = SMALL) -> DataFrame:
                         own = n - longer
                         bucket = mix(((bands[j].astype(np.uint64) << np.uint64(40)) + np.uint64(own << 2) + np.uint64(j)) * np.uint64(BASE))
                         split = large[_cell(j, bands[j], own)]
-                        met = [((~split).nonzero()[0], bucket[~split])]
-                        at, i = (split[:, None] & (away != j)).nonzero()
-                        met.append((at, mix(bucket[at] ^ left[at, i])))
-                        if not longer:  # met by longer words, of which the deletion leaves this one
-                            at = split.nonzero()[0]
-                            met.append((at, mix(bucket[at] ^ whole[at])))
-                        at, key = (np.concatenate([m[k] for m in met]) for k in (0, 1))
-                        at, key = _once(at, key)
-                        some = rows[at]
-                        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column("word").take(pa.array(some)), batch.column("n").take(pa.array(some)), pa.array(np.full(len(at), longer))], names=["key", "word", "n", "longer"])
+                        at, some = (~split).nonzero()[0], split.nonzero()[0]
+                        key = bucket[at]
+                        if longer:
+                            some, i = (split[:, None] & (away != j)).nonzero()
+                            at, key = _once(np.concatenate([at, some]), np.concatenate([key, mix(bucket[some] ^ left[some, i])]))
+                        else:
+                            at, key = np.concatenate([at, some]), np.concatenate([key, mix(bucket[some] ^ whole[some])])
+                        take = pa.array(rows[at])
+                        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column("word").take(take), batch.column("n").take(take), pa.array(np.full(len(at), longer))], names=["key", "word", "n", "longer"])
 
     rows = words.select("word", "n").mapInArrow(freed(keys), "key long, word string, n long, longer boolean")
-    met = rows.groupBy("key").agg(F.collect_list(F.struct("longer", "word", "n")).alias("all")).where(F.size("all") > 1)
-    pairs = met.select(F.explode(F.filter("all", lambda a: ~a["longer"])).alias("a"), "all").select("a", F.explode("all").alias("b"))
-    other = F.col("b.longer") | (F.col("b.word") > F.col("a.word"))
-    pairs = pairs.where(other & (F.levenshtein("a.word", "b.word", 1) == 1))
-    both = F.explode(F.array(F.struct(F.col("a.word").alias("word"), F.col("a.n").alias("n"), F.col("b.word").alias("near"), F.col("b.n").alias("near_n")), F.struct("b.word", "b.n", F.col("a.word").alias("near"), F.col("a.n").alias("near_n")))).alias("p")
+    # equal keys stand together: pairs are made of runs, without a list for each of the keys, most of which have one row
+    pairs = rows.repartition("key").sortWithinPartitions("key").mapInArrow(freed(_meetings), "a string, a_n long, b string, b_n long")
+    pairs = pairs.where(F.levenshtein("a", "b", 1) == 1)
+    both = F.explode(F.array(F.struct(F.col("a").alias("word"), F.col("a_n").alias("n"), F.col("b").alias("near"), F.col("b_n").alias("near_n")), F.struct(F.col("b").alias("word"), F.col("b_n").alias("n"), F.col("a").alias("near"), F.col("a_n").alias("near_n")))).alias("p")
     return pairs.select(both).select("p.*").repartition("word").dropDuplicates(["word", "near"])
 
 
+def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of rows with one key, of which one is a longer word; rows come in the order of keys."""
+    held: pa.Table | None = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = pa.concat_tables([held, table]) if held is not None else table
+        key = table.column("key").to_numpy()
+        last = int(np.searchsorted(key, key[-1])) if len(key) else 0  # its run may go on
+        yield from _pairs(table.slice(0, last))
+        held = table.slice(last)
+    if held is not None:
+        yield from _pairs(held)
+
+
+def _pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    table = table.combine_chunks()
+    key, longer = table.column("key").to_numpy(), table.column("longer").to_numpy()
+    at, step = np.arange(len(key)), 0
+    while len(at):  # as often as the longest run is long
+        step += 1
+        at = at[at + step < len(key)]
+        at = at[key[at] == key[at + step]]
+        found = at[longer[at] | longer[at + step]]
+        for i in range(0, len(found), 1 << 16):
+            some = found[i : i + (1 << 16)]
+            a, b = table.take(pa.array(some)), table.take(pa.array(some + step))
+            columns = [a.column("word"), a.column("n"), b.column("word"), b.column("n")]
+            yield pa.RecordBatch.from_arrays([c.combine_chunks() for c in columns], names=["a", "a_n", "b", "b_n"])
+
+
 def _once(at: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each (row, key) once: a word with a doubled letter leaves one string in two ways."""
     order = np.lexsort((key, at))
