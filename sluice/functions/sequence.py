@@ -44,25 +44,31 @@ def add_seq(df: DataFrame, *order_by: str, partitions: int | None = None) -> Dat
     return ranged.withColumn("seq", (base + F.col("__at").bitwiseAND(F.lit(_LOCAL))).cast("bigint")).drop("__at")
 
 
-def positions(df: DataFrame, *keys: str, seq: str = "seq", out: str = "pos", width: int = 1 << 16, when: Column | None = None) -> DataFrame:
-    """df with out = 0, 1, ... for the rows of each key in the order of seq; a key may hold any share of the rows.
+def prefix_sum(df: DataFrame, value: Column, *keys: str, seq: str = "seq", out: str = "before", width: int = 1 << 16, ties: tuple[str, ...] = ()) -> DataFrame:
+    """df with out, the sum of value over the rows of its key that come before it in the order of seq; a key may hold any
+    share of the rows.
 
-    Two levels: rows are counted by (key, block of `width` numbers of seq), the small table's prefix sums give where a block
-    starts, and a row's rank inside its block does the rest.  So a key is spread over as many tasks as it has blocks.  Only rows
-    that meet `when` count, in that column the others have the number of counted rows before them.  A null key is a key.
+    Two levels: values are summed by (key, block of `width` numbers of seq), the small table's prefix sums give what comes before
+    a block, and a window inside each block does the rest.  So a key is spread over as many tasks as it has blocks.  A null key is a
+    key, a null value counts nothing.  ties: further columns of the order.
     """
-    test = F.lit(True) if when is None else F.coalesce(when, F.lit(False))
-    rows = df.withColumns({"__block": F.expr(f"`{seq}` div {width}L"), "__one": test.cast("bigint")})
+    rows = df.withColumns({"__block": F.expr(f"`{seq}` div {width}L"), "__value": F.coalesce(value.cast("bigint"), F.lit(0).cast("bigint"))})
     own = [*keys, "__block"]
-    counts = rows.groupBy(*own).agg(F.sum("__one").alias("__n"))
+    sums = rows.groupBy(*own).agg(F.sum("__value").alias("__n"))
     before = Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)  # one row for each block
-    starts = counts.select(*(F.col(c).alias(f"__{i}") for i, c in enumerate(own)), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    inside = Window.partitionBy(*own).orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("__rank", F.coalesce(F.sum("__one").over(inside), F.lit(0)))
+    starts = sums.select(*(F.col(c).alias(f"__{i}") for i, c in enumerate(own)), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    inside = Window.partitionBy(*own).orderBy(seq, *ties).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("__rank", F.coalesce(F.sum("__value").over(inside), F.lit(0)))
     same = [F.col(c).eqNullSafe(F.col(f"__{i}")) for i, c in enumerate(own)]
     return rows.join(starts, same).select(*df.columns, (F.col("__start") + F.col("__rank")).alias(out))
 
 
+def positions(df: DataFrame, *keys: str, seq: str = "seq", out: str = "pos", width: int = 1 << 16, when: Column | None = None, ties: tuple[str, ...] = ()) -> DataFrame:
+    """df with out = 0, 1, ... for the rows of each key in the order of seq.  Only rows that meet `when` count; the others have
+    the number of counted rows before them."""
+    return prefix_sum(df, F.lit(1) if when is None else when, *keys, seq=seq, out=out, width=width, ties=ties)
+
+
 def portable_hash(key: Column, n: int) -> Column:
     """Partition 0 to n - 1 of a key: the first 32 bits of the md5 of its string, modulo n."""
     return F.conv(F.substring(F.md5(key.cast("string")), 1, 8), 16, 10).cast("bigint") % n

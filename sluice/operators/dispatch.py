@@ -23,7 +23,8 @@ class Dispatcher(Protocol):
     def assign(self, events: DataFrame, consumers: DataFrame) -> DataFrame: ...
 
 
-def _small(df: DataFrame) -> DataFrame:
+def small(df: DataFrame) -> DataFrame:
+    """df with a broadcast hint, if its size allows it."""
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
@@ -32,12 +33,13 @@ def demand_dispatch(events: DataFrame, consumers: DataFrame, seed: int | None =
 
     consumers: consumer, pos (subscription order), demand.  Ties keep their order; with a seed it is drawn instead.
     """
-    pos = F.rand(seed) if seed is not None else F.col("pos")
+    # drawn by a hash, so that the order does not depend on where a consumer's row lies
+    pos = F.xxhash64(F.lit(seed).cast("bigint"), F.col("consumer"), F.col("pos")) if seed is not None else F.col("pos")
     order = Window.orderBy(F.desc("demand"), pos)  # consumers only
     ranges = consumers.where("demand > 0").select("consumer", "demand", F.sum("demand").over(order).alias("high"))
     ranges = ranges.select("consumer", (F.col("high") - F.col("demand")).alias("low"), "high")
     here = (F.col(seq) >= F.col("low")) & (F.col(seq) < F.col("high"))
-    return events.join(_small(ranges), here, "left").drop("low", "high")
+    return events.join(small(ranges), here, "left").drop("low", "high")
 
 
 def round_robin(events: DataFrame, consumers: int, demand: int, seq: str = "seq") -> DataFrame:
@@ -53,7 +55,7 @@ def broadcast_dispatch(events: DataFrame, consumers: DataFrame, seq: str = "seq"
     least = consumers.agg(F.min("demand").alias("waiting"))
     sees = F.col(seq) >= F.col("joined") if "joined" in consumers.columns else F.lit(True)
     sent = events.join(F.broadcast(least), F.col(seq) < F.col("waiting")).drop("waiting")
-    return sent.join(_small(consumers.drop("demand")), sees).drop("joined")
+    return sent.join(small(consumers.drop("demand")), sees).drop("joined")
 
 
 def select_dispatch(events: DataFrame, selectors: dict[str, Column | str]) -> DataFrame:
@@ -101,7 +103,7 @@ def partition_gate(events: DataFrame, demands: DataFrame, p: str = "p", seq: str
     prior = F.col(rank or "__prior")
     rows = rows.join(F.broadcast(total)).withColumn("__in", prior < F.col("waiting"))
     taken = positions(rows.where(F.col("__in") & F.col(p).isNotNull()), p, seq=seq, out="__at")
-    taken = taken.join(_small(demands.select(F.col(p), "demand")), p, "left")
+    taken = taken.join(small(demands.select(F.col(p), "demand")), p, "left")
     status = F.when(F.col("__at") < F.coalesce("demand", F.lit(0)), "accepted").otherwise("queued")
     taken = taken.withColumn("status", status).select(*events.columns, "status")
     rest = rows.where(~F.col("__in") | F.col(p).isNull()).withColumn("status", F.when(F.col("__in"), "discarded").otherwise("leftover"))
@@ -115,7 +117,7 @@ def prior_count(events: DataFrame, test: Column, seq: str = "seq", width: int =
     before = Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)  # one row for each block
     blocks = blocks.select("__block", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
     inside = Window.partitionBy("__block").orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.join(_small(blocks), "__block").withColumn("prior", F.col("__base") + F.coalesce(F.sum("__one").over(inside), F.lit(0)))
+    rows = rows.join(small(blocks), "__block").withColumn("prior", F.col("__base") + F.coalesce(F.sum("__one").over(inside), F.lit(0)))
     return rows.drop("__block", "__one", "__base")
 
 

@@ -11,9 +11,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sluice.functions.sequence import add_seq, portable_hash
-from sluice.operators import batching, buffer, dispatch, fold, policy, supervise
-from sluice.options import PartitionOptions, ProducerOptions, SubscriptionOptions, SupervisorOptions
+from sluice.operators import batching, buffer, dispatch, policy, queue, supervise
+from sluice.options import PartitionOptions, SubscriptionOptions, SupervisorOptions
 from sluice.sources.counter import CounterSource, counter, enumerable
+from sluice.streaming import stateful
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -49,15 +50,15 @@ P4 = "('0x' || substr(md5(CAST(user_id AS VARCHAR)), 1, 8))::BIGINT % 4"
 # --- sources (2.A)
 
 
-@query("source_counter", "SELECT range AS seq FROM range(1000)")
+@query("source_counter", "SELECT range AS seq FROM range((SELECT count(*) FROM events))")
 def source_counter(spark, sf_dir):
-    return counter(spark, 1000)
+    return counter(spark, events(spark, sf_dir).count())
 
 
-@query("source_counter_demand", "SELECT range AS seq FROM range(100, 1100)")
+@query("source_counter_demand", "SELECT range AS seq FROM range(100, 100 + (SELECT count(*) FROM events))")
 def source_counter_demand(spark, sf_dir):
     spark.dataSource.register(CounterSource)
-    return spark.read.format("counter").option("start", 100).option("count", 1000).load()
+    return spark.read.format("counter").option("start", 100).option("count", events(spark, sf_dir).count()).load()
 
 
 @query("source_enumerable", "SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS seq FROM events")
@@ -97,9 +98,41 @@ def pc_stateful_map(spark, sf_dir):
     return events(spark, sf_dir).select("user_id", "seq", F.round(F.sum("value").over(w), 4).alias("total"))
 
 
-@query("pc_postpone", "SELECT event_id AS seq, event_id // 100 + 1 AS emitted_at FROM events")
+def _last_other(state, row):
+    """The last type of event before the present one that is another, forgotten at each error."""
+    if row["event_type"] == "error":
+        state.clear("now")
+        state.clear("other")
+    elif row["event_type"] != state.get("now"):
+        state.put("other", state.get("now"))
+        state.put("now", row["event_type"])
+    return [{"user_id": row["user_id"], "seq": row["seq"], "other": state.get("other")}]
+
+
+@query(
+    "map_state",
+    """WITH RECURSIVE e AS (SELECT user_id, event_id AS seq, event_type AS t, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
+      s AS (SELECT DISTINCT user_id, 0::BIGINT AS k, -1::BIGINT AS seq, NULL::VARCHAR AS now, NULL::VARCHAR AS other FROM e
+        UNION ALL SELECT e.user_id, e.k, e.seq, CASE WHEN t <> 'error' THEN t END,
+          CASE WHEN t = 'error' THEN NULL WHEN t IS DISTINCT FROM now THEN now ELSE other END FROM s JOIN e ON e.user_id = s.user_id AND e.k = s.k + 1)
+      SELECT user_id, seq, other FROM s WHERE k > 0""",
+)
+def map_state(spark, sf_dir):
+    rows = events(spark, sf_dir).select("user_id", "seq", "event_type")
+    return stateful.map_state(rows, _last_other, "user_id long, seq long, other string", "user_id", "seq")
+
+
+# what is held is given out an hour after the first of it came; the next event begins anew
+@query(
+    "pc_postpone",
+    """WITH RECURSIVE e AS (SELECT user_id % 20 AS producer, event_id AS seq, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id % 20 ORDER BY ts, event_id) AS k FROM events),
+      s AS (SELECT DISTINCT producer, 0::BIGINT AS k, -1::BIGINT AS seq, -1::BIGINT AS due FROM e
+        UNION ALL SELECT e.producer, e.k, e.seq, CASE WHEN t >= due THEN t + 3600000000 ELSE due END FROM s JOIN e ON e.producer = s.producer AND e.k = s.k + 1)
+      SELECT producer, seq, due AS given_us FROM s WHERE k > 0""",
+)
 def pc_postpone(spark, sf_dir):
-    return events(spark, sf_dir).select("seq", big(F.floor(F.col("seq") / 100) + 1).alias("emitted_at"))
+    rows = events(spark, sf_dir).select((F.col("user_id") % 20).alias("producer"), "seq", "ts")
+    return stateful.postpone(rows, 3600, "producer").select("producer", "seq", F.unix_micros("given_at").alias("given_us"))
 
 
 # --- demand and batching (2.D)
@@ -313,6 +346,46 @@ def buffered_count(spark, sf_dir):
     return buffer.discarded(events(spark, sf_dir).where("value > 50"), 10_000).select("buffered")
 
 
+def _traffic(spark, sf_dir) -> DataFrame:
+    """A log of 20 producers: clicks and views ask for 0 to 2 events, the others are dispatched."""
+    ask = F.col("event_type").isin("click", "view")
+    rows = events(spark, sf_dir).select((F.col("user_id") % 20).alias("producer"), "seq", F.when(ask, F.col("seq") % 3).alias("asked"), F.when(~ask, F.array("seq")).alias("events"))
+    return rows
+
+
+# the buffer as a list that is filled and emptied row by row
+BUFFER_LOG = """WITH RECURSIVE e AS (SELECT user_id % 20 AS producer, event_id AS seq, event_type IN ('click', 'view') AS is_ask, event_id % 3 AS n,
+      row_number() OVER (PARTITION BY user_id % 20 ORDER BY event_id) AS k FROM events),
+    s AS (SELECT DISTINCT producer, 0::BIGINT AS k, -1::BIGINT AS seq, 0::BIGINT AS waiting, []::BIGINT[] AS held, []::BIGINT[] AS sent, []::BIGINT[] AS lost FROM e
+      UNION ALL SELECT e.producer, e.k, e.seq,
+        CASE WHEN is_ask THEN s.waiting + greatest(n - len(held), 0) ELSE greatest(s.waiting - 1, 0) END,
+        CASE WHEN is_ask THEN held[n + 1:] WHEN s.waiting > 0 THEN held {keep} END,
+        CASE WHEN is_ask THEN held[1:n] WHEN s.waiting > 0 THEN [e.seq] ELSE [] END,
+        CASE WHEN NOT is_ask AND s.waiting = 0 AND len(held) = 5 THEN {lost} ELSE [] END
+      FROM s JOIN e ON e.producer = s.producer AND e.k = s.k + 1)
+  SELECT producer, event, event AS stored_at, 'delivered' AS status, seq AS left_at FROM (SELECT producer, seq, unnest(sent) AS event FROM s)
+  UNION ALL SELECT producer, event, event, 'discarded', seq FROM (SELECT producer, seq, unnest(lost) AS event FROM s)
+  UNION ALL SELECT producer, event, event, 'buffered', NULL FROM (SELECT producer, unnest(arg_max(held, k)) AS event FROM s GROUP BY producer)"""
+
+
+@query("buffer_log_last", BUFFER_LOG.format(keep="ELSE list_append(held, e.seq)[-5:]", lost="held[1:1]"))
+def buffer_log_last(spark, sf_dir):
+    return buffer.buffer_log(_traffic(spark, sf_dir), 5, "last")
+
+
+@query("buffer_log_first", BUFFER_LOG.format(keep="WHEN len(held) = 5 THEN held ELSE list_append(held, e.seq)", lost="[e.seq]"))
+def buffer_log_first(spark, sf_dir):
+    return buffer.buffer_log(_traffic(spark, sf_dir), 5, "first")
+
+
+@query(
+    "buffer_fill",
+    f"SELECT producer, seq, (CASE WHEN waiting > 0 THEN -waiting ELSE len(held) END)::BIGINT AS fill, len(sent)::BIGINT AS delivered, len(lost)::BIGINT AS discarded FROM ({BUFFER_LOG[: BUFFER_LOG.index('  SELECT producer, event')].format(keep='ELSE list_append(held, e.seq)[-5:]', lost='held[1:1]')} SELECT * FROM s WHERE k > 0)",
+)
+def buffer_fill(spark, sf_dir):
+    return buffer.fills(_traffic(spark, sf_dir), 5).select("producer", "seq", "fill", "delivered", "discarded")
+
+
 INFOS = [("early", 0), ("i1", 7), ("i2", 7), ("i3", 333), ("i4", 900)]
 
 
@@ -360,19 +433,24 @@ def accumulate_replay(spark, sf_dir):
     return rows.join(F.broadcast(ranges), (F.col("seq") >= F.col("low")) & (F.col("seq") < F.col("high"))).select("seq", "pos")
 
 
-REASONS = "(VALUES ('normal'), ('shutdown'), ('shutdown:x'), ('killed'), ('noproc'), ('already_subscribed')) r(reason)"
-_REASONS = ["normal", "shutdown", "shutdown:x", "killed", "noproc", "already_subscribed"]
+REASONS = ["normal", "shutdown", "shutdown:x", "killed", "noproc", "already_subscribed"]
+MODES = ["permanent", "transient", "temporary"]
+_ENDS = "SELECT event_id AS seq, (['normal', 'shutdown', 'shutdown:x', 'killed', 'noproc', 'already_subscribed'])[event_id % 6 + 1] AS reason, (['permanent', 'transient', 'temporary'])[user_id % 3 + 1] AS mode FROM events"
+
+
+def _ends(spark, sf_dir, mode: str) -> DataFrame:
+    """Each event ends something, for a reason by its number and in a mode by its user."""
+    pick = lambda names, i: F.element_at(F.array(*map(F.lit, names)), (i + 1).cast("int"))
+    return events(spark, sf_dir).select("seq", pick(REASONS, F.col("seq") % 6).alias("reason"), pick(MODES, F.col("user_id") % 3).alias(mode))
 
 
 @query(
     "cancel_policy",
-    f"""SELECT mode, reason, CASE WHEN reason = 'already_subscribed' THEN 'keep' WHEN mode = 'permanent' THEN 'stop'
-          WHEN mode = 'transient' AND reason NOT IN ('normal', 'shutdown', 'shutdown:x') THEN 'stop' ELSE 'keep' END AS action
-        FROM (VALUES ('permanent'), ('transient'), ('temporary')) m(mode), {REASONS}""",
+    f"""SELECT seq, mode, reason, CASE WHEN reason = 'already_subscribed' THEN 'keep' WHEN mode = 'permanent' THEN 'stop'
+          WHEN mode = 'transient' AND reason NOT IN ('normal', 'shutdown', 'shutdown:x') THEN 'stop' ELSE 'keep' END AS action FROM ({_ENDS})""",
 )
 def cancel_policy(spark, sf_dir):
-    rows = values(spark, [(m, r) for m in ("permanent", "transient", "temporary") for r in _REASONS], "mode string, reason string")
-    return rows.withColumn("action", policy.cancel_action(F.col("mode"), F.col("reason")))
+    return _ends(spark, sf_dir, "mode").withColumn("action", policy.cancel_action(F.col("mode"), F.col("reason")))
 
 
 # --- supervised work (2.H)
@@ -380,13 +458,11 @@ def cancel_policy(spark, sf_dir):
 
 @query(
     "restart_policy",
-    """SELECT restart, reason, CASE WHEN restart = 'permanent' THEN 'rejected'
-         WHEN restart = 'transient' AND reason NOT IN ('normal', 'shutdown', 'shutdown:x') THEN 'restarted' ELSE 'removed' END AS action
-       FROM (VALUES ('permanent'), ('transient'), ('temporary')) m(restart), (VALUES ('normal'), ('shutdown'), ('shutdown:x'), ('killed')) r(reason)""",
+    f"""SELECT seq, mode AS restart, reason, CASE WHEN mode = 'permanent' THEN 'rejected'
+         WHEN mode = 'transient' AND reason NOT IN ('normal', 'shutdown', 'shutdown:x') THEN 'restarted' ELSE 'removed' END AS action FROM ({_ENDS})""",
 )
 def restart_policy(spark, sf_dir):
-    rows = values(spark, [(m, r) for m in ("permanent", "transient", "temporary") for r in _REASONS[:4]], "restart string, reason string")
-    return rows.withColumn("action", policy.restart_action(F.col("restart"), F.col("reason")))
+    return _ends(spark, sf_dir, "restart").withColumn("action", policy.restart_action(F.col("restart"), F.col("reason")))
 
 
 RESTARTS = "SELECT event_id AS seq, floor(epoch(ts))::BIGINT // 600 AS sec FROM events WHERE event_type = 'error'"
@@ -409,23 +485,42 @@ def supervisor_asks(spark, sf_dir):
 
 
 def _child(event: dict):
-    """ok, ignore, an error or an exception, by the type of the event."""
-    kind = event["event_type"]
-    if kind == "error":
+    """ok, ignore, an error or an exception, by the type of the event and the attempt."""
+    kind, attempt = event["event_type"], event["attempt"]
+    if kind == "error" and attempt <= event["seq"] % 3 + 1:
         raise RuntimeError(kind)
-    return {"signup": "ignore", "click": ("error", "refused")}.get(kind, "ok")
+    return {"signup": "ignore", "click": ("error", "refused") if attempt == 1 else "ok"}.get(kind, "ok")
 
 
-@query(
-    "child_outcomes",
-    """SELECT event_type, status, reason, attempt::BIGINT AS attempt, count(*) AS n FROM events,
-         LATERAL (SELECT CASE event_type WHEN 'error' THEN 'down' WHEN 'click' THEN 'down' WHEN 'signup' THEN 'ignored' ELSE 'running' END AS status,
-           CASE event_type WHEN 'error' THEN 'error:RuntimeError' WHEN 'click' THEN 'error:refused' ELSE 'normal' END AS reason),
-         (VALUES (1), (2), (3), (4)) t(attempt) WHERE attempt = 1 OR event_type IN ('error', 'click') GROUP BY ALL""",
-)
+# each event fails so often, restarts are counted pair by pair, and what comes after the first breach is not there
+CHILDREN = """WITH e AS (SELECT user_id % 20 AS supervisor, event_id AS seq, floor(epoch(ts))::BIGINT // 3600 AS sec, event_type,
+      CASE event_type WHEN 'error' THEN event_id % 3 + 1 WHEN 'click' THEN 1 ELSE 0 END AS fails FROM events),
+    r AS (SELECT supervisor, sec, seq, unnest(range(1, fails + 1)) AS k FROM e),
+    i AS (SELECT a.supervisor, a.sec, a.seq, a.k, count(*) AS recent FROM r a JOIN r b ON a.supervisor = b.supervisor AND b.sec BETWEEN a.sec - 5 AND a.sec
+      AND (b.sec < a.sec OR b.seq < a.seq OR b.seq = a.seq AND b.k <= a.k) GROUP BY ALL),
+    b AS (SELECT supervisor, min([sec, seq, k]) AS stop FROM i WHERE recent > {most} GROUP BY supervisor),
+    a AS (SELECT *, unnest(range(1, fails + 2)) AS attempt FROM e)
+  SELECT supervisor, seq, event_type, attempt::INT AS attempt,
+    CASE WHEN attempt <= fails THEN 'down' WHEN event_type = 'signup' THEN 'ignored' ELSE 'running' END AS status,
+    CASE WHEN attempt > fails THEN 'normal' WHEN event_type = 'error' THEN 'error:RuntimeError' ELSE 'error:refused' END AS reason,
+    CASE WHEN attempt > fails THEN 'removed' WHEN [sec, seq, attempt] = stop THEN 'shutdown' ELSE 'restarted' END AS action
+  FROM a LEFT JOIN b USING (supervisor) WHERE stop IS NULL OR [sec, seq, attempt - 1] < stop"""
+
+
+def _attempts(spark, sf_dir, most: int) -> DataFrame:
+    sec = big(F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 3600))
+    rows = events(spark, sf_dir).select((F.col("user_id") % 20).alias("supervisor"), "seq", sec.alias("sec"), "event_type")
+    return supervise.supervise(rows, _child, SupervisorOptions(restart="transient", max_restarts=most), supervisor="supervisor").drop("sec")
+
+
+@query("child_outcomes", CHILDREN.format(most=30))
 def child_outcomes(spark, sf_dir):
-    done = supervise.supervise(events(spark, sf_dir).select("seq", "event_type"), _child, SupervisorOptions(restart="transient"))
-    return done.groupBy("event_type", "status", "reason", big("attempt").alias("attempt")).agg(F.count("*").alias("n"))
+    return _attempts(spark, sf_dir, 30)
+
+
+@query("child_outcomes_stricter", CHILDREN.format(most=15))
+def child_outcomes_stricter(spark, sf_dir):
+    return _attempts(spark, sf_dir, 15)
 
 
 @query(
@@ -437,43 +532,7 @@ def child_counts(spark, sf_dir):
     return supervise.child_counts(supervise.supervise(events(spark, sf_dir).select("seq", "event_type"), _child))
 
 
-# --- ordered folds: a log for each of 20 producers, from their users' events
-
-
-def _log(spark, sf_dir, op: F.Column, sub: F.Column, n: F.Column, names: list[tuple[str, str]]) -> DataFrame:
-    """A control log: subscriptions first, then one row for each event."""
-    rows = events(spark, sf_dir).select((F.col("user_id") % 20).cast("string").alias("producer"), F.col("seq").alias("log_seq"), op.alias("op"), sub.alias("sub"), n.alias("n"), F.array(F.col("seq").cast("string")).alias("events"))
-    rows = rows.withColumn("events", F.when(F.col("op") != "ask", F.col("events"))).withColumn("opts", F.lit(None).cast("map<string,string>"))
-    first = F.explode(F.array(*(F.struct(F.lit(i - len(names)).cast("bigint").alias("log_seq"), F.lit(s).alias("sub"), F.create_map(F.lit("partition"), F.lit(p)).alias("opts")) for i, (s, p) in enumerate(names)))).alias("x")
-    subs = rows.select("producer").distinct().select("producer", first).select("producer", "x.log_seq", F.lit("subscribe").alias("op"), "x.sub", F.lit(None).cast("bigint").alias("n"), F.lit(None).cast("array<string>").alias("events"), "x.opts")
-    return rows.select("producer", "log_seq", "op", "sub", big("n").alias("n"), "events", "opts").unionByName(subs.select("producer", "log_seq", "op", "sub", "n", "events", "opts"))
-
-
-def _fold(spark, sf_dir, options: ProducerOptions, subs, **more) -> DataFrame:
-    ask = F.col("event_type").isin("click", "view")
-    op = F.when(ask, "ask").otherwise("dispatch")
-    sub = F.when(ask, F.when(F.col("event_id") % 2 == 0, subs[0][0]).otherwise(subs[1][0]))
-    return fold.fold(_log(spark, sf_dir, op, sub, F.when(ask, F.col("event_id") % 3), subs), options, **more)
-
-
-@query("fold_demand")
-def fold_demand(spark, sf_dir):
-    return _fold(spark, sf_dir, ProducerOptions(buffer_size=5), [("a", "0"), ("b", "1")])
-
-
-@query("fold_broadcast")
-def fold_broadcast(spark, sf_dir):
-    return _fold(spark, sf_dir, ProducerOptions(dispatcher="broadcast", buffer_size=5, buffer_keep="first"), [("a", "0"), ("b", "1")])
-
-
-def _parity(event: str):
-    return event, str(int(event) % 2)
-
-
-@query("fold_partition")
-def fold_partition(spark, sf_dir):
-    return _fold(spark, sf_dir, ProducerOptions(dispatcher="partition"), [("a", "0"), ("b", "1")], names=["0", "1"], where=_parity)
-
+# --- demand that waits: a log for each of 20 producers, from their users' events
 
 FOLD_TOTALS = """WITH a AS (SELECT (user_id % 20)::VARCHAR AS producer, sum(event_id % 3) FILTER (event_type IN ('click', 'view')) AS asked,
     count(*) FILTER (event_type NOT IN ('click', 'view')) AS sent FROM events GROUP BY 1)
@@ -482,10 +541,8 @@ FOLD_TOTALS = """WITH a AS (SELECT (user_id % 20)::VARCHAR AS producer, sum(even
 
 @query("fold_unbounded_totals", FOLD_TOTALS)
 def fold_unbounded_totals(spark, sf_dir):
-    out = _fold(spark, sf_dir, ProducerOptions(buffer_size=None), [("a", "0"), ("b", "1")])
-    asked = events(spark, sf_dir).where("event_type IN ('click', 'view')").groupBy((F.col("user_id") % 20).cast("string").alias("producer")).agg(F.sum(F.col("event_id") % 3).alias("demanded"))
-    sent = out.where("op = 'deliver'").groupBy("producer").agg(F.sum("n").alias("delivered"))
-    return asked.join(sent, "producer", "left").select("producer", F.coalesce("delivered", F.lit(0)).alias("delivered"), "demanded")
+    rows = buffer.fills(_traffic(spark, sf_dir), None)
+    return rows.groupBy(F.col("producer").cast("string").alias("producer")).agg(F.sum("delivered").alias("delivered"), big(F.sum("asked")).alias("demanded"))
 
 
 # the j-th event goes out when it is there and the sum of all asks has come to j
@@ -496,33 +553,72 @@ FOLD_TIMES = """WITH e AS (SELECT (user_id % 20)::VARCHAR AS producer, event_id
   ON g.producer = a.producer AND (k - 1) * {copies} + copy >= low AND (k - 1) * {copies} + copy < high"""
 
 
-def _sent(out: DataFrame) -> DataFrame:
-    return out.where("op = 'deliver'").select("producer", "log_seq", F.explode("events").alias("event"))
+def _delivered(log: DataFrame) -> DataFrame:
+    out = buffer.buffer_log(log, None).where("status = 'delivered'")
+    return out.select(F.col("producer").cast("string").alias("producer"), F.col("left_at").alias("log_seq"), F.col("event").cast("string").alias("event"))
 
 
 @query("fold_delivery_times", FOLD_TIMES.format(copies=1))
 def fold_delivery_times(spark, sf_dir):
-    return _sent(_fold(spark, sf_dir, ProducerOptions(buffer_size=None), [("a", "0"), ("b", "1")]))
-
-
-def _twice(batch: list) -> list:
-    return [e for e in batch for _ in range(2)]
+    return _delivered(_traffic(spark, sf_dir))
 
 
 @query("fold_gate", FOLD_TIMES.format(copies=2))
 def fold_gate(spark, sf_dir):
+    """A stage in the middle that makes two events of each, behind a buffer without a bound."""
+    twice = F.when(F.col("events").isNotNull(), F.flatten(F.array("events", "events")))
+    return _delivered(_traffic(spark, sf_dir).withColumn("events", twice))
+
+
+# --- pushed events and their acknowledgement (A5, A6, B5), messages through partitions
+
+# queues as lists, row by row
+QUEUE = """WITH RECURSIVE e AS (SELECT user_id % 20 AS producer, event_id AS seq, event_type IN ('click', 'view') AS is_ask, event_id % 3 AS n,
+      event_type = 'click' AS first, row_number() OVER (PARTITION BY user_id % 20 ORDER BY event_id) AS k FROM events),
+    d AS (SELECT *, CASE WHEN is_ask AND (first OR {one}) THEN n ELSE 0 END AS n1, CASE WHEN is_ask AND (NOT first OR {one}) THEN n ELSE 0 END AS n2 FROM e),
+    s AS (SELECT DISTINCT producer, 0::BIGINT AS k, -1::BIGINT AS seq, 0::BIGINT AS w1, 0::BIGINT AS w2, []::BIGINT[] AS held, []::BIGINT[] AS sent FROM e
+      UNION ALL SELECT producer, k, seq, w1 - len(out), w2 - len(out), everything[len(out) + 1:], out FROM (
+        SELECT *, everything[1:least(w1, w2)] AS out FROM (
+          SELECT d.producer, d.k, d.seq, w1 + n1 AS w1, w2 + n2 AS w2, CASE WHEN is_ask THEN held ELSE list_append(held, d.seq) END AS everything
+          FROM s JOIN d ON d.producer = s.producer AND d.k = s.k + 1)))
+  SELECT producer, event AS seq, seq AS given_at FROM (SELECT producer, seq, unnest(sent) AS event FROM s)
+  UNION ALL SELECT producer, event, NULL FROM (SELECT producer, unnest(arg_max(held, k)) AS event FROM s GROUP BY producer)"""
+
+
+def _pushes_and_asks(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    rows = events(spark, sf_dir).select((F.col("user_id") % 20).alias("producer"), "seq", "event_type", (F.col("seq") % 3).alias("n"))
     ask = F.col("event_type").isin("click", "view")
-    log = _log(spark, sf_dir, F.when(ask, "ask").otherwise("receive"), F.when(ask, "a").otherwise("above"), F.when(ask, F.col("event_id") % 3), [("a", "0")])
-    above = log.where("op = 'subscribe'").withColumns({"log_seq": F.col("log_seq") - 1, "op": F.lit("subscribe_to"), "sub": F.lit("above")})
-    return _sent(fold.fold(log.unionByName(above), ProducerOptions(buffer_size=None), role="producer_consumer", work=_twice))
+    return rows.where(~ask).select("producer", "seq"), rows.where(ask)
+
+
+@query("queue_pairing", QUEUE.format(one="true"))
+def queue_pairing(spark, sf_dir):
+    pushes, asks = _pushes_and_asks(spark, sf_dir)
+    return queue.pair(pushes, asks, "producer").select("producer", "seq", "given_at")
+
 
+@query("queue_broadcast", QUEUE.format(one="false"))
+def queue_broadcast(spark, sf_dir):
+    """Each pushed event goes to two consumers and is acknowledged when both have asked for it."""
+    pushes, asks = _pushes_and_asks(spark, sf_dir)
+    demand = queue.common_demand(asks, ["click", "view"], "producer", consumer="event_type")
+    return queue.pair(pushes, demand, "producer").select("producer", "seq", "given_at")
 
-@query("fold_consumer")
-def fold_consumer(spark, sf_dir):
-    rows = events(spark, sf_dir).select((F.col("user_id") % 20).cast("string").alias("producer"), F.col("seq").alias("log_seq"), F.col("event_id").cast("string").alias("e"))
-    log = rows.select("producer", "log_seq", F.lit("receive").alias("op"), F.lit("s").alias("sub"), F.lit(None).cast("bigint").alias("n"), F.array_repeat("e", 7).alias("events"), F.lit(None).cast("map<string,string>").alias("opts"))
-    subs = rows.select("producer").distinct().select("producer", F.lit(-1).cast("bigint").alias("log_seq"), F.lit("subscribe").alias("op"), F.lit("s").alias("sub"), F.lit(None).cast("bigint").alias("n"), F.lit(None).cast("array<string>").alias("events"), F.create_map(F.lit("max"), F.lit("10"), F.lit("min"), F.lit("5")).alias("opts"))
-    return fold.fold(log.unionByName(subs), role="consumer")
+
+@query(
+    "info_partitions",
+    f"""WITH e AS (SELECT event_id AS seq, {P4} AS p, event_type, event_id % 3 AS n FROM events),
+      a AS (SELECT p, seq, sum(n) OVER (PARTITION BY p ORDER BY seq) AS asked FROM e WHERE event_type IN ('click', 'view')),
+      i AS (SELECT seq AS name FROM e WHERE event_type = 'signup' AND seq % 19 = 0),
+      b AS (SELECT name, p, count(*) AS before FROM i JOIN e ON e.seq < name AND event_type IN ('error', 'purchase') GROUP BY ALL),
+      c AS (SELECT name, b.p, min(seq) AS crossed FROM b LEFT JOIN a ON a.p = b.p AND asked > before GROUP BY ALL)
+    SELECT name, CASE WHEN count(*) FILTER (p IS NOT NULL AND crossed IS NULL) > 0 THEN NULL ELSE greatest(name, coalesce(max(crossed), name)) END AS given_at
+    FROM i LEFT JOIN c USING (name) GROUP BY name""",
+)
+def info_partitions(spark, sf_dir):
+    rows = events(spark, sf_dir).select("seq", portable_hash(F.col("user_id"), 4).alias("p"), "event_type", (F.col("seq") % 3).alias("n"))
+    infos = rows.where("event_type = 'signup' and seq % 19 = 0").select(F.col("seq").alias("name"), "seq")
+    return queue.info_partitions(rows.where("event_type in ('error', 'purchase')"), rows.where("event_type in ('click', 'view')"), infos).select("name", "given_at")
 
 
 @query("global_seq", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS seq FROM orders")

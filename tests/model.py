@@ -1,12 +1,6 @@
-"""The ordered fold: rules that depend on the interleaving of asks, dispatches and cancels, as one keyed state machine.
+"""A brute-force model of the rules that depend on the interleaving of asks, dispatches and cancels: one step for each row of a log.
 
-A control log has the columns of LOG; rows are applied in log_seq order, each producer on its own.  Pure Python classes
-hold the rules; fold() runs them over a batch with applyInPandas, streaming.stateful over a stream.  One log order is one
-legal interleaving, and results are a function of it.
-
-Ops: subscribe, ask, cancel, dispatch, info, mode (sub: forward or accumulate), and for consumers receive.  A stage in the
-middle has the producer's ops for those below it and, for those above it, subscribe_to, receive and ended.
-Outputs: deliver, handle_demand, cancelled, discarded, dropped, info, ask, excess, stop.
+The DataFrame forms are compared with it.  One log order is one legal interleaving.
 """
 
 from __future__ import annotations
@@ -16,15 +10,8 @@ from collections import deque
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-import pandas as pd
-from pyspark.sql import DataFrame
-
 from sluice.operators.batching import split_message
-from sluice.options import ProducerOptions, SubscriptionOptions
-
-LOG = "producer string, log_seq long, op string, sub string, n long, events array<string>, opts map<string,string>"
-OUT = "producer string, log_seq long, out_seq long, op string, sub string, n long, events array<string>"
-
+from sluice.options import SubscriptionOptions
 
 class Buffer:
     """Events that wait for demand, and messages (infos) that wait behind them."""
@@ -51,10 +38,14 @@ class Buffer:
         return lost, freed
 
     def info(self, message) -> bool:
-        """Wait behind the last event; False where there is none."""
+        """Wait behind the last event, or behind a message that was put back to the front; False where there is neither."""
         if self.events:
             self.behind.setdefault(self.events[-1][0], []).append(message)
-        return bool(self.events)
+        elif getattr(self, "front", None):
+            self.front.append(message)
+        else:
+            return False
+        return True
 
     def take(self, n: int) -> tuple[int, list, list]:
         """(demand left, events, infos): up to n events, no further than one that infos wait for."""
@@ -348,10 +339,13 @@ class Producer:
             for m in self.buffer.pop_front():
                 out += self.dispatcher.info(m)
             n, events, infos = self.buffer.take(n)
-            left, sent = self.dispatcher.dispatch(events)
-            if left:
-                raise AssertionError("a dispatcher refused events that it had asked for")
-            self._sort(sent, out, reasks)
+            if self.mode == "accumulate":  # taken from the buffer, and handed out when the mode is forward again
+                self.later.append(("dispatch", events))
+            else:
+                left, sent = self.dispatcher.dispatch(events)
+                if left:
+                    raise AssertionError("a dispatcher refused events that it had asked for")
+                self._sort(sent, out, reasks)
             for m in infos:
                 out += self.dispatcher.info(m)
         if n:
@@ -528,57 +522,3 @@ class Supervisor:
             pending = 0
         self.producers[sub] = [count + started - down, pending, low, high]
         return out
-
-
-def machine(options: ProducerOptions, names: list[str] | None = None, where=None, role: str = "producer", work=list):
-    """A new state machine; work: what a stage in the middle makes of a batch."""
-    if role == "consumer":
-        return Consumer()
-    if role == "supervisor":
-        return Supervisor()
-    dispatcher = {"demand": DemandState, "broadcast": BroadcastState}.get(options.dispatcher)
-    dispatcher = dispatcher() if dispatcher else PartitionState(names or [], where)
-    buffer = Buffer(options.buffer_size, options.buffer_keep)
-    if role == "producer_consumer":
-        return ProducerConsumer(dispatcher, buffer, work=work)
-    return Producer(dispatcher, buffer, options.demand)
-
-
-def rows_of(state, log: pd.DataFrame) -> list[tuple]:
-    """Outputs of log rows, in log_seq order."""
-    out = []
-    for r in log.sort_values("log_seq", kind="stable").itertuples(index=False):
-        opts = dict(r.opts) if r.opts is not None else {}
-        if "selector_prefix" in opts:
-            opts["selector"] = lambda e, p=opts["selector_prefix"]: e.startswith(p)
-        n = 0 if pd.isna(r.n) else int(r.n)
-        for i, (op, sub, x) in enumerate(state.step(r.op, r.sub, n, [] if r.events is None else list(r.events), opts)):
-            many = isinstance(x, list)
-            out.append((r.producer, int(r.log_seq), i, op, sub, len(x) if many else x, [str(e) for e in x] if many else None))
-    return out
-
-
-def fold(log: DataFrame, options: ProducerOptions | None = None, names: list[str] | None = None, where=None, role: str = "producer", work=list) -> DataFrame:
-    """Outputs of a control log; producers run side by side, each one's log in one task, as its order demands."""
-    options = options or ProducerOptions()
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(rows_of(machine(options, names, where, role, work), pdf), columns=[c.split()[0] for c in OUT.split(", ")])
-
-    return log.groupBy("producer").applyInPandas(run, OUT)
-
-
-def encode_state(state) -> bytes:
-    """A state machine as bytes, for state stores."""
-    from pyspark import cloudpickle  # selectors and partitioners may be lambdas
-
-    return cloudpickle.dumps(state)
-
-
-def decode_state(data: bytes):
-    from pyspark import cloudpickle
-
-    return cloudpickle.loads(data)
-
-
-__all__ = ["LOG", "OUT", "Buffer", "BroadcastState", "Consumer", "DemandState", "PartitionState", "Producer", "ProducerConsumer", "Supervisor", "fold", "machine", "rows_of"]

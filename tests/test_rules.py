@@ -5,9 +5,9 @@ import random
 from pathlib import Path
 
 import pytest
+from model import BroadcastState, Buffer, Consumer, DemandState, PartitionState, Producer, ProducerConsumer, Supervisor
 
 from sluice.operators.batching import cycle, split_message
-from sluice.operators.fold import BroadcastState, Buffer, Consumer, DemandState, PartitionState, Producer, ProducerConsumer, Supervisor
 from sluice.options import OptionError, PartitionOptions, ProducerOptions, SubscriptionOptions, SupervisorOptions
 from sluice.streaming.pipeline import Subscriptions
 
@@ -259,14 +259,23 @@ def test_a_queued_message_waits_for_the_next_ask():
     assert ("info", None, ["m"]) in state.ask(1, "a")[1]
 
 
-def test_state_with_lambdas_is_kept_between_batches():
-    from sluice.operators.fold import decode_state, encode_state
+def test_accumulate_holds_what_the_buffer_gives():
+    stage = Producer(DemandState(), Buffer(10))
+    stage.step("subscribe", "a")
+    stage.step("dispatch", events=[1, 2, 3])
+    stage.step("mode", "accumulate")
+    assert stage.step("ask", "a", 2) == []
+    assert stage.step("mode", "forward") == [("deliver", "a", [1, 2])]
 
-    stage = Producer(BroadcastState(), Buffer(10))
-    stage.step("subscribe", "a", opts={"selector": lambda e: e != "x"})
-    stage = decode_state(encode_state(stage))
-    stage.step("ask", "a", 2)
-    assert ("deliver", "a", ["y"]) in stage.step("dispatch", events=["x", "y"])
+
+def test_a_message_does_not_overtake_one_that_was_put_back():
+    stage = Producer(DemandState(), Buffer(None))
+    stage.step("subscribe", "a")
+    stage.step("dispatch", events=[1])
+    assert stage.step("info", events=["m"]) == []
+    assert stage.step("ask", "a", 1) == [("deliver", "a", [1])]
+    assert stage.step("info", events=["m2"]) == []
+    assert [x[2] for x in stage.step("ask", "a", 1) if x[0] == "info"] == [["m"], ["m2"]]
 
 
 def middle(work=list, dispatcher=None):
