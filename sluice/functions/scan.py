@@ -14,16 +14,22 @@ def _clamp(x: Column, add: Column, low: Column, high: Column) -> Column:
     return F.least(F.greatest(x + add, low), high)
 
 
-def _prefixes(rows: DataFrame, keys: list[str], seq: str, steps: int) -> DataFrame:
-    """Each row's map replaced by that of all rows of its key up to it.  In each step a row takes in what the row 2**k before it
-    has; all steps have one sort order, so rows are shuffled once."""
+def _prefixes(rows: DataFrame, keys: list[str], seq: str, reach: int) -> DataFrame:
+    """Each row's map replaced by that of all rows of its key up to it, `reach` of them at most.  In each step a row takes in what the
+    rows 1, 2 and 3 spans before it have, and a span is four times as long as in the last; all steps have one sort order, so rows are
+    shuffled once."""
     w = Window.partitionBy(*keys).orderBy(seq)
-    add, low, high = (F.col(c) for c in MAP)
-    for k in range(steps):
-        rows = rows.withColumns({f"__p{c}": F.lag(c, 1 << k).over(w) for c in MAP})
-        p_add, p_low, p_high = (F.col(f"__p{c}") for c in MAP)
-        both = (p_add + add, _clamp(p_low, add, low, high), _clamp(p_high, add, low, high))  # first what came before, then this
-        rows = rows.withColumns({c: F.when(p_add.isNull(), F.col(c)).otherwise(x) for c, x in zip(MAP, both)}).drop(*(f"__p{c}" for c in MAP))
+    others, nothing = [c for c in rows.columns if c not in MAP], (0, -FREE, FREE)
+    span = 1
+    while span < reach:
+        lags = [F.lag(c, i * span, none).over(w).alias(f"{c}{i}") for i in (1, 2, 3) for c, none in zip(MAP, nothing)]
+        rows = rows.select(*others, *MAP, *lags)
+        add, low, high = (F.col(f"{c}3") for c in MAP)
+        for i in (2, 1, ""):  # first what came before
+            own = [F.col(f"{c}{i}") for c in MAP]
+            add, low, high = add + own[0], _clamp(low, *own), _clamp(high, *own)
+        rows = rows.select(*others, add.alias(MAP[0]), low.alias(MAP[1]), high.alias(MAP[2]))
+        span *= 4
     return rows
 
 
@@ -42,12 +48,12 @@ def clamp_scan(log: DataFrame, add: Column, *keys: str, low: Column | int = -FRE
     bound = lambda x: (x if isinstance(x, Column) else F.lit(x)).cast("bigint")
     rows = log.withColumns({"__block": _block(seq, width), "__add": F.coalesce(add.cast("bigint"), F.lit(0).cast("bigint")), "__low": bound(low), "__high": bound(high)})
     own = [*keys, "__block"]
-    inside = _prefixes(rows, own, seq, max(1, (width - 1).bit_length()))
+    inside = _prefixes(rows, own, seq, width)
     blocks = inside.groupBy(*own).agg(F.max_by(F.struct(*MAP), seq).alias("__m")).select(*own, *(F.col(f"__m.{c}").alias(c) for c in MAP))
     ends = log.agg(F.min(seq).alias("a"), F.max(seq).alias("b")).first()
     count = 0 if ends["a"] is None else ends["b"] // width - ends["a"] // width + 2
     if count <= width:
-        done = _prefixes(blocks, list(keys), "__block", max(1, count.bit_length())).withColumn("__end", _clamp(F.lit(start).cast("bigint"), *(F.col(c) for c in MAP)))
+        done = _prefixes(blocks, list(keys), "__block", count).withColumn("__end", _clamp(F.lit(start).cast("bigint"), *(F.col(c) for c in MAP)))
     else:
         table = blocks.select(*keys, F.col("__block").alias("__at"), *(F.col(c).alias(f"{c}_") for c in MAP))
         done = clamp_scan(table, F.col("__add_"), *keys, low=F.col("__low_"), high=F.col("__high_"), seq="__at", start=start, out="__end", width=width).withColumnRenamed("__at", "__block")

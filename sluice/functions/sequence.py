@@ -44,23 +44,29 @@ def add_seq(df: DataFrame, *order_by: str, partitions: int | None = None) -> Dat
     return ranged.withColumn("seq", (base + F.col("__at").bitwiseAND(F.lit(_LOCAL))).cast("bigint")).drop("__at")
 
 
-def prefix_sum(df: DataFrame, value: Column, *keys: str, seq: str = "seq", out: str = "before", width: int = 1 << 16, ties: tuple[str, ...] = ()) -> DataFrame:
-    """df with out, the sum of value over the rows of its key that come before it in the order of seq; a key may hold any
-    share of the rows.
+def prefix_sums(df: DataFrame, values: dict[str, Column], *keys: str, seq: str = "seq", width: int = 1 << 16, ties: tuple[str, ...] = ()) -> DataFrame:
+    """df with, by each name, the sum of a value over the rows of its key that come before it in the order of seq; a key may
+    hold any share of the rows.
 
     Two levels: values are summed by (key, block of `width` numbers of seq), the small table's prefix sums give what comes before
     a block, and a window inside each block does the rest.  So a key is spread over as many tasks as it has blocks.  A null key is a
     key, a null value counts nothing.  ties: further columns of the order.
     """
-    rows = df.withColumns({"__block": F.expr(f"`{seq}` div {width}L"), "__value": F.coalesce(value.cast("bigint"), F.lit(0).cast("bigint"))})
+    inner = {f"__v{i}": F.coalesce(v.cast("bigint"), F.lit(0).cast("bigint")) for i, v in enumerate(values.values())}
+    rows = df.withColumns({"__block": F.expr(f"`{seq}` div {width}L"), **inner})
     own = [*keys, "__block"]
-    sums = rows.groupBy(*own).agg(F.sum("__value").alias("__n"))
+    sums = rows.groupBy(*own).agg(*(F.sum(v).alias(v) for v in inner))
     before = Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)  # one row for each block
-    starts = sums.select(*(F.col(c).alias(f"__{i}") for i, c in enumerate(own)), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    starts = sums.select(*(F.col(c).alias(f"__{i}") for i, c in enumerate(own)), *(F.coalesce(F.sum(v).over(before), F.lit(0)).alias(f"__s{v}") for v in inner))
     inside = Window.partitionBy(*own).orderBy(seq, *ties).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("__rank", F.coalesce(F.sum("__value").over(inside), F.lit(0)))
+    rows = rows.select(*df.columns, "__block", *(F.coalesce(F.sum(v).over(inside), F.lit(0)).alias(v) for v in inner))
     same = [F.col(c).eqNullSafe(F.col(f"__{i}")) for i, c in enumerate(own)]
-    return rows.join(starts, same).select(*df.columns, (F.col("__start") + F.col("__rank")).alias(out))
+    return rows.join(starts, same).select(*df.columns, *((F.col(f"__s{v}") + F.col(v)).alias(n) for n, v in zip(values, inner)))
+
+
+def prefix_sum(df: DataFrame, value: Column, *keys: str, seq: str = "seq", out: str = "before", width: int = 1 << 16, ties: tuple[str, ...] = ()) -> DataFrame:
+    """prefix_sums() of one value."""
+    return prefix_sums(df, {out: value}, *keys, seq=seq, width=width, ties=ties)
 
 
 def positions(df: DataFrame, *keys: str, seq: str = "seq", out: str = "pos", width: int = 1 << 16, when: Column | None = None, ties: tuple[str, ...] = ()) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluice.functions.scan import FREE, clamp_scan, locate
-from sluice.functions.sequence import prefix_sum
+from sluice.functions.sequence import ensure_checkpoint_dir, prefix_sums
 
 
 def keep(leftovers: DataFrame, size: int | None, which: str = "last", seq: str = "seq") -> DataFrame:
@@ -53,12 +53,13 @@ def buffer_log(log: DataFrame, size: int | None, keep: str = "last", producer: s
     front: the i-th event leaves in the row whose removals span i.  `first` turns new ones away: those are known by
     their place in their own row, and the i-th of the others leaves in the row whose deliveries span i.
     """
-    rows = fills(log, size, producer, seq)
+    ensure_checkpoint_dir(log.sparkSession)
+    rows = fills(log, size, producer, seq).checkpoint()  # read by several branches below
     came = F.coalesce(F.when(F.col("events").isNotNull(), F.size("events")), F.lit(0)).cast("bigint")
     refused = F.col("discarded") if keep == "first" else F.lit(0)
     dropped = F.lit(0) if keep == "first" else F.col("discarded")
     rows = rows.select(producer, seq, "events", "delivered", refused.cast("bigint").alias("refused"), dropped.cast("bigint").alias("dropped"), (came - refused).alias("stored"))
-    rows = prefix_sum(prefix_sum(rows, F.col("stored"), producer, seq=seq, out="number"), F.col("delivered") + F.col("dropped"), producer, seq=seq, out="gone")
+    rows = prefix_sums(rows, {"number": F.col("stored"), "gone": F.col("delivered") + F.col("dropped")}, producer, seq=seq)
     events = rows.where("events is not null").select(producer, F.col(seq).alias("stored_at"), "number", "stored", F.posexplode("events").alias("i", "event"))
     events = events.withColumn("number", F.when(F.col("i") < F.col("stored"), F.col("number") + F.col("i")))
     part = lambda status, low, n: F.struct(F.lit(status).alias("status"), low.alias("low"), (low + n).alias("high"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluice.functions.scan import locate
-from sluice.functions.sequence import positions, prefix_sum
+from sluice.functions.sequence import positions, prefix_sum, prefix_sums
 from sluice.operators.dispatch import small
 
 
@@ -27,12 +27,9 @@ def pair(pushes: DataFrame, asks: DataFrame, *keys: str, seq: str = "seq") -> Da
 def common_demand(asks: DataFrame, consumers: list[str], *keys: str, consumer: str = "consumer", seq: str = "seq") -> DataFrame:
     """keys, seq and n: what asks of several consumers come to where each event goes to all of them.  That is the least of their sums,
     so an ask counts as far as it raises the least.  consumers: their names; a row's others ask for nothing."""
-    rows, least, grown = asks, [], []
-    for i, name in enumerate(consumers):
-        own = F.when(F.col(consumer) == name, F.col("n")).otherwise(0)
-        rows = prefix_sum(rows, own, *keys, seq=seq, out=f"__c{i}")
-        least.append(F.col(f"__c{i}"))
-        grown.append(F.col(f"__c{i}") + own)
+    own = {f"__c{i}": F.when(F.col(consumer) == name, F.col("n")).otherwise(0) for i, name in enumerate(consumers)}
+    rows = prefix_sums(asks, own, *keys, seq=seq)
+    least, grown = [F.col(c) for c in own], [F.col(c) + v for c, v in own.items()]
     before, after = (c[0] if len(c) == 1 else F.least(*c) for c in (least, grown))
     return rows.select(*keys, seq, (after - before).alias("n")).where("n > 0")
 
