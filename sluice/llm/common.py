@@ -81,6 +81,25 @@ def splits(stored: DataFrame) -> int:
     return stored.rdd.getNumPartitions()
 
 
+#: A key is hot if it has more than such a share of all rows, so there are no more hot keys than this.
+HOT_KEYS = 4096
+
+
+def join_counted(rows: DataFrame, counted: DataFrame, on: list[str], total: int, salt: list[str]) -> DataFrame:
+    """rows of the keys in counted (on, c, further columns), with those columns; c: how many of `total` rows a key has.
+
+    counted is a stored table with one row for each key; the first column of `on` is a number.  Hot keys' few rows are broadcast.  The
+    others are joined as usual, and meanwhile rows of hot keys are dealt out by the salt, so that no task gets a key's rows."""
+    values = [c for c in counted.columns if c not in (*on, "c")]
+    hot = F.col("c") > max(100, total // HOT_KEYS)
+    some = counted.where(hot).select(*on, F.lit(True).alias("__hot"), *(F.col(v).alias(f"__hot_{v}") for v in values))
+    rest = counted.where(~hot).select(*(F.col(k).alias(f"__{k}") for k in on), F.lit(True).alias("__rest"), *(F.col(v).alias(f"__rest_{v}") for v in values))
+    dealt = rows.join(F.broadcast(some), on, "left").withColumn("__key", F.when(F.col("__hot"), F.xxhash64(*salt)).otherwise(F.col(on[0])))
+    same = [F.col("__key") == F.col(f"__{on[0]}"), *(F.col(k) == F.col(f"__{k}") for k in on[1:])]
+    both = dealt.join(rest, same, "left").where("__hot or __rest")
+    return both.select(*rows.columns, *(F.when(F.col("__hot"), F.col(f"__hot_{v}")).otherwise(F.col(f"__rest_{v}")).alias(v) for v in values))
+
+
 def drop_table(*tables: DataFrame) -> None:
     """Delete what materialise() wrote, once nothing will read it again."""
     for df in tables:

@@ -13,6 +13,8 @@ rows; further columns are ignored.
 
 from __future__ import annotations
 
+import heapq
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 
 import ahocorasick
@@ -70,30 +72,43 @@ class Scanner:
     def fuzzy(self, text: str) -> list[tuple[int, int, int, int]]:
         """(start, end, notice, edits) of the verified places in a normalised text, the best of overlapping ones.
 
-        The best place of a region comes first, then the best ones of what is left of it and right of it, and so on.
+        Each seed's window, a notice and its edits long, is searched by itself.  The best places win, the first of equal ones; a window
+        whose place overlaps a better one is searched again in what that leaves of it.  No place can leave a window more
+        than a few times, so the work grows with the number of seeds.
         """
-        windows: dict[int, list[tuple[int, int]]] = {}
+        windows: dict[int, set[tuple[int, int]]] = {}
         for end, hits in self.seeds.iter(text):
             for i, at, size in hits:
                 notice, _, edits = self.notices[i]
                 start = end + 1 - size - at - edits
-                windows.setdefault(i, []).append((max(0, start), start + len(notice) + 2 * edits))
-        out = []
-        for i, spans in windows.items():
-            spans.sort()
-            joined = [spans[0]]
-            for a, b in spans[1:]:
-                if a <= joined[-1][1]:
-                    joined[-1] = (joined[-1][0], max(b, joined[-1][1]))
-                else:
-                    joined.append((a, b))
-            todo = joined
-            while todo:
-                a, b = todo.pop()
-                if m := self.patterns[i].search(text, a, min(b, len(text))):
-                    out.append((m.start(), m.end(), i, sum(m.fuzzy_counts)))
-                    todo += [(a, m.start()), (max(m.end(), m.start() + 1), b)]
-        return sorted(out)
+                windows.setdefault(i, set()).add((max(0, start), min(start + len(notice) + 2 * edits, len(text))))
+        return sorted((a, b, i, e) for i, spans in windows.items() for a, b, e in self._best(text, i, spans))
+
+    def _best(self, text: str, i: int, spans: set[tuple[int, int]]) -> list[tuple[int, int, int]]:
+        """(start, end, edits) of the places of one notice in its windows."""
+        heap: list[tuple[int, int, int, int, int]] = []
+
+        def search(a: int, b: int) -> None:
+            if m := self.patterns[i].search(text, a, b):
+                heapq.heappush(heap, (sum(m.fuzzy_counts), m.start(), m.end(), a, b))
+
+        for a, b in spans:
+            search(a, b)
+        starts: list[int] = []  # of the chosen places, in order
+        chosen: dict[int, tuple[int, int]] = {}
+        while heap:
+            edits, start, end, a, b = heapq.heappop(heap)
+            near = starts[max(0, bisect_right(starts, a) - 1) : bisect_left(starts, b)]
+            taken = [(x, chosen[x][0]) for x in near if chosen[x][0] > a]
+            if not any(x < end and start < y for x, y in taken):
+                insort(starts, start)
+                chosen[start] = (max(end, start + 1), edits)
+                continue
+            for x, y in [*taken, (b, b)]:
+                if x > a:
+                    search(a, x)
+                a = max(a, y)
+        return [(x, y, e) for x, (y, e) in chosen.items()]
 
 
 def base_places(norm: bytes) -> list[tuple[int, str]]:

@@ -32,7 +32,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import drop_table, file_system, freed, grams, hashes, materialise, slices
+from sluice.llm.common import drop_table, file_system, freed, grams, hashes, join_counted, materialise, slices
 
 GRAM = 6
 #: Rows that a task takes from a file of the copy, and bytes of the file's row groups.
@@ -339,18 +339,20 @@ def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # copies of whole texts: all but the least id
     text_hash = [F.xxhash64("text").alias("h1"), F.xxhash64("text", F.lit(1)).alias("h2")]
     ids = base.where("text != ''").select("file", "unit", "row", F.coalesce("__id", F.lit(_NO_ID)).alias("doc"), *text_hash)
-    first = ids.groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.count("*").alias("c")).where("c > 1")
-    copies = ids.join(first, ["h1", "h2"]).where("doc > first").join(units, ["file", "unit"])
+    first = materialise(ids.groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.count("*").alias("c")).where("c > 1"), "texts")
+    copies = join_counted(ids, first, ["h1", "h2"], stored.count(), ["file", "row"]).where("doc > first").join(units, ["file", "unit"])
     copies = materialise(copies.select("uid", "row"), "copies")
+    drop_table(first)
 
     found = by_unit(copies).applyInArrow(freed(_anchors_of(window, UNIT_ROWS)), "a long, uid long, row int")
     found = materialise(found, "anchors", tasks=tasks, compression="zstd")
-    many = found.groupBy("a").agg(F.count("*").alias("c")).where("c > 1").select("a")
+    many = materialise(found.groupBy("a").agg(F.count("*").alias("c")).where("c > 1 and a is not null"), "recurring", tasks=tasks, compression="zstd")
+    again = join_counted(found, many, ["a"], found.count(), ["uid", "row", "a"])
     kind = "w long, uid long, row int, doc long"
-    windows = materialise(by_unit(found.join(many, "a")).applyInArrow(freed(_windows_of(window, UNIT_ROWS)), kind), "windows", tasks=tasks, compression="zstd")
-    least = windows.groupBy("w").agg(F.min("doc").alias("least"), F.count("*").alias("c")).where("c > 1").select("w", "least")
-    known = materialise(windows.join(least, "w").select("w", "uid", "row", (F.col("doc") == F.col("least")).alias("own")), "known", tasks=tasks, compression="zstd")
-    drop_table(windows)
+    windows = materialise(by_unit(again).applyInArrow(freed(_windows_of(window, UNIT_ROWS)), kind), "windows", tasks=tasks, compression="zstd")
+    least = materialise(windows.groupBy("w").agg(F.min("doc").alias("least"), F.count("*").alias("c")).where("c > 1"), "least", tasks=tasks, compression="zstd")
+    known = materialise(join_counted(windows, least, ["w"], windows.count(), ["uid", "row", "w"]).select("w", "uid", "row", (F.col("doc") == F.col("least")).alias("own")), "known", tasks=tasks, compression="zstd")
+    drop_table(windows, least, many)
     kind = "uid long, row int, at long, doc long, phrase string, ws array<long>"
     phrases = by_unit(known.where("own").drop("own")).applyInArrow(freed(_passages_of(window, UNIT_ROWS, PASSAGE)), kind)
     phrases = materialise(phrases.select(F.xxhash64("uid", "row", "at").alias("p"), "doc", "phrase", "ws"), "phrases", tasks=tasks, compression="zstd")

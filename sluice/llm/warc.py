@@ -66,15 +66,17 @@ def member(data: bytes) -> bytes:
     return packer.compress(data) + packer.flush()
 
 
-def parse(data: bytes) -> tuple[dict, int]:
-    """The record at the start of data and its size; ValueError names the failed check."""
-    if not _VERSION.match(data):
+def parse(data: bytes, at: int = 0) -> tuple[dict, int]:
+    """The record at a place of data and its size; ValueError names the failed check.
+
+    The payload is the block, or where that is an HTTP message (as its type tells) what follows the message's header."""
+    if not _VERSION.match(data, at):
         raise ValueError("no version line")
-    end = data.find(b"\r\n\r\n")
+    end = data.find(b"\r\n\r\n", at)
     if end < 0:
         raise ValueError("header not ended")
     head = {}
-    for line in data[:end].split(b"\r\n")[1:]:
+    for line in data[at:end].split(b"\r\n")[1:]:
         name, colon, value = line.partition(b":")
         if not colon:
             raise ValueError("header line without a colon")
@@ -88,7 +90,9 @@ def parse(data: bytes) -> tuple[dict, int]:
     block = data[end + 4 : end + 4 + length]
     if len(block) < length or data[end + 4 + length : end + 8 + length] != b"\r\n\r\n":
         raise ValueError("block cut short")
-    http, _, payload = block.partition(b"\r\n\r\n")
+    http, payload = b"", block
+    if head.get("content-type", "").lower().startswith("application/http"):
+        http, _, payload = block.partition(b"\r\n\r\n")
     told = re.search(rb"(?i)content-length: (\d+)", http)
     size = int(told[1]) if told else len(payload)
     sum_ = head.get("warc-payload-digest", "").removeprefix("sha1:")
@@ -103,7 +107,7 @@ def parse(data: bytes) -> tuple[dict, int]:
         "payload": payload,
         "payload_bytes": size,
         "payload_digest": sum_,
-    }, end + 8 + length
+    }, end + 8 + length - at
 
 
 def _inflate(source, at: int, step: int = 1 << 16) -> tuple[bytes, int]:
@@ -122,6 +126,22 @@ def _inflate(source, at: int, step: int = 1 << 16) -> tuple[bytes, int]:
     return b"".join(out), at - len(unpacker.unused_data)
 
 
+def _members(data: bytes) -> tuple[list[dict], str | None]:
+    """The records of an unpacked member, and the first failed check among them."""
+    out, problem, at = [], None, 0
+    while at < len(data):
+        try:
+            found, used = parse(data, at)
+            out.append(found)
+            at += used
+        except ValueError as e:
+            problem = problem or str(e)
+            at = data.find(b"WARC/1.", at + 1)
+            if at < 0:
+                break
+    return out, problem
+
+
 def _seek(source, at: int, marks: tuple[bytes, ...], size: int, step: int = 1 << 16) -> int:
     """The next place from `at` on where one of the marks stands; the archive's size if there is none."""
     overlap = max(map(len, marks)) - 1
@@ -136,7 +156,10 @@ def _seek(source, at: int, marks: tuple[bytes, ...], size: int, step: int = 1 <<
 
 
 def read_archive(source, size: int) -> Iterator[dict]:
-    """Records of an open archive, compressed or not, each with at, size and problem None; gaps have a problem instead."""
+    """Records of an open archive, compressed or not, each with at, size and problem None; gaps have a problem instead.
+
+    The records of a member that holds several all have its place and size.  If one of those is damaged, the reader goes on
+    at the member's next version line and reports the member as a gap besides."""
     at, gap, why = 0, None, ""
     while at < size:
         source.seek(at)
@@ -144,9 +167,9 @@ def read_archive(source, size: int) -> Iterator[dict]:
         try:
             if packed:
                 data, end = _inflate(source, at)
-                found, used = parse(data)
-                if used != len(data):
-                    raise ValueError("more than one record in a member")
+                records, problem = _members(data)
+                if not records:
+                    raise ValueError(problem or "empty member")
             else:
                 data, end = b"", at
                 need = 1 << 16
@@ -160,7 +183,7 @@ def read_archive(source, size: int) -> Iterator[dict]:
                         if len(data) < need or not _VERSION.match(data):
                             raise
                         need *= 4
-                end = at + used
+                end, records, problem = at + used, [found], None
         except ValueError as e:
             if gap is None:
                 gap, why = at, str(e)
@@ -169,7 +192,10 @@ def read_archive(source, size: int) -> Iterator[dict]:
         if gap is not None:
             yield {"at": gap, "size": at - gap, "problem": why}
             gap = None
-        yield found | {"at": at, "size": end - at, "problem": None}
+        for found in records:
+            yield found | {"at": at, "size": end - at, "problem": None}
+        if problem:
+            yield {"at": at, "size": end - at, "problem": f"in a member: {problem}"}
         at = end
     if gap is not None:
         yield {"at": gap, "size": size - gap, "problem": why}

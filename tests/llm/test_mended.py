@@ -1,0 +1,103 @@
+"""Long runs of notices, records that share a member, hot keys, and rows without an id in the pipeline."""
+
+import io
+import random
+import time
+
+import pytest
+from pyspark.sql import functions as F
+
+from sluice.llm import licenses, warc
+from sluice.llm.common import join_counted
+
+
+def least_edits(notice, text):
+    """The least edit distance of the notice to any part of the text that ends at each place."""
+    row = [0] * (len(text) + 1)
+    for i, c in enumerate(notice, 1):
+        new = [i]
+        for j, d in enumerate(text, 1):
+            new.append(min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (c != d)))
+        row = new
+    return row
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_fuzzy_notices_by_edit_distance(seed):
+    """A notice is found exactly where a scan of all edit distances finds one, and no place has more edits than told."""
+    rng, scanner = random.Random(seed), licenses.Scanner()
+    parts = []
+    for _ in range(12):
+        w = list(rng.choice(licenses.NOTICES)[0])
+        for _ in range(rng.randrange(4)):
+            at = rng.randrange(len(w))
+            w[at : at + rng.randrange(2)] = rng.choice(["", "q"])
+        parts += ["".join(w), *(["filler words here"] if rng.random() < 0.5 else [])]
+    text = " ".join(parts)
+    found = scanner.fuzzy(text)
+    for i, (notice, _, edits) in enumerate(licenses.NOTICES):
+        ends = [j for j, d in enumerate(least_edits(notice, text)) if d <= edits]
+        own = [x for x in found if x[2] == i]
+        assert bool(ends) == bool(own)
+        for a, b, _, e in own:
+            assert e <= edits and min(least_edits(notice, text[a:b])) <= e
+        for j in ends:  # each such end lies in a place, or next to one that took its letters
+            assert any(a - edits <= j <= b + len(notice) for a, b, _, _ in own)
+        assert all(x[1] <= y[0] for x, y in zip(own, own[1:]))
+
+
+def test_a_megabyte_of_adjoining_notices():
+    began = time.perf_counter()
+    text = "all rights reservd " * 53_000
+    assert len(licenses.Scanner().fuzzy(text)) == 53_000 and time.perf_counter() - began < 10
+
+
+def records(n):
+    return [warc.record("response", f"urn:page:{i}", f"http://x/{i}", f"<p>{i}</p>\r\n\r\nmore".encode()) for i in range(n)]
+
+
+def resource(body):
+    return b"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:r>\r\nContent-Type: text/plain\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (len(body), body)
+
+
+def test_members_with_several_records_and_blocks_that_are_no_http():
+    some = records(4)
+    data = warc.member(some[0] + some[1]) + warc.member(resource(b"ab\r\n\r\ncdef")) + warc.member(some[2]) + resource(b"") + some[3]
+    found = list(warc.read_archive(io.BytesIO(data), len(data)))
+    assert [r["problem"] for r in found] == [None] * 6
+    assert [r["record_id"] for r in found] == ["urn:page:0", "urn:page:1", "urn:r", "urn:page:2", "urn:r", "urn:page:3"]
+    assert found[2]["payload"] == b"ab\r\n\r\ncdef" and found[4]["payload"] == b"" and found[0]["payload"] == b"<p>0</p>\r\n\r\nmore"
+    assert found[0]["at"] == found[1]["at"] == 0 and found[2]["at"] == found[0]["size"]
+
+
+def test_a_damaged_record_inside_a_member():
+    some = records(3)
+    data = warc.member(some[0] + some[1].replace(b"<p>1", b"<p>7") + some[2])
+    found = list(warc.read_archive(io.BytesIO(data), len(data)))
+    assert [r.get("record_id") for r in found] == ["urn:page:0", "urn:page:2", None]
+    assert found[2]["problem"].startswith("in a member: payload does not match")
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_random_damage_loses_only_what_it_hits(seed):
+    rng = random.Random(seed)
+    some = [warc.member(r) for r in records(30)]
+    starts = [sum(map(len, some[:i])) for i in range(31)]
+    data, hit = bytearray(b"".join(some)), set()
+    for _ in range(4):
+        at = rng.randrange(len(data))
+        n = rng.randrange(1, 200)
+        data[at : at + n] = rng.randbytes(len(data[at : at + n]))
+        hit |= {i for i in range(30) if starts[i] < at + n and at < starts[i + 1]}
+    found = list(warc.read_archive(io.BytesIO(bytes(data)), len(data)))
+    kept = {r["record_id"] for r in found if r["problem"] is None}
+    assert {f"urn:page:{i}" for i in range(30) if i not in hit} <= kept
+    places = sorted((r["at"], r["at"] + r["size"]) for r in found)
+    assert places[0][0] == 0 and places[-1][1] == len(data) and all(a[1] == b[0] for a, b in zip(places, places[1:]))
+
+
+def test_hot_keys_are_joined_without_being_brought_together(spark):
+    rows = spark.range(3000).select(F.col("id"), F.when(F.col("id") % 3 == 0, 8).when(F.col("id") % 50 == 1, None).otherwise(F.col("id") % 900).cast("long").alias("k"))
+    counted = rows.groupBy("k").agg(F.count("*").alias("c"), F.max("id").alias("most")).where("k is not null and k % 4 < 3")
+    got = {(r.id, r.k, r.most) for r in join_counted(rows, counted, ["k"], 3000, ["id"]).collect()}
+    assert got == {(r.id, r.k, r.most) for r in rows.join(counted, "k").collect()} and any(k == 8 for _, k, _ in got)
