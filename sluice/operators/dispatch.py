@@ -12,15 +12,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluice.functions.sequence import portable_hash, positions
-from sluice.options import OptionError, PartitionOptions
+from sluice.options import OptionError, PartitionOptions, SubscriptionOptions
 
 BROADCAST_ROWS = 100_000
 
 
 class Dispatcher(Protocol):
-    """What a custom dispatcher has to offer."""
+    """What a custom dispatcher has to offer (E22): events with `consumer`, the name of the one that gets it, repeated for several."""
 
-    def assign(self, events: DataFrame, consumers: DataFrame) -> DataFrame: ...
+    def assign(self, events: DataFrame, subscriptions: dict[str, SubscriptionOptions]) -> DataFrame: ...
 
 
 def small(df: DataFrame) -> DataFrame:
