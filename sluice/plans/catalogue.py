@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from sluice.functions.sequence import add_seq, portable_hash
 from sluice.operators import batching, buffer, dispatch, policy, queue, supervise
 from sluice.options import PartitionOptions, SubscriptionOptions, SupervisorOptions
+from sluice.sources import callback
 from sluice.sources.counter import CounterSource, counter, enumerable
 from sluice.streaming import stateful
 
@@ -66,6 +67,26 @@ def source_enumerable(spark, sf_dir):
     return enumerable(events(spark, sf_dir).select("event_id", "ts"), "ts", "event_id").select("event_id", "seq")
 
 
+def _numbers(n: int, state: int) -> tuple[list[int], int]:
+    """The next numbers: one fewer than asked after a multiple of 5, two more after one of 7."""
+    more = n + 2 * (state % 7 == 0) - (state % 5 == 0)
+    return list(range(state, state + max(more, 0))), state + max(more, 0) + (more <= 0)
+
+
+@query(
+    "source_callback",
+    """WITH RECURSIVE e AS (SELECT user_id % 20 AS producer, event_id AS seq, event_id % 3 + 1 AS n, row_number() OVER (PARTITION BY user_id % 20 ORDER BY event_id) AS k
+      FROM events WHERE event_type IN ('click', 'view')),
+    s AS (SELECT DISTINCT producer, 0::BIGINT AS k, -1::BIGINT AS seq, 1::BIGINT AS state, []::BIGINT[] AS made FROM e
+      UNION ALL SELECT producer, k, seq, state + greatest(more, 0) + (more <= 0)::INT, range(state, state + greatest(more, 0)) FROM (
+        SELECT e.producer, e.k, e.seq, s.state, n + 2 * (s.state % 7 = 0)::INT - (s.state % 5 = 0)::INT AS more FROM s JOIN e ON e.producer = s.producer AND e.k = s.k + 1))
+  SELECT producer, seq, (unnest(range(len(made))))::INT AS i, unnest(made) AS event FROM s WHERE k > 0""",
+)
+def source_callback(spark, sf_dir):
+    rows = events(spark, sf_dir).where("event_type in ('click', 'view')")
+    return callback.produce(rows.select((F.col("user_id") % 20).alias("producer"), "seq", (F.col("seq") % 3 + 1).alias("n")), _numbers, 1, "long")
+
+
 # --- transformations (2.C)
 
 
