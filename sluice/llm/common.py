@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import ctypes
 import gc
 import re
@@ -49,8 +50,31 @@ def _path(spark: SparkSession, path: str) -> tuple:
     return at, at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
 
 
+_MADE: list[list[str]] = []
+
+
 def fresh_dir(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/sluice/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/sluice/{name}-{uuid.uuid4().hex}"
+    for made in _MADE:
+        made.append(path)
+    return path
+
+
+@contextlib.contextmanager
+def intermediates() -> Iterator[list[str]]:
+    """The folders that operators take inside, so that who has stored their result can delete the rest."""
+    made: list[str] = []
+    _MADE.append(made)
+    try:
+        yield made
+    finally:
+        _MADE[:] = [m for m in _MADE if m is not made]
+
+
+def drop_paths(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        at, system = _path(spark, path)
+        system.delete(at, True)
 
 
 #: Shuffle files of a written table's query go as soon as it is written.
@@ -73,7 +97,9 @@ def materialise(df: DataFrame, name: str, path: str | None = None, tasks: int =
         (df.coalesce(tasks) if tasks else df).write.options(**_NO_FORK, **options).parquet(path)
     finally:
         spark.conf.set(_CLEAN, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
 
 
 def splits(stored: DataFrame) -> int:
@@ -100,13 +126,18 @@ def join_counted(rows: DataFrame, counted: DataFrame, on: list[str], total: int,
     return both.select(*rows.columns, *(F.when(F.col("__hot"), F.col(f"__hot_{v}")).otherwise(F.col(f"__rest_{v}")).alias(v) for v in values))
 
 
+def part_of(stored: DataFrame, *columns: str) -> DataFrame:
+    """Columns of a stored table, which is deleted with them."""
+    out = stored.select(*columns)
+    out._stored_at = getattr(stored, "_stored_at", None)
+    return out
+
+
 def drop_table(*tables: DataFrame) -> None:
-    """Delete what materialise() wrote, once nothing will read it again."""
+    """Delete what materialise() gave, once nothing will read it again; other tables are left alone."""
     for df in tables:
-        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            if "/sluice/" in path:
-                at, system = _path(df.sparkSession, path)
-                system.delete(at, True)
+        if path := getattr(df, "_stored_at", None):
+            drop_paths(df.sparkSession, [path])
 
 
 def file_system(uri: str) -> tuple[pafs.FileSystem, str]:

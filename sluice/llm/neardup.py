@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import drop_table, freed, grams, hashes, materialise, mix, slices
+from sluice.llm.common import drop_table, freed, grams, hashes, materialise, part_of, mix, slices
 
 CHUNKS, CHUNK = 8, 5
 SYMBOLS = CHUNKS * CHUNK
@@ -167,7 +167,7 @@ def components(edges: DataFrame) -> DataFrame:
         )
         changed = not new.where("root != old").isEmpty()
         drop_table(labels)
-        labels = new.select("node", "root")
+        labels = part_of(new, "node", "root")
         if not changed:
             drop_table(both)
             return labels

@@ -9,7 +9,7 @@ from test_operators import links, split, words
 
 import corpus_pipeline
 from sluice.llm import catalogue, pieces, toxicity
-from sluice.llm.common import splits
+from sluice.llm.common import shared_dir, splits
 
 
 @pytest.fixture(scope="module")
@@ -76,6 +76,32 @@ def test_stages_keep_the_columns_of_documents(spark, sf_dir):
         assert stage(spark, docs, sf_dir).columns == docs.columns, name
 
 
+def test_rows_without_an_id_of_their_own(spark, sf_dir):
+    """Stages that remove rows decide each by itself, whatever its id; those without an id of their own come after the others."""
+    items = [r.text for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").orderBy("item_id").collect()]
+    rng = random.Random(3)
+    clean = [" ".join(words(rng, 60, 9999)) for _ in range(6)]
+    rows = [(None, f"{clean[0]} {items[0]}"), (None, clean[1]), (7, clean[2]), (7, f"{items[1]} {clean[3]}"), (8, clean[4]), (None, clean[4] + " tail"), (9, clean[4]), (None, None), (7, clean[5]), (None, clean[5])]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.repartition(3).write.parquet(path := f"{sf_dir}/rows-without-ids")
+    stages, stored = dict(corpus_pipeline.STAGES), spark.read.parquet(path)
+    left = Counter((r.doc_id, r.text) for r in stages["decontamination"](spark, stored, sf_dir).collect())
+    assert left == Counter(x for x in rows if x not in (rows[0], rows[3]))
+    left = Counter((r.doc_id, r.text) for r in stages["near_dedup"](spark, stored, sf_dir).collect())
+    assert (8, clean[4]) in left and (9, clean[4]) not in left and (None, clean[4] + " tail") not in left
+    assert left[7, clean[5]] + left[None, clean[5]] == 1 and sum(left.values()) == len(rows) - 3
+
+
+def test_intermediate_tables_are_deleted(spark, sf_dir):
+    from pathlib import Path
+
+    folder = Path(shared_dir(spark).removeprefix("file:")) / "sluice"
+    before = set(folder.iterdir()) if folder.exists() else set()
+    out = corpus_pipeline.run(spark, sf_dir)
+    new = set(folder.iterdir()) - before
+    assert [p.name.rsplit("-", 1)[0] for p in new] == ["stage-sentencepiece"] and out.count() > 0
+
+
 def test_stages_give_few_partitions(spark, sf_dir):
     """Each file that a local file system writes with checksums forks the JVM, so a stage must not give one for each shuffle partition."""
     docs, held = spark.read.parquet(f"{sf_dir}/documents.parquet"), {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
