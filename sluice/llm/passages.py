@@ -1,6 +1,6 @@
 """Substring dedup: repeated-phrase automata over recurring passages of at least `window` words.
 
-1. The documents are copied to the shared folder and read in units of UNIT_ROWS rows of a file.
+1. The documents are copied to the shared folder and read in units of a file's rows, UNIT_ROWS or UNIT_BYTES at most.
 2. Of each window's GRAM-word grams the one with the least hash is its anchor; equal windows have equal anchors.  Anchors
    that occur in more than one document recur; only windows at recurring anchors can recur.
 3. Those windows' hashes are counted.  Of a hash that occurs in two documents, the document with the least id is the source:
@@ -29,14 +29,14 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluice.llm.common import drop_table, file_system, freed, grams, hashes, join_counted, materialise, slices
 
 GRAM = 6
-#: Rows that a task takes from a file of the copy, and bytes of the file's row groups.
-UNIT_ROWS, GROUP_BYTES = 2000, 4 << 20
+#: Rows and bytes of text that a task takes at a time from a file of the copy, and bytes of the file's row groups.
+UNIT_ROWS, UNIT_BYTES, GROUP_BYTES = 2000, 16 << 20, 4 << 20
 #: Units that a task takes one after the other: each task writes one file of each table.
 TASK_UNITS = 4
 #: Most windows of a passage, and words of the passages that share an automaton.
@@ -61,10 +61,10 @@ def anchors(h: np.ndarray, window: int) -> np.ndarray:
     return np.minimum(least[: len(g) - span + 1], least[span - width :][: len(g) - span + 1]) if len(g) >= span else g[:0]
 
 
-def _read(path: str, unit: int, size: int, columns: list[str] | None = None) -> Iterator[pa.RecordBatch]:
+def _read(path: str, first: int, past: int, columns: list[str] | None = None) -> Iterator[pa.RecordBatch]:
     """The rows of a unit of a file, in batches of bounded size."""
     system, at = file_system(path)
-    first, past, start = unit * size, (unit + 1) * size, 0
+    start = 0
     with system.open_input_file(at) as f:
         file = pq.ParquetFile(f)
         for group in range(file.num_row_groups):
@@ -83,9 +83,9 @@ def _ids(part: pa.RecordBatch) -> np.ndarray:
     return part.column("__id").fill_null(_NO_ID).to_numpy(zero_copy_only=False)
 
 
-def _head(table: pa.Table) -> tuple[str, int, int]:
-    """File, number and id of a unit, from the row of its group that has them."""
-    return table.column("file").drop_null()[0].as_py(), table.column("unit").drop_null()[0].as_py(), table.column("uid")[0].as_py()
+def _head(table: pa.Table) -> tuple[str, int, int, int]:
+    """File, first row, row after the last and id of a unit, from the row of its group that has them."""
+    return (*(table.column(c).drop_null()[0].as_py() for c in ("file", "low", "past")), table.column("uid")[0].as_py())
 
 
 def _by_row(table: pa.Table, column: str) -> dict[int, np.ndarray]:
@@ -108,12 +108,12 @@ def _flat(found: list[tuple[int, int, np.ndarray]], uid: int, name: str, doc: bo
     return pa.table(out)
 
 
-def _anchors_of(window: int, size: int):
+def _anchors_of(window: int):
     def run(table: pa.Table) -> pa.Table:
         np.seterr(over="ignore")
-        path, unit, uid = _head(table)
-        copies, found, again, row = set(table.column("row").drop_null().to_pylist()), [], [], unit * size
-        for part in _read(path, unit, size, ["text"]):
+        path, low, past, uid = _head(table)
+        copies, found, again, row = set(table.column("row").drop_null().to_pylist()), [], [], low
+        for part in _read(path, low, past, ["text"]):
             for text in part.column("text").to_pylist():
                 if text and row not in copies:
                     h = hashes(text.encode().split())
@@ -129,12 +129,12 @@ def _anchors_of(window: int, size: int):
     return run
 
 
-def _windows_of(window: int, size: int):
+def _windows_of(window: int):
     def run(table: pa.Table) -> pa.Table:
         np.seterr(over="ignore")
-        path, unit, uid = _head(table)
-        wanted, found, row = _by_row(table, "a"), [], unit * size
-        for part in _read(path, unit, size, ["__id", "text"]) if wanted else ():
+        path, low, past, uid = _head(table)
+        wanted, found, row = _by_row(table, "a"), [], low
+        for part in _read(path, low, past, ["__id", "text"]) if wanted else ():
             for doc, text in zip(_ids(part).tolist(), part.column("text").to_pylist()):
                 if (mine := wanted.get(row)) is not None:
                     h = hashes(text.encode().split())
@@ -145,12 +145,12 @@ def _windows_of(window: int, size: int):
     return run
 
 
-def _passages_of(window: int, size: int, most: int):
+def _passages_of(window: int, most: int):
     def run(table: pa.Table) -> pa.Table:
         np.seterr(over="ignore")
-        path, unit, uid = _head(table)
-        wanted, out, row = _by_row(table, "w"), [], unit * size
-        for part in _read(path, unit, size, ["__id", "text"]) if wanted else ():
+        path, low, past, uid = _head(table)
+        wanted, out, row = _by_row(table, "w"), [], low
+        for part in _read(path, low, past, ["__id", "text"]) if wanted else ():
             for doc, text in zip(_ids(part).tolist(), part.column("text").to_pylist()):
                 if (mine := wanted.get(row)) is not None:
                     words = text.encode().split()
@@ -158,8 +158,8 @@ def _passages_of(window: int, size: int, most: int):
                     known = np.concatenate([[False], np.isin(w, mine), [False]])
                     for a, b in np.flatnonzero(np.diff(known)).reshape(-1, 2).tolist():
                         for at in range(a, b, most):
-                            past = min(b, at + most)
-                            out.append((uid, row, at, doc, b" ".join(words[at : past + window - 1]).decode(), w[at:past]))
+                            end = min(b, at + most)
+                            out.append((uid, row, at, doc, b" ".join(words[at : end + window - 1]).decode(), w[at:end]))
                 row += 1
         kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64())]
         columns = list(zip(*out)) or [[]] * 6
@@ -254,7 +254,7 @@ def spread(windows: np.ndarray, n: int, words: int) -> np.ndarray:
     return out
 
 
-def _strip_of(window: int, size: int, most: int, names: list[str], digest: bool):
+def _strip_of(window: int, most: int, names: list[str], digest: bool):
     import hashlib
 
     def finish(part: pa.RecordBatch, texts: list[list[bytes]], gone: list[np.ndarray]) -> pa.RecordBatch:
@@ -271,7 +271,7 @@ def _strip_of(window: int, size: int, most: int, names: list[str], digest: bool)
 
     def run(table: pa.Table) -> pa.Table:
         np.seterr(over="ignore")
-        path, unit, _ = _head(table)
+        path, low, past, _ = _head(table)
         told = table.select(["row", "again"]).drop_null().to_pylist()
         copies, again = ({r["row"] for r in told if r["again"] == x} for x in (False, True))
         shards = [Shard(window)]
@@ -280,9 +280,9 @@ def _strip_of(window: int, size: int, most: int, names: list[str], digest: bool)
                 if shards[-1].words >= most:
                     shards.append(Shard(window))
                 shards[-1].add(doc.as_py(), phrase.as_py().encode())
-        parts, row = [], unit * size
+        parts, row = [], low
         docs, earlier = [], []
-        for part in _read(path, unit, size):
+        for part in _read(path, low, past):
             parts.append(part)
             for doc, text in zip(_ids(part).tolist(), part.column("text").to_pylist()):
                 words = (text or "").encode().split()
@@ -296,7 +296,7 @@ def _strip_of(window: int, size: int, most: int, names: list[str], digest: bool)
         out, at = [], 0
         for part in parts:
             texts, gone = [words for _, words in docs[at : at + part.num_rows]], []
-            for row, (words, marks) in enumerate(zip(texts, earlier[at : at + part.num_rows]), unit * size + at):
+            for row, (words, marks) in enumerate(zip(texts, earlier[at : at + part.num_rows]), low + at):
                 n = len(words)
                 if len(marks):
                     if row in again:
@@ -329,32 +329,38 @@ def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = docs.drop(*own, "__id", *(["text"] if text_col != "text" else [])).withColumn("__id", F.col(id_col).cast("long"))
     stored = materialise(rows.withColumnRenamed(text_col, "text"), "documents", **{"parquet.block.size": GROUP_BYTES, "compression": "zstd"})
     place = F.col("_metadata.row_index").cast("int")
-    base = stored.select("__id", "text", F.col("_metadata.file_path").alias("file"), F.floor(place / UNIT_ROWS).cast("int").alias("unit"), place.alias("row"))
-    units = materialise(base.select("file", "unit").distinct().withColumn("uid", F.monotonically_increasing_id()), "units")
+    text_hash = [F.xxhash64("text").alias("h1"), F.xxhash64("text", F.lit(1)).alias("h2")]
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size")
+    base = stored.select("__id", F.col("_metadata.file_path").alias("file"), place.alias("row"), size, *text_hash)
+    # a unit ends after so many rows or bytes, one text at least; the window has a file's rows, without texts
+    before = F.coalesce(F.sum("size").over(Window.partitionBy("file").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    unit = F.floor(F.col("row") / UNIT_ROWS) * (1 << 32) + F.floor(before / UNIT_BYTES)
+    base = materialise(base.withColumn("unit", unit), "rows", compression="zstd")
+    units = base.groupBy("file", "unit").agg(F.min("row").alias("low"), (F.max("row") + 1).alias("past"))
+    units = materialise(units.withColumn("uid", F.monotonically_increasing_id()), "units")
     count = max(1, units.count())
     # what the tasks shuffle is small beside the files they read, so the number of tasks is told, not left to sizes
     tasks = max(min(count, spark.sparkContext.defaultParallelism), -(-count // TASK_UNITS))
-    by_unit = lambda df: df.unionByName(units, allowMissingColumns=True).repartition(tasks, "uid").groupBy("uid")
+    by_unit = lambda df: df.unionByName(units.drop("unit"), allowMissingColumns=True).repartition(tasks, "uid").groupBy("uid")
 
     # copies of whole texts: all but the least id
-    text_hash = [F.xxhash64("text").alias("h1"), F.xxhash64("text", F.lit(1)).alias("h2")]
-    ids = base.where("text != ''").select("file", "unit", "row", F.coalesce("__id", F.lit(_NO_ID)).alias("doc"), *text_hash)
+    ids = base.where("size > 0").select("file", "unit", "row", F.coalesce("__id", F.lit(_NO_ID)).alias("doc"), "h1", "h2")
     first = materialise(ids.groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.count("*").alias("c")).where("c > 1"), "texts")
     copies = join_counted(ids, first, ["h1", "h2"], stored.count(), ["file", "row"]).where("doc > first").join(units, ["file", "unit"])
     copies = materialise(copies.select("uid", "row"), "copies")
-    drop_table(first)
+    drop_table(first, base)
 
-    found = by_unit(copies).applyInArrow(freed(_anchors_of(window, UNIT_ROWS)), "a long, uid long, row int")
+    found = by_unit(copies).applyInArrow(freed(_anchors_of(window)), "a long, uid long, row int")
     found = materialise(found, "anchors", tasks=tasks, compression="zstd")
     many = materialise(found.groupBy("a").agg(F.count("*").alias("c")).where("c > 1 and a is not null"), "recurring", tasks=tasks, compression="zstd")
     again = join_counted(found, many, ["a"], found.count(), ["uid", "row", "a"])
     kind = "w long, uid long, row int, doc long"
-    windows = materialise(by_unit(again).applyInArrow(freed(_windows_of(window, UNIT_ROWS)), kind), "windows", tasks=tasks, compression="zstd")
+    windows = materialise(by_unit(again).applyInArrow(freed(_windows_of(window)), kind), "windows", tasks=tasks, compression="zstd")
     least = materialise(windows.groupBy("w").agg(F.min("doc").alias("least"), F.count("*").alias("c")).where("c > 1"), "least", tasks=tasks, compression="zstd")
     known = materialise(join_counted(windows, least, ["w"], windows.count(), ["uid", "row", "w"]).select("w", "uid", "row", (F.col("doc") == F.col("least")).alias("own")), "known", tasks=tasks, compression="zstd")
     drop_table(windows, least, many)
     kind = "uid long, row int, at long, doc long, phrase string, ws array<long>"
-    phrases = by_unit(known.where("own").drop("own")).applyInArrow(freed(_passages_of(window, UNIT_ROWS, PASSAGE)), kind)
+    phrases = by_unit(known.where("own").drop("own")).applyInArrow(freed(_passages_of(window, PASSAGE)), kind)
     phrases = materialise(phrases.select(F.xxhash64("uid", "row", "at").alias("p"), "doc", "phrase", "ws"), "phrases", tasks=tasks, compression="zstd")
     held = phrases.select("p", F.explode("ws").alias("w"))
     wanted = known.where("not own").select("uid", "w").distinct().join(held, "w").select("uid", "p").distinct()
@@ -364,5 +370,5 @@ def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     drop_table(found, known, phrases, copies)
     names = [c for c in stored.columns if c != "__id"] + own
     kinds = stored.drop("__id").select("*", F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.lit("").alias(last)).schema
-    out = by_unit(told).applyInArrow(freed(_strip_of(window, UNIT_ROWS, SHARD_WORDS, names, digest)), kinds)
+    out = by_unit(told).applyInArrow(freed(_strip_of(window, SHARD_WORDS, names, digest)), kinds)
     return out.withColumnRenamed("text", text_col)

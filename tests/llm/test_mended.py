@@ -101,3 +101,19 @@ def test_hot_keys_are_joined_without_being_brought_together(spark):
     counted = rows.groupBy("k").agg(F.count("*").alias("c"), F.max("id").alias("most")).where("k is not null and k % 4 < 3")
     got = {(r.id, r.k, r.most) for r in join_counted(rows, counted, ["k"], 3000, ["id"]).collect()}
     assert got == {(r.id, r.k, r.most) for r in rows.join(counted, "k").collect()} and any(k == 8 for _, k, _ in got)
+
+
+def test_units_of_long_texts_are_cut_by_bytes(spark, monkeypatch):
+    from sluice.llm import passages
+
+    rng = random.Random(6)
+    some = [" ".join(f"w{rng.randrange(5000)}" for _ in range(rng.choice([5, 50, 3000]))) for _ in range(60)]
+    some += [f"{some[3]} {some[40]}", some[7], None, ""]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(some)], "doc_id long, text string").repartition(2)
+    want = sorted(tuple(r) for r in passages.strip_repeats(docs, digest=True).select("doc_id", "n_words", "n_removed", "kept_sha256").collect())
+    seen = []
+    for rows, size in ((7, 1 << 30), (2000, 20_000), (3, 1)):
+        monkeypatch.setattr(passages, "UNIT_ROWS", rows)
+        monkeypatch.setattr(passages, "UNIT_BYTES", size)
+        seen.append(sorted(tuple(r) for r in passages.strip_repeats(docs, digest=True).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()))
+    assert seen == [want] * 3 and sum(r[2] for r in want) >= 3000
