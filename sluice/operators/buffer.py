@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sluice.functions.scan import FREE, clamp_scan, locate
 from sluice.functions.sequence import ensure_checkpoint_dir, prefix_sums
+from sluice.operators.dispatch import small
 
 
 def keep(leftovers: DataFrame, size: int | None, which: str = "last", seq: str = "seq") -> DataFrame:
@@ -75,18 +76,20 @@ def info_anchors(events: DataFrame, infos: DataFrame, takes: DataFrame | None =
     """infos with anchor_seq, the last event buffered when the message came (null: delivered at once), and after_take.
 
     infos: info, stored_at (events below that number were buffered before it).  takes: take, upto (events below it have
-    been taken by then).  The last event at or before a point is found by a union and a running maximum in blocks.
+    been taken by then).  Events are not dealt out: each block's last event is found on the map side, and a running maximum over
+    the blocks gives what comes before a message's own block; inside that block, events meet the messages, which are sent to them where
+    they are few, and only the last one of each is kept.
     """
     width = 1 << 16
-    marks = events.select(F.col(seq).alias("__at"), F.lit(0).alias("__kind"), F.col(seq).alias("__seq"), F.lit(None).cast("string").alias("info"))
-    asks = infos.select(F.col("stored_at").alias("__at"), F.lit(-1).alias("__kind"), F.lit(None).cast("bigint").alias("__seq"), F.col("info").cast("string"))
-    both = marks.unionByName(asks).withColumn("__block", F.floor(F.col("__at") / width))
-    blocks = both.groupBy("__block").agg(F.max("__seq").alias("__most"))
-    before = Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select("__block", F.max("__most").over(before).alias("__base"))
-    inside = Window.partitionBy("__block").orderBy("__at", "__kind").rowsBetween(Window.unboundedPreceding, 0)
-    found = both.withColumn("__in", F.max("__seq").over(inside)).where("info is not null").join(blocks, "__block")
-    out = found.select("info", F.col("__at").alias("stored_at"), F.coalesce("__in", "__base").alias("anchor_seq"))
+    block = lambda c: F.expr(f"`{c}` div {width}L")
+    asks = infos.select(F.col("info").cast("string").alias("info"), F.col("stored_at").cast("bigint").alias("stored_at"), block("stored_at").alias("__block"))
+    lasts = events.groupBy(block(seq).alias("__block")).agg(F.max(seq).alias("__most"))
+    both = lasts.unionByName(asks, allowMissingColumns=True).withColumn("__event", F.col("info").isNull())  # a message comes before its block
+    before = Window.orderBy("__block", "__event").rowsBetween(Window.unboundedPreceding, -1)  # one row for each block and message
+    base = both.withColumn("__base", F.max("__most").over(before)).where("not __event")
+    here = events.select(F.col(seq).alias("__seq"), block(seq).alias("__block")).join(small(asks), "__block").where("__seq < stored_at")
+    own = here.groupBy("info", "stored_at").agg(F.max("__seq").alias("__own"))
+    out = base.join(own, ["info", "stored_at"], "left").select("info", "stored_at", F.coalesce("__own", "__base").alias("anchor_seq"))
     if takes is None:
         return out
     first = out.join(F.broadcast(takes), F.col("upto") > F.col("anchor_seq"), "left").groupBy("info", "stored_at", "anchor_seq")

@@ -41,6 +41,10 @@ class ByDemand:
         self.seq = seq
 
     def assign(self, events: DataFrame, subscriptions: dict[str, SubscriptionOptions]) -> DataFrame:
+        expected = next(iter(subscriptions.values())).max_demand
+        for name, o in subscriptions.items():
+            if o.max_demand > expected:
+                _LOG.warning("a maximum demand of %d is expected, %s has %d: different ones overload greedy consumers", expected, name, o.max_demand)
         place, low, to = F.pmod(F.col(self.seq), F.lit(sum(o.max_demand for o in subscriptions.values()))), 0, F.lit(None).cast("string")
         for name, o in subscriptions.items():
             to = F.when(place >= low, F.lit(name)).otherwise(to)
@@ -149,9 +153,11 @@ class Graph(Subscriptions):
     # --- running
 
     def start(self, once: bool = False) -> dict[str, StreamingQuery]:
-        """One query for each stage and sink, those upstream first.  once: only what is there now, stage after stage."""
+        """One query for each stage and sink, those upstream first.  once: only what is there now, stage after stage; a stage's end is
+        then no end of a subscription, and its failure is the caller's."""
         names = self.order()
-        self.spark.streams.addListener(self)
+        if not once:
+            self.spark.streams.addListener(self)
         for name in names:
             if self.nodes[name].read is None:
                 self.queries[name] = self._run(name, once)

@@ -5,7 +5,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from sluice.options import OptionError, ProducerOptions
+from sluice.options import OptionError, ProducerOptions, SubscriptionOptions
 from sluice.sources.counter import CounterSource
 from sluice.sources.pushed import PushedSource, Queue
 from sluice.streaming.graph import ByDemand, ByPartition, ChildGroups, Graph, Metrics, buffered_count
@@ -104,11 +104,16 @@ def test_dispatchers_of_stages(spark, tmp_path):
         keep = (lambda i: True) if name == "demand" else (lambda i: i % 5)
         assert sorted(got["left"]) == [i for i in range(40) if i % 4 < 3 and keep(i)] and sorted(got["right"]) == [i for i in range(40) if i % 4 == 3 and keep(i)]
     with pytest.raises(OptionError, match="already taken"):
-        from sluice.options import SubscriptionOptions
-
         ByPartition("seq").assign(spark.range(1), {"p": SubscriptionOptions(partition="0"), "q": SubscriptionOptions(partition="0")})
 
 
+def test_a_larger_demand_than_the_first_is_warned_of(spark, caplog):
+    subscriptions = {"a": SubscriptionOptions(max_demand=2), "b": SubscriptionOptions(max_demand=5), "c": SubscriptionOptions(max_demand=1)}
+    with caplog.at_level("WARNING", "sluice"):
+        ByDemand().assign(spark.range(3).withColumnRenamed("id", "seq"), subscriptions)
+    assert [r.getMessage() for r in caplog.records] == ["a maximum demand of 2 is expected, b has 5: different ones overload greedy consumers"]
+
+
 def test_resubscribe_goes_on_from_the_checkpoint(spark, tmp_path):
     spark.dataSource.register(CounterSource)
     batches, told = [], []
