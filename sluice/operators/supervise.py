@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluice.functions.sequence import ensure_checkpoint_dir
@@ -88,18 +88,15 @@ def supervise(
     ensure_checkpoint_dir(events.sparkSession)
     keys = [supervisor] if supervisor else []
     failed = (F.col("status") == "down") & ~soft
-    done = first.checkpoint()
-    left, limit = done.where(failed), None
-    rounds = done
+    rounds = left = first.checkpoint()
     while True:
         limit = breaches(rounds.where(failed), options, supervisor, seq, sec).checkpoint()  # a row for each supervisor
-        left = _before(left, limit, keys, seq, sec, F.col("attempt"))
-        if not left.limit(1).count():
-            break
+        left = _before(left.where(failed), limit, keys, seq, sec, F.col("attempt"))
         again = left.drop("status", "reason").withColumn("attempt", F.col("attempt") + 1)
         left = start_children(again, work, demand).checkpoint()
+        if left.isEmpty():
+            break
         rounds = rounds.unionByName(left)
-        left = left.where(failed)
     started = _before(rounds, limit, keys, seq, sec, F.col("attempt") - 1, "__stop")
     here = F.struct(F.col(sec).cast("bigint"), F.col(seq).cast("bigint"), F.col("attempt").cast("bigint"))
     action = F.when(~failed, "removed").when(here == F.col("__stop"), "shutdown").otherwise("restarted")
@@ -107,11 +104,21 @@ def supervise(
 
 
 def breaches(restarts: DataFrame, options: SupervisorOptions, supervisor: str | None = None, seq: str = "seq", sec: str = "sec") -> DataFrame:
-    """For each supervisor the first restart that breaks its limits: stop, a struct of sec, seq and attempt; restarts has attempt."""
+    """For each supervisor the first restart that breaks its limits: stop, a struct of sec, seq and attempt; restarts has attempt.
+
+    A restart breaks them if the one max_restarts before it is no more than max_seconds older.  That is looked up inside buckets of seconds,
+    the last ones of which also stand before those of the next, so that a supervisor is spread over tasks.
+    """
     keys = [supervisor] if supervisor else []
-    found = policy.restart_intensity(restarts.select(*keys, seq, "attempt", sec), options.max_restarts, options.max_seconds, (seq, "attempt"), sec, supervisor)
-    place = F.struct(F.col(sec).cast("bigint"), F.col(seq).cast("bigint"), F.col("attempt").cast("bigint"))
-    return found.where("breach").groupBy(*keys).agg(F.min(place).alias("stop")).where("stop is not null")
+    width = 64 * options.max_seconds
+    at = F.col(sec).cast("bigint")
+    bucket = F.floor(at / width)
+    late = at - bucket * width >= width - options.max_seconds
+    place = F.struct(at.alias("sec"), F.col(seq).cast("bigint").alias("seq"), F.col("attempt").cast("bigint").alias("attempt"))
+    rows = restarts.select(*keys, place.alias("stop"), bucket.alias("__own"), F.explode(F.when(late, F.array(bucket, bucket + 1)).otherwise(F.array(bucket))).alias("__bucket"))
+    earlier = F.lag("stop.sec", options.max_restarts).over(Window.partitionBy(*keys, "__bucket").orderBy("stop")) if options.max_restarts else F.col("stop.sec")
+    found = rows.withColumn("__earlier", earlier).where((F.col("__bucket") == F.col("__own")) & (F.col("__earlier") >= F.col("stop.sec") - options.max_seconds))
+    return found.groupBy(*keys).agg(F.min("stop").alias("stop")).where("stop is not null")
 
 
 def _before(rows: DataFrame, limit: DataFrame, keys: list[str], seq: str, sec: str, attempt, stop: str | None = None) -> DataFrame:
