@@ -47,8 +47,12 @@ def failures(docs: DataFrame, labels: DataFrame, part: str = "lang") -> DataFram
     mask = sum((t.cast("int") * (1 << i) for i, t in enumerate(tests)), F.lit(0))
     rows = rows.select("__id", "part", "digest", mask.alias("mask"))
     known = labels.where("doc_id is not null").groupBy(F.col("doc_id").alias("__id")).agg(F.max((F.col("quality") == 1).cast("long")).alias("good"), F.max((F.col("toxic") == 1).cast("long")).alias("toxic"))
-    rows = rows.join(known, "__id", "left").fillna(0, ["good", "toxic"])
-    same = rows.groupBy("__id", "digest", "part", "mask").agg(F.count("*").alias("n"), F.sum("good").alias("good"), F.sum("toxic").alias("toxic"))
+    # rows without an id find no label; a key of their own deals them out
+    rows = rows.withColumn("__key", F.coalesce(F.col("__id").cast("long"), F.xxhash64("digest", "part")))
+    known = known.select(F.col("__id").cast("long").alias("__key"), F.lit(True).alias("__known"), "good", "toxic")
+    mine = F.col("__known") & F.col("__id").isNotNull()
+    rows = rows.join(known, "__key", "left").withColumns({m: F.when(mine, F.col(m)).otherwise(0) for m in ("good", "toxic")})
+    same = rows.groupBy("__key", "__id", "digest", "part", "mask").agg(F.count("*").alias("n"), F.sum("good").alias("good"), F.sum("toxic").alias("toxic"))
     named = F.when(F.col("__id").isNotNull(), F.struct("__id", *MEASURES))
     unnamed = [F.sum(F.when(F.col("__id").isNull(), F.col(m)).otherwise(0)).alias(f"free_{m}") for m in MEASURES]
     texts = same.groupBy("digest", "part", "mask").agg(F.min(named).alias("first"), *(F.sum(m).alias(m) for m in MEASURES), *unnamed)
