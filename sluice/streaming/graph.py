@@ -18,6 +18,7 @@ from pyspark import InheritableThread
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
+from pyspark.sql.types import StringType, StructField, StructType
 
 from sluice.operators import buffer
 from sluice.operators.dispatch import Dispatcher, select_dispatch
@@ -175,9 +176,9 @@ class Graph(Subscriptions):
         at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table)
         at.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).mkdirs(at)  # before its stage has written anything
         schema = self._schema(options.to)
-        return self.spark.readStream.schema(schema.add("consumer", "string")).parquet(table).where(F.col("consumer") == name).drop("consumer")
+        return self.spark.readStream.schema(StructType([*schema.fields, StructField("consumer", StringType())])).parquet(table).where(F.col("consumer") == name).drop("consumer")
 
-    def _schema(self, name: str):
+    def _schema(self, name: str) -> StructType:
         node = self.nodes[name]
         return node.work(self._union([self.events(name, o) for o in node.subscribe_to])).schema
 

@@ -230,3 +230,17 @@ def test_pushes_are_acknowledged_when_their_batch_is_done(spark, tmp_path):
         query.stop()
     assert got == [(i, j, f"{i}{'ab'[j]}") for i in range(4) for j in range(2)] + [(4, 0, "late")]
     assert all(acked <= last for last, acked in acks)  # no push was acknowledged while its batch was worked on
+
+
+def test_a_stage_stops_when_its_last_consumer_has_ended(spark, tmp_path):
+    graph = Graph(spark, str(tmp_path / "graph"), stop_sources=True)
+    graph.source("a", stream(spark, tmp_path, "a", 0, 5)).stage("middle", ["a"])
+    for name in ("s", "t"):
+        graph.sink(name, ["middle"], lambda df, n: None)
+    queries = graph.start()
+    try:
+        assert graph.stop("s") == [] and queries["middle"].isActive
+        assert "middle" in graph.stop("t")
+        assert not queries["middle"].isActive
+    finally:
+        graph.close()
